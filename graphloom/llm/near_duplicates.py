@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,109 +53,136 @@ class MinMax:
         return MinMax(rows=rows, bands=bands, **kw)
 
 
-def bag_elements(tokens: list[str], known: WordHash) -> list[int]:
-    """One 64-bit element for each word and occurrence."""
-    seen: dict[str, int] = {}
-    out = []
-    for w in tokens:
-        n = seen.get(w, 0)
-        seen[w] = n + 1
-        h = known[w]
-        out.append(h if not n else (h + n * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
-    return out
+@dataclass
+class Bags:
+    """The bags of a batch laid end to end: words (hash of each token), elements (word and occurrence), starts and sizes per text."""
 
+    words: np.ndarray
+    elements: np.ndarray
+    fresh: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+    kept: np.ndarray
 
-def bag_key(elements: np.ndarray) -> int:
-    """The same for any order of the same elements."""
-    with np.errstate(over="ignore"):
-        return int(mix64(mix64(elements).sum(dtype=U64) ^ U64(len(elements))).view(np.int64))
+    @staticmethod
+    def of(texts: list[str | None], known: WordHash, least: int) -> Bags:
+        flat: list[int] = []
+        sizes, kept = [], []
+        for i, text in enumerate(texts):
+            tokens = words(text)
+            if len(tokens) >= least:
+                flat.extend(map(known.__getitem__, tokens))
+                sizes.append(len(tokens))
+                kept.append(i)
+        w, n = np.array(flat, dtype=U64), np.array(sizes, dtype=np.int64)
+        starts = np.concatenate([[0], np.cumsum(n)])[:-1].astype(np.int64)
+        doc = np.repeat(np.arange(len(n), dtype=U64), n)
+        with np.errstate(over="ignore"):
+            key = mix64(w ^ mix64(doc + U64(1)))
+            order = np.argsort(key, kind="stable")
+            new = np.ones(len(w), dtype=bool)
+            new[1:] = key[order[1:]] != key[order[:-1]]
+            first = np.maximum.accumulate(np.where(new, np.arange(len(w)), 0))
+            nth = np.empty(len(w), dtype=U64)
+            nth[order] = (np.arange(len(w)) - first).astype(U64)  # how often the word stood in the text before
+            elements = mix64(w + nth * U64(0x9E3779B97F4A7C15))
+        return Bags(w, elements, nth == 0, starts, n, np.array(kept, dtype=np.int64))
+
+    def keys(self) -> np.ndarray:
+        """One number per bag, the same for any order of the same elements."""
+        if not len(self.sizes):
+            return np.empty(0, dtype=np.int64)
+        with np.errstate(over="ignore"):
+            return mix64(np.add.reduceat(mix64(self.elements), self.starts) ^ self.sizes.astype(U64)).view(np.int64)
 
 
 def _overview(id_col: str, text_col: str, version_col: str | None, p: MinMax):
     """For every row its id, version and bag; and per task, for every word, the number of rows that have it."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = WordHash(), Counter()
+        kind = pa.int64()
         for b in batches:
-            ids, versions, bags = [], [], []
-            version = b[version_col] if version_col else [None] * len(b)
-            for i, v, text in zip(b[id_col], version, b[text_col]):
-                tokens = words(text) if isinstance(text, str) else []
-                long_enough = len(tokens) >= p.min_words
-                if long_enough:
-                    counts.update(map(known.__getitem__, set(tokens)))
-                if not pd.isna(i):
-                    ids.append(int(i))
-                    versions.append(v)
-                    bags.append(bag_key(np.array(bag_elements(tokens, known), dtype=U64)) if long_enough else None)
-            yield pd.DataFrame({"id": ids, "version": versions, "bag": pd.array(bags, dtype="Int64"), "word": pd.array([None] * len(ids), dtype="Int64"), "n": pd.array([None] * len(ids), dtype="Int64")})
+            bags = Bags.of(b.column(text_col).to_pylist(), known, p.min_words)
+            keys = np.zeros(b.num_rows, dtype=np.int64)
+            keys[bags.kept] = bags.keys()
+            missing = np.ones(b.num_rows, dtype=bool)
+            missing[bags.kept] = False
+            version = b.column(version_col) if version_col else pa.nulls(b.num_rows, pa.int64())
+            kind = version.type
+            none = pa.nulls(b.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(id_col).cast(pa.int64()), version, pa.array(keys, mask=missing), none, none], names=OVERVIEW)
+            word, n = np.unique(bags.words[bags.fresh], return_counts=True)
+            counts.update(dict(zip(word.tolist(), n.tolist())))
             if len(counts) > 400_000:
-                yield _word_rows(counts)
+                yield _word_rows(counts, kind)
                 counts = Counter()
         if counts:
-            yield _word_rows(counts)
+            yield _word_rows(counts, kind)
 
     return run
 
 
-def _word_rows(counts: Counter) -> pd.DataFrame:
-    none = pd.array([None] * len(counts), dtype="Int64")
-    w = np.fromiter(counts.keys(), dtype=U64, count=len(counts)).view(np.int64)
-    return pd.DataFrame({"id": none, "version": pd.Series([None] * len(counts), dtype=object), "bag": none, "word": pd.array(w, dtype="Int64"), "n": pd.array(list(counts.values()), dtype="Int64")})
+OVERVIEW = ["id", "version", "bag", "word", "n"]
+
 
+def _word_rows(counts: Counter, kind: pa.DataType) -> pa.RecordBatch:
+    none = pa.nulls(len(counts), pa.int64())
+    word = np.fromiter(counts.keys(), dtype=U64, count=len(counts)).view(np.int64)
+    return pa.RecordBatch.from_arrays([none, pa.nulls(len(counts), kind), none, pa.array(word), pa.array(list(counts.values()), pa.int64())], names=OVERVIEW)
 
-def signatures(elements: np.ndarray, starts: np.ndarray, light: np.ndarray, p: MinMax) -> np.ndarray:
-    """Band keys (texts, bands) of bags laid end to end. light: which elements are common words.
 
-    An element of weight 1/n has its hash value u in (0, 1) raised to the power n (and 1 - u likewise) before the maximum is
-    taken: that is the exponential-clock form of weighted min-hash, and u and 1 - u give the maximum and the minimum."""
+def signatures(bags: Bags, light: np.ndarray, p: MinMax) -> np.ndarray:
+    """Band keys (texts, bands). light: sorted hashes of common words.
+
+    A hash value u in (0, 1) of an element of weight 1/n counts as u ** n for the maximum and as (1 - u) ** n for the minimum: the
+    exponential-clock form of weighted min-hash. The power keeps the order, so it is taken of each text's extremes only."""
     rng = np.random.default_rng(p.seed)
     functions = p.rows // 2 * p.bands
     a = rng.integers(1, 2**63, functions, dtype=np.int64).view(U64) | U64(1)
     c = rng.integers(0, 2**63, functions, dtype=np.int64).view(U64)
-    where = np.flatnonzero(light)
-    keys = np.zeros((len(starts), p.bands), dtype=U64)
+    common = light[np.minimum(np.searchsorted(light, bags.words), len(light) - 1)] == bags.words if len(light) else np.zeros(len(bags.words), dtype=bool)
+    doc = np.repeat(np.arange(len(bags.sizes)), bags.sizes)
+    sides = []
+    for part, power in ((~common, 1), (common, p.common_power)):
+        owner = doc[part]
+        who, starts = np.unique(owner, return_index=True)
+        e = bags.elements[part]
+        sides.append((who, starts, e, np.empty_like(e), power))
+    keys = np.zeros((len(bags.sizes), p.bands), dtype=U64)
     with np.errstate(over="ignore"):
-        base = mix64(elements)
         for f in range(functions):
-            x = base * a[f] + c[f]
-            x = (x ^ (x >> U64(32))) * U64(0x9E3779B97F4A7C15)
-            u = ((x >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53
-            v = 1.0 - u
-            if len(where):
-                u[where] **= p.common_power
-                v[where] **= p.common_power
             band = f % p.bands
-            for values in (u, v):
-                top = np.maximum.reduceat(values, starts).view(U64)
-                keys[:, band] = mix64(keys[:, band] * U64(0x2545F4914F6CDD1D) + top)
+            top, bottom = np.zeros(len(bags.sizes)), np.zeros(len(bags.sizes))
+            for who, starts, e, x, power in sides:
+                if not len(e):
+                    continue
+                np.multiply(e, a[f], out=x)
+                np.add(x, c[f], out=x)
+                u = ((np.maximum.reduceat(x, starts) >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53
+                v = 1.0 - ((np.minimum.reduceat(x, starts) >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53
+                top[who] = np.maximum(top[who], u**power)
+                bottom[who] = np.maximum(bottom[who], v**power)
+            for values in (top, bottom):
+                keys[:, band] = mix64(keys[:, band] * U64(0x2545F4914F6CDD1D) + values.view(U64))
         for band in range(p.bands):
             keys[:, band] = mix64(keys[:, band] + U64(band + 1))
     return keys
 
 
-def _signed(text_col: str, light_words: np.ndarray, p: MinMax):
-    common = {int(x) for x in light_words.view(U64)}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _signed(text_col: str, light: np.ndarray, p: MinMax):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
         for b in batches:
-            bags, sizes, heavy, light = [], [], [], []
-            for text in b[text_col]:
-                tokens = words(text) if isinstance(text, str) else []
-                if len(tokens) >= p.min_words:
-                    elements = bag_elements(tokens, known)
-                    bags.append(bag_key(np.array(elements, dtype=U64)))
-                    sizes.append(len(elements))
-                    heavy.extend(elements)
-                    light.extend([known[w] in common for w in tokens])
-            if not bags:
+            bags = Bags.of(b.column(text_col).to_pylist(), known, p.min_words)
+            if not len(bags.sizes):
                 continue
-            elements, n = np.array(heavy, dtype=U64), np.array(sizes)
-            starts = np.concatenate([[0], np.cumsum(n)[:-1]])
-            keys = signatures(elements, starts, np.array(light), p).view(np.int64)
-            short = (elements >> U64(32)).astype(np.uint32).view(np.int32)
-            yield pd.DataFrame({"bag": bags, "size": n.astype(np.int32), "bands": list(keys), "elements": np.split(short, starts[1:])})
+            keys = signatures(bags, light, p).view(np.int64)
+            short = (bags.elements >> U64(32)).astype(np.uint32).view(np.int32)
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * p.bands), pa.array(keys.ravel()))
+            elements = pa.ListArray.from_arrays(pa.array(np.append(bags.starts, len(short)).astype(np.int32)), pa.array(short))
+            sign = pa.StructArray.from_arrays([pa.array(bags.sizes.astype(np.int32)), bands, elements], names=["size", "bands", "elements"])
+            yield pa.RecordBatch.from_arrays([pa.array(bags.keys()), sign], names=["bag", "sign"])
 
     return run
 
@@ -170,20 +197,21 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, version_col: str
     p = p or MinMax.planned(df.count())
     cols = [id_col, text_col] + ([version_col] if version_col else [])
     kind = df.schema[version_col].dataType.simpleString() if version_col else "long"
-    seen = materialise(df.select(*cols).mapInPandas(_overview(id_col, text_col, version_col, p), f"id long, version {kind}, bag long, word long, n long"))
+    seen = materialise(df.select(*cols).mapInArrow(_overview(id_col, text_col, version_col, p), f"id long, version {kind}, bag long, word long, n long"))
     latest = F.struct(F.col("version").isNotNull(), F.col("version"), F.col("bag").isNotNull(), F.col("bag"))
     members = seen.where("id is not null").groupBy("id").agg(F.max_by("bag", latest).alias("bag"))
     texts = seen.where("bag is not null").count()
     # at most (mean distinct words per text) / p.common words can stand in that share of the texts: a few thousand, at any size
     frequent = seen.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") > p.common * texts)
-    light = np.array([r.word for r in frequent.select("word").collect()], dtype=np.int64)
+    light = np.sort(np.array([r.word for r in frequent.select("word").collect()], dtype=np.int64).view(U64))
 
-    signed = df.select(text_col).mapInPandas(_signed(text_col, light, p), "bag long, size int, bands array<long>, elements array<int>")
-    one = signed.groupBy("bag").agg(F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("elements").alias("elements"))
-    keys = one.select(F.explode("bands").alias("band"), "bag")
+    # one struct, so that no branch below prunes columns and all of them share one exchange
+    signed = df.select(text_col).mapInArrow(_signed(text_col, light, p), "bag long, sign struct<size:int,bands:array<long>,elements:array<int>>")
+    one = signed.groupBy("bag").agg(F.first("sign").alias("sign"))
+    keys = one.select(F.explode("sign.bands").alias("band"), "bag")
     meet = keys.alias("x").join(keys.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.bag") < F.col("y.bag")))
     pairs = meet.select(F.col("x.bag").alias("bag_a"), F.col("y.bag").alias("bag_b")).distinct()
-    side = lambda s: one.select(F.col("bag").alias(f"bag_{s}"), F.col("size").alias(f"size_{s}"), F.col("elements").alias(f"elements_{s}"))
+    side = lambda s: one.select(F.col("bag").alias(f"bag_{s}"), F.col("sign.size").alias(f"size_{s}"), F.col("sign.elements").alias(f"elements_{s}"))
     both = pairs.join(side("a"), "bag_a").join(side("b"), "bag_b")
     shared = F.size(F.array_intersect("elements_a", "elements_b")) / F.greatest("size_a", "size_b")
     links = both.select("bag_a", "bag_b", shared.cast(T.DoubleType()).alias("similarity")).where(F.col("similarity") >= p.threshold - 1e-9)
