@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import leaks, mixing, near_duplicates, overlaps, quotas, similar_vectors, top_items
+from graphloom.llm import leaks, mixing, near_duplicates, overlaps, personal, quotas, similar_vectors, top_items
 from graphloom.llm.sql import SQL  # noqa: F401 - part of this module's interface
-from graphloom.session import table
+from graphloom.session import materialise, table
 
 
 def _near(spark: SparkSession, d: str):
@@ -88,8 +88,6 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, d: str):
-    from graphloom.session import materialise
-
     return mixing.mix(materialise(mixing.token_counts(table(spark, d, "documents"))), table(spark, d, "source_targets"))
 
 
@@ -101,7 +99,19 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
+def p8_spans(spark: SparkSession, d: str) -> DataFrame:
+    return personal.personal_spans(table(spark, d, "documents"), table(spark, d, "name_parts"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_spans(spark, d).select("doc_id", "kind", "found_text").distinct()
+
+
+def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return personal.redacted(table(spark, d, "documents"), table(spark, d, "name_parts"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p2_found, p2_report, p3_found, p3_neighbours, p4_found, p4_top, p5_found, p5_sample, p5_report, p6_found, p6_leaks, p6_report, p7_found, p7_mix, p7_report)
+    for f in (p1_found, p1_groups, p2_found, p2_report, p3_found, p3_neighbours, p4_found, p4_top, p5_found, p5_sample, p5_report, p6_found, p6_leaks, p6_report, p7_found, p7_mix, p7_report, p8_found, p8_spans, p8_redacted)
 }
