@@ -24,7 +24,7 @@ PUNCTUATION = "[!-/:-@\\[-`{-~\\x{3002}\\x{FF01}\\x{FF1F}\\x{FF0C}\\x{3001}\\x{F
 
 def quoted(s: str) -> str:
     """A literal inside a Java regular expression (and RE2)."""
-    return "".join("\\" + c if c in r"\^$.|?*+()[]{}<>/-" and c not in "<>/-" else c for c in s)
+    return "".join("\\" + c if c in r"\^$.|?*+()[]{}" else c for c in s)
 
 
 def body_pattern(tags: tuple[str, str]) -> str:
