@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ZERO = F.lit(0.0)
-
 
 def dot(a: Column, b: Column) -> Column:
     """Sum of products, in double; null where a side is null or the lengths differ."""
