@@ -148,17 +148,20 @@ def signatures(bags: Bags, light: np.ndarray, p: MinMax) -> np.ndarray:
         owner = doc[part]
         who, starts = np.unique(owner, return_index=True)
         e = bags.elements[part]
-        sides.append((who, starts, e, np.empty_like(e), power))
+        sides.append((who, starts, e, np.empty_like(e), np.empty_like(e), power))
     keys = np.zeros((len(bags.sizes), p.bands), dtype=U64)
     with np.errstate(over="ignore"):
         for f in range(functions):
             band = f % p.bands
             top, bottom = np.zeros(len(bags.sizes)), np.zeros(len(bags.sizes))
-            for who, starts, e, x, power in sides:
+            for who, starts, e, x, t, power in sides:
                 if not len(e):
                     continue
                 np.multiply(e, a[f], out=x)
                 np.add(x, c[f], out=x)
+                np.right_shift(x, U64(32), out=t)  # a product alone favours some elements under every function
+                np.bitwise_xor(x, t, out=x)
+                np.multiply(x, U64(0x9E3779B97F4A7C15), out=x)
                 u = ((np.maximum.reduceat(x, starts) >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53
                 v = 1.0 - ((np.minimum.reduceat(x, starts) >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53
                 top[who] = np.maximum(top[who], u**power)
