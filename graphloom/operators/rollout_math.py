@@ -50,7 +50,7 @@ def reverse_sums(df: DataFrame, seq: str, pos: str, value: Column, name: str) ->
 def as_arrays(df: DataFrame, seq: str, pos: str, cols: list[str]) -> DataFrame:
     """One row per sequence with its columns as arrays in order."""
     packed = F.array_sort(F.collect_list(F.struct(pos, *cols))).alias("_s")
-    return df.groupBy(seq).agg(packed).select(seq, *[F.transform("_s", lambda x, c=c: x[c]).alias(c) for c in cols])
+    return df.groupBy(seq).agg(packed).select(seq, *[F.col(f"_s.{c}").alias(c) for c in cols])
 
 
 def terminal_rewards(df: DataFrame, seq: str, pos: str, kl: str, reward: str, coefficient: float, low: float = -10.0, high: float = 10.0) -> DataFrame:

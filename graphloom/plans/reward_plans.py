@@ -95,10 +95,10 @@ def reward_cover_em(s, d):
     return responses(s, d).select("doc_id", rw.cover_match(tx.first_body(F.col("response"), tx.ANSWER), F.col("gold")).alias("score"))
 
 
-@query("reward_sum", "select o_orderkey, round(o_totalprice / 1000 + o_custkey, 4) as total from orders")
+@query("reward_sum", "select o_orderkey, round(floor(o_totalprice) / 1000 + o_custkey, 3) as total from orders")
 def reward_sum(s, d):
-    parts = F.array(F.col("o_totalprice") / 1000, F.col("o_custkey").cast("double"))
-    return table(s, d, "orders").select("o_orderkey", F.round(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+    parts = F.array(F.floor("o_totalprice") / 1000, F.col("o_custkey").cast("double"))
+    return table(s, d, "orders").select("o_orderkey", F.round(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
 
 
 # --- groups of samples -----------------------------------------------------------------------------------------------------------
@@ -106,10 +106,10 @@ def reward_sum(s, d):
 
 def rollouts(s, d):
     o = table(s, d, "orders")
-    return o.select(F.col("o_custkey").alias("input"), F.col("o_orderkey").alias("output"), F.col("o_totalprice").alias("reward"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("pos"))
+    return o.select(F.col("o_custkey").alias("input"), F.col("o_orderkey").alias("output"), F.floor("o_totalprice").cast("double").alias("reward"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("pos"))
 
 
-ROLL = "rollouts as (select o_custkey as input, o_orderkey as output, o_totalprice as reward, row_number() over (partition by o_custkey order by o_orderkey) as pos from orders)"
+ROLL = "rollouts as (select o_custkey as input, o_orderkey as output, floor(o_totalprice) as reward, row_number() over (partition by o_custkey order by o_orderkey) as pos from orders)"
 
 
 @query("group_norm", f"with {ROLL} select output, round((reward - avg(reward) over w) / (stddev_samp(reward) over w + 1e-9), 4) as advantage from rollouts window w as (partition by input)")
@@ -117,14 +117,14 @@ def group_norm(s, d):
     return rm.group_normalised(rollouts(s, d), "input", "reward").select("output", F.round("advantage", 4).alias("advantage"))
 
 
-@query("rloo", f"with {ROLL} select output, round(reward - (sum(reward) over w - reward) / nullif(count(*) over w - 1, 0), 2) as advantage from rollouts window w as (partition by input)")
+@query("rloo", f"with {ROLL} select output, round(reward - (sum(reward) over w - reward) / nullif(count(*) over w - 1, 0), 3) as advantage from rollouts window w as (partition by input)")
 def rloo(s, d):
-    return rm.leave_one_out(rollouts(s, d), "input", "reward").select("output", F.round("advantage", 2).alias("advantage"))
+    return rm.leave_one_out(rollouts(s, d), "input", "reward").select("output", F.round("advantage", 3).alias("advantage"))
 
 
-@query("reinforce_baseline", f"with {ROLL} select output, round(reward - avg(reward) over (partition by input), 2) as advantage from rollouts")
+@query("reinforce_baseline", f"with {ROLL} select output, round(reward - avg(reward) over (partition by input), 3) as advantage from rollouts")
 def reinforce_baseline(s, d):
-    return rm.mean_baseline(rollouts(s, d), "input", "reward").select("output", F.round("advantage", 2).alias("advantage"))
+    return rm.mean_baseline(rollouts(s, d), "input", "reward").select("output", F.round("advantage", 3).alias("advantage"))
 
 
 @query("reward_zscore", f"with {ROLL} select output, round((reward - (select avg(reward) from rollouts)) / (select stddev_samp(reward) from rollouts), 6) as z from rollouts")
