@@ -1,3 +1,3 @@
 """Registered queries. Importing this package registers all of them."""
 
-from graphloom.plans import graph_plans, reward_plans, text_plans  # noqa: F401
+from graphloom.plans import graph_plans, mixing_plans, reward_plans, text_plans  # noqa: F401

