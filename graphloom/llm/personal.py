@@ -27,9 +27,11 @@ KINDS = ("email", "phone", "id_number", "address", "name")
 
 # --- generators -----------------------------------------------------------------------------------------------------------------
 
-_AT = r"(?: ?@ ?| ?[\[(]\s?(?i:at)\s?[\])] ?| (?i:at) )"
+_AT = r"(?:@| @ | ?[\[(]\s?(?i:at)\s?[\])] ?)"
 _DOT = r"(?:\.| ?[\[(]\s?(?i:dot)\s?[\])] ?| (?i:dot) )"
-EMAIL = re.compile(rf"(?<![\w.+%-])[A-Za-z0-9](?:[\w.+%-]*[A-Za-z0-9_])?{_AT}[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:{_DOT}[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")
+_LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
+# a bare word `at` makes an address only with a spelled-out dot: "ask Keller at a.keller (at) ..." holds one address, not two
+EMAIL = re.compile(rf"(?<![\w.+%-])[A-Za-z0-9](?:[\w.+%-]*[A-Za-z0-9_])?(?:{_AT}{_LABEL}(?:{_DOT}{_LABEL})+| (?i:at) {_LABEL}(?: ?[\[(]?\b(?i:dot)\b[\])]? ?{_LABEL})+)")
 NUMBER = re.compile(r"(?<![\w.])(?:\+|\()?\d(?:[ ./()-]{0,2}\d){5,16}(?![\w-])")
 CODE = re.compile(r"(?<![\w-])[A-Z]{1,3}[ -]?\d(?:[ -]?\d){4,10}(?:[ -]?[A-Z])?(?![\w-])")
 _CAP = r"[^\W\d_a-zà-öø-ÿ][\w'’-]*[^\W_]"
@@ -103,8 +105,8 @@ Span = tuple[int, int, str, int]
 def candidates(text: str) -> list[Span]:
     """(start, stop, kind, generator) of every proposal; they overlap freely."""
     out: list[Span] = []
-    if "@" in text or "at" in text or "AT" in text:
-        out += [(m.start(), m.end(), "email", 0) for m in EMAIL.finditer(text) if "@" in m[0] or re.search(r"(?i)\bat\b.*\bdot\b|[\[(]\s?at", m[0])]
+    if "@" in text or "at" in text or "AT" in text or "At" in text:
+        out += [(m.start(), m.end(), "email", 0) for m in EMAIL.finditer(text)]
     for m in NUMBER.finditer(text):
         a, b = m.span()
         if text[a] == "(" and ")" not in m[0]:
