@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import vectors as vx
+from graphloom.operators.ranking import numbered
 
 
 def seeded(seed: int, *cols: str) -> Column:
@@ -13,10 +14,12 @@ def seeded(seed: int, *cols: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
 
 
-def seeded_sample(df: DataFrame, by: list[str], n: Column | int, seed: int, keys: list[str]) -> DataFrame:
-    """Up to n rows per stratum, without replacement."""
+def seeded_sample(df: DataFrame, by: list[str], n: Column | int, seed: int, keys: list[str], most: int | None = None) -> DataFrame:
+    """Up to n rows per stratum, without replacement. most: a constant bound of n; with it (or a constant n) each task keeps only so
+    many rows of a stratum before the shuffle, so a stratum of any size is no single task's load."""
     w = Window.partitionBy(*by).orderBy(seeded(seed, *keys), *keys)
-    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+    r = df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
+    return (r if most is None else r.where(F.col("_r") <= most)).drop("_r")
 
 
 def stratified(df: DataFrame, by: list[str], level: str, counts: dict[str, int], seed: int, keys: list[str]) -> DataFrame:
@@ -24,7 +27,7 @@ def stratified(df: DataFrame, by: list[str], level: str, counts: dict[str, int],
     n = F.lit(0)
     for name, k in counts.items():
         n = F.when(F.col(level) == name, F.lit(k)).otherwise(n)
-    return seeded_sample(df.where(F.col(level).isin(list(counts))), [*by, level], n, seed, keys)
+    return seeded_sample(df.where(F.col(level).isin(list(counts))), [*by, level], n, seed, keys, max(counts.values(), default=0))
 
 
 def short_of(df: DataFrame, by: list[str], level: str, counts: dict[str, int]) -> DataFrame:
@@ -87,4 +90,4 @@ def curriculum(df: DataFrame, level: str, keys: list[Column], hard_first: bool =
     r = F.lit(3)
     for k, v in ranks.items():
         r = F.when(F.lower(F.col(level)) == k, F.lit(v)).otherwise(r)
-    return df.withColumn("_rank", r).withColumn(name, F.row_number().over(Window.orderBy("_rank", *keys)) - 1).drop("_rank")
+    return numbered(df.withColumn("_rank", r), [F.col("_rank"), *keys], name).drop("_rank")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.ranking import group_positions
 from graphloom.session import materialise
 
 
@@ -34,6 +35,21 @@ def two_hops(adj: DataFrame, anchors: DataFrame | None, by: list[str]) -> DataFr
     return a.join(b, [*by, "mid"]).where("src <> far").select(*by, "src", F.col("far").alias("dst")).distinct()
 
 
+def common_neighbours(edges: DataFrame, adj: DataFrame, by: list[str]) -> DataFrame:
+    """n_u, n_v and the sorted list of common neighbours of each edge.
+
+    Each edge is expanded from its end of lower degree and checked against the other, so a hub with a third of all edges is
+    expanded for none of them: the rows stay within the edges to the power 1.5."""
+    d = degrees(adj, by)
+    deg = lambda c, n: d.select(*by, F.col("node_id").alias(c), F.col("degree").alias(n))
+    e = edges.join(deg("u", "n_u"), [*by, "u"]).join(deg("v", "n_v"), [*by, "v"])
+    low, high = F.when(F.col("n_u") <= F.col("n_v"), F.col("u")).otherwise(F.col("v")), F.when(F.col("n_u") <= F.col("n_v"), F.col("v")).otherwise(F.col("u"))
+    wide = e.select(*by, "u", "v", low.alias("src"), high.alias("other")).join(adj.select(*by, "src", F.col("dst").alias("w")), [*by, "src"])
+    both = wide.join(adj.select(*by, F.col("src").alias("other"), F.col("dst").alias("w")), [*by, "other", "w"], "left_semi")
+    found = both.groupBy(*by, "u", "v").agg(F.array_sort(F.collect_list("w")).alias("common"))
+    return e.join(found, [*by, "u", "v"], "left").withColumn("common", F.coalesce("common", F.array().cast("array<bigint>")))
+
+
 def degrees(adj: DataFrame, by: list[str]) -> DataFrame:
     return adj.groupBy(*by, F.col("src").alias("node_id")).agg(F.count("*").alias("degree"))
 
@@ -75,8 +91,7 @@ def homophily(nodes: DataFrame, adj: DataFrame, by: list[str]) -> DataFrame:
 
 def tercile_nodes(scored: DataFrame, by: list[str]) -> DataFrame:
     """hard (lowest third of scores), medium, easy; graphs of fewer than three nodes are all medium. Ties by node id."""
-    w = Window.partitionBy(*by).orderBy("score", "node_id")
-    r = scored.withColumn("rank", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*by)))
+    r = group_positions(scored, by, [F.col("score"), F.col("node_id")], "rank", "n")
     lo, hi = F.floor(F.col("n") / 3), F.floor(2 * F.col("n") / 3)
     level = F.when(F.col("n") < 3, "medium").when(F.col("rank") < lo, "hard").when(F.col("rank") < hi, "medium").otherwise("easy")
     return r.select(*by, "node_id", "score", level.alias("difficulty"))
@@ -85,7 +100,7 @@ def tercile_nodes(scored: DataFrame, by: list[str]) -> DataFrame:
 def tercile_pairs(pairs: DataFrame, by: list[str], positive: Column, similarity: str = "similarity", tie: str = "pair_id") -> DataFrame:
     """easy, medium, hard by thirds; positives from the most similar on, negatives from the least; the rest of the division is hard."""
     order = F.when(positive, -F.col(similarity)).otherwise(F.col(similarity))
-    r = pairs.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(order, tie)) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
+    r = group_positions(pairs, by, [order, F.col(tie)], "_rank", "_n")
     b = F.when(F.floor(F.col("_n") / 3) > 0, F.floor(F.col("_n") / 3)).otherwise(F.col("_n"))
     level = F.when(F.col("_rank") < b, "easy").when(F.col("_rank") < 2 * b, "medium").otherwise("hard")
     return r.withColumn("difficulty", level).drop("_rank", "_n")

@@ -8,6 +8,8 @@ from math import lcm
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.ranking import group_positions, numbered
+
 
 def pattern(shares: dict[str, float]) -> dict[str, tuple[int, int, int]]:
     """For each source with a positive share: (rows per cycle, first place in the cycle, cycle length), shares as small fractions."""
@@ -27,8 +29,7 @@ def interleaved(df: DataFrame, source: str, order: list[Column], shares: dict[st
     first_exhausted ends with the first source that runs out; all_exhausted keeps every row. Sources without a share follow at the
     end, each row once."""
     cycle = pattern(shares)
-    rank = F.row_number().over(Window.partitionBy(source).orderBy(*order)) - 1
-    r = df.withColumn("_r", rank)
+    r = group_positions(df, [source], order, "_r", "_size").drop("_size")
     n, start, length = F.lit(None).cast("long"), F.lit(None).cast("long"), max([c[2] for c in cycle.values()], default=1)
     for name, (count, first, _) in cycle.items():
         hit = F.col(source) == name
@@ -44,7 +45,7 @@ def sampled_ranks(df: DataFrame, order: list[Column], replicas: int, drop_tail:
     """Distributed sampler: rows in a seeded order dealt to replicas in turn; short of a full round the first rows come again, or the
     rest is dropped. Columns: replica, turn."""
     n = df.count()
-    ranked = df.withColumn("_r", F.row_number().over(Window.orderBy(*order)) - 1)
+    ranked = numbered(df, order, "_r")
     whole = n - n % replicas if drop_tail else -(-n // replicas) * replicas
     kept = ranked.where(F.col("_r") < whole)
     if whole > n:
@@ -55,7 +56,7 @@ def sampled_ranks(df: DataFrame, order: list[Column], replicas: int, drop_tail:
 def contiguous_shards(df: DataFrame, order: list[Column], shards: int) -> DataFrame:
     """shard: blocks of ceil(n / shards) rows in order."""
     size = -(-df.count() // shards) or 1
-    return df.withColumn("shard", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size))
+    return numbered(df, order, "_r").withColumn("shard", F.floor(F.col("_r") / size)).drop("_r")
 
 
 def batches(df: DataFrame, by: list[str], order: list[Column], size: int) -> DataFrame:

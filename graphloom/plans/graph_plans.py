@@ -9,6 +9,7 @@ from graphloom.functions import vectors as vx
 from graphloom.operators import datasets as ds
 from graphloom.operators import graph as g
 from graphloom.operators import retrieve as rt
+from graphloom.operators.ranking import numbered
 from graphloom.plans import base as b
 from graphloom.plans.registry import query
 from graphloom.session import table
@@ -102,8 +103,8 @@ ASKED = "asked as (select row_number() over (order by dataset, node_id) as qid,
 
 
 def asked(s, d):
-    n = b.nodes(s, d).where("split = 'test'")
-    return n.select(F.row_number().over(Window.orderBy("dataset", "node_id")).cast("long").alias("qid"), "dataset", "node_id")
+    n = numbered(b.nodes(s, d).where("split = 'test'").select("dataset", "node_id"), [F.col("dataset"), F.col("node_id")])
+    return n.select((F.col("place") + 1).alias("qid"), "dataset", "node_id")
 
 
 _TOP = """hits as (select *, row_number() over (partition by qid order by score desc, cand) as doc_id from cands)
@@ -188,7 +189,7 @@ def batch_query(s, d):
     sim = rt.similar_candidates(q.where("strategy = 'similar'"), emb, 5).join(q.select("qid", "strategy", "k"), "qid")
     cols = ["qid", "dataset", "node_id", "strategy", "k", "cand", "score"]
     every = hop1.select(*cols).union(hop2.select(*cols)).union(pr.select(*cols)).union(sim.select(*cols))
-    hits = rt.as_documents(rt.ranked(every, ["qid"], "score", "cand", F.col("k")), b.texts(s, d))
+    hits = rt.as_documents(rt.ranked(every, ["qid"], "score", "cand", F.col("k"), most=5), b.texts(s, d))
     docs = hits.groupBy("qid", "dataset", "node_id", "strategy").agg(F.array_sort(F.collect_list(F.struct("doc_id", "doc"))).alias("docs"))
     return docs.withColumn("score_name", F.when(F.col("strategy") == "pagerank", "pagerank").otherwise("similarity"))
 
@@ -281,8 +282,17 @@ def lp_neighbor_docs(s, d):
 
 @query("lp_hop_payload", b.with_(b.ADJ) + ", h as (select dataset, src, list_sort(list(distinct dst)) as hop from adj group by 1, 2) select e.dataset, u, v, len(a.hop) as n_u, len(c.hop) as n_v, list_sort(list_intersect(a.hop, c.hop)) as common_hop from edges e join h a on a.dataset = e.dataset and a.src = u join h c on c.dataset = e.dataset and c.src = v")
 def lp_hop_payload(s, d):
-    p = ds.hop_payload(b.edges(s, d), g.hop_lists(b.adjacency(s, d), BY))
-    return p.select("dataset", "u", "v", F.size("node_u_hop").cast("long").alias("n_u"), F.size("node_v_hop").cast("long").alias("n_v"), "common_hop")
+    p = g.common_neighbours(b.edges(s, d), b.adjacency(s, d), BY)
+    return p.select("dataset", "u", "v", "n_u", "n_v", F.col("common").alias("common_hop"))
+
+
+@query("lp_hop_lists", b.with_(_ONE, b.NODES, b.ADJ) + """, h as (select dataset, src, list_sort(list(distinct dst)) as hop from adj group by 1, 2), p as (select distinct n.dataset, u.node_id as u, n.node_id as v from nodes n join nodes u on u.dataset = n.dataset and u.node_id = n.node_id // 2 and u.node_id <> n.node_id where n.split = 'valid')
+ select p.dataset, u, v, coalesce(a.hop, []) as node_u_hop, coalesce(c.hop, []) as node_v_hop, coalesce(list_sort(list_intersect(a.hop, c.hop)), []) as common_hop from p left join h a on a.dataset = p.dataset and a.src = u left join h c on c.dataset = p.dataset and c.src = v""")
+def lp_hop_lists(s, d):
+    n = b.nodes(s, d)
+    v = n.where("split = 'valid'").select("dataset", F.floor(F.col("node_id") / 2).alias("u"), F.col("node_id").alias("v")).where("u <> v")
+    pairs = v.join(n.select("dataset", F.col("node_id").alias("u")), ["dataset", "u"])
+    return ds.hop_payload(pairs, g.hop_lists(b.adjacency(s, d), BY)).select("dataset", "u", "v", "node_u_hop", "node_v_hop", "common_hop")
 
 
 @query("lp_similar_docs", "select sample_id, generate_subscripts(l, 1) as doc_id, unnest(l).ref as ref_pair, unnest(l).text as doc from (select sample_id, list_transform(similar_pairs[1:3], lambda p: struct_pack(ref := p.pair_id, text := concat('[similar pair] ', case when p.is_edge then 'existing edge' else 'reference pair' end, '. First node: Node ', cast(p.node_u as varchar), '. Second node: Node ', cast(p.node_v as varchar), '.'))) as l from (select sample_id, arg_max(similar_pairs, exported_at) as similar_pairs from pair_samples group by 1) where len(similar_pairs) > 0)")

@@ -10,6 +10,7 @@ from graphloom.functions import vectors as vx
 from graphloom.operators import datasets as ds
 from graphloom.operators import graph as g
 from graphloom.operators import mixing as mx
+from graphloom.operators.ranking import numbered
 from graphloom.plans import base as b
 from graphloom.plans.graph_plans import HOMO, TERC
 from graphloom.plans.registry import query
@@ -145,7 +146,7 @@ def unmatched_join(s, d):
 
 @query("cyclic_source", "select i.item_id, r.name as r_name from (select item_id, (row_number() over (order by item_id) - 1) % 5 as k from eval_items) i join (select r_regionkey as k, r_name as name from region) r on r.k = i.k")
 def cyclic_source(s, d):
-    i = table(s, d, "eval_items").select("item_id", ((F.row_number().over(Window.orderBy("item_id")) - 1) % 5).cast("int").alias("r_regionkey"))
+    i = numbered(table(s, d, "eval_items").select("item_id"), [F.col("item_id")]).select("item_id", (F.col("place") % 5).cast("int").alias("r_regionkey"))
     return i.join(F.broadcast(table(s, d, "region")), "r_regionkey").select("item_id", "r_name")  # five regions, fixed
 
 
@@ -301,8 +302,8 @@ def record_global_id(s, d):
 
 @query("sort_by_idx_text", "select o_orderkey, row_number() over (order by cast(o_orderkey as varchar), o_orderkey) - 1 as place from orders where o_custkey < 100")
 def sort_by_idx_text(s, d):
-    w = Window.orderBy(F.col("o_orderkey").cast("string"), "o_orderkey")
-    return table(s, d, "orders").where("o_custkey < 100").select("o_orderkey", (F.row_number().over(w) - 1).cast("long").alias("place"))
+    o = table(s, d, "orders").where("o_custkey < 100").select("o_orderkey")
+    return numbered(o, [F.col("o_orderkey").cast("string"), F.col("o_orderkey")])
 
 
 @query("json_encode", "select dataset, concat('{\"dataset\":\"', dataset, '\",\"position\":', cast(position as varchar), '}') as line from graph_datasets")

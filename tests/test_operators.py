@@ -307,3 +307,26 @@ def test_smoothing(spark):
     df = spark.createDataFrame([([1.0, 1.0],)], "x array<double>")
     assert df.select(vx.smoothed(F.col("x"), 0.9)).first()[0] == pytest.approx(0.19)
     assert math.isclose(df.select(vx.adapted_coefficient(F.col("x"), 1.0, 1.0, 1.0, 1.0)).first()[0], 1.0)
+
+
+@pytest.mark.parametrize("partitions", ["1", "3", "9"])
+def test_positions_over_partitions(spark, partitions):
+    from graphloom.operators.ranking import group_positions, numbered
+
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        df = spark.createDataFrame([("hot", (i * 37) % 500) for i in range(500)] + [(f"g{i % 9}", i) for i in range(60)] + [(None, i) for i in range(5)], "g string, i long")
+        got = numbered(df, [F.col("i"), F.col("g")]).collect()
+        assert [r.place for r in sorted(got, key=lambda r: (r.i, r.g is not None, r.g or ""))] == list(range(565))
+        per = {(r.g, r.i): (r.rank, r.size) for r in group_positions(df, ["g"], [F.col("i")]).collect()}
+        assert len(per) == 565 and all(per["hot", i] == (i, 500) for i in range(500)) and per[None, 3] == (3, 5) and per["g0", 9] == (1, 7)
+        assert group_positions(df.where("false"), ["g"], [F.col("i")]).count() == 0 and numbered(df.where("false"), [F.col("i")]).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_common_neighbours_of_a_hub(spark):
+    e = spark.createDataFrame([("g", 0, i) for i in range(1, 30)] + [("g", 1, 2), ("g", 2, 3)], "k string, u long, v long")
+    got = {(r.u, r.v): (r.n_u, r.n_v, r.common) for r in g.common_neighbours(e, g.both_ways(e, ["k"]), ["k"]).collect()}
+    assert got[0, 1] == (29, 2, [2]) and got[0, 2] == (29, 3, [1, 3]) and got[1, 2] == (2, 3, [0]) and got[0, 9] == (29, 1, [])
