@@ -76,3 +76,28 @@ def rotated(df: DataFrame, by: list[str], order: list[Column], value: str, name:
     w = Window.partitionBy(*by).orderBy(*order)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return df.withColumn(name, F.coalesce(F.lead(value).over(w), F.first(value).over(whole)))
+
+
+def weighted_interleaved(df: DataFrame, source: str, order: list[Column], shares: dict[str, float], seed: int, until: str = "first_exhausted") -> DataFrame:
+    """Rows of several sources in a random sequence of sources drawn by shares, as a place column.
+
+    The source of place i comes from a hash of seed and i; the n-th place of a source takes its n-th row. first_exhausted ends
+    before a source would run out; all_exhausted goes on, a source that ran out beginning again, until every source was used up."""
+    spark = df.sparkSession
+    sizes = {r[0]: r[1] for r in df.groupBy(source).agg(F.count("*")).collect() if r[0] in shares and shares[r[0]] > 0}  # one number per source
+    total = sum(shares[s] for s in sizes)
+    if not sizes:
+        return df.where("false").withColumn("place", F.lit(0).cast("long"))
+    reach = [n * total / shares[s] for s, n in sizes.items()]
+    n = int(1.2 * (min(reach) if until == "first_exhausted" else max(reach))) + 1000
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("place").cast("string"))), 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
+    at, chosen = 0.0, F.lit(None).cast("string")
+    for s in sorted(sizes, reverse=True):
+        at += shares[s] / total
+        chosen = F.when(u >= 1 - at, F.coalesce(chosen, F.lit(s))).otherwise(chosen)
+    places = group_positions(spark.range(n).withColumnRenamed("id", "place").withColumn("_s", chosen), ["_s"], [F.col("place")], "_n", "_all").drop("_all")
+    size = F.create_map(*[x for s, k in sizes.items() for x in (F.lit(s), F.lit(k))])[F.col("_s")]
+    last = places.where(F.col("_n") == size - (0 if until == "first_exhausted" else 1)).agg(F.min("place") if until == "first_exhausted" else F.max("place")).first()[0]
+    cut = places.where(F.col("place") < last) if until == "first_exhausted" else places.where(F.col("place") <= last)
+    rows = group_positions(df.where(F.col(source).isin(list(sizes))), [source], order, "_r", "_c").drop("_c")
+    return cut.withColumn("_r", F.col("_n") % size).join(rows.withColumn("_s", F.col(source)), ["_s", "_r"]).select(*df.columns, "place")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -112,12 +113,7 @@ def remote_vectors(texts: DataFrame, text_col: str, client: Callable[[], Callabl
     """Adds `embedding` by a remote or local encoder: client() is called once per task and gives a function of a list of texts.
 
     A failed call is tried again; after that the task fails and Spark runs it elsewhere."""
-    from collections.abc import Iterator
-
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("array<double>")
+    @F.pandas_udf("array<double>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         f = client()
         for b in batches:
