@@ -30,7 +30,7 @@ def adjacency_one_hop(s, d):
 TWO = "two as (select distinct x.dataset, x.src, y.dst from adj x join adj y on x.dataset = y.dataset and x.dst = y.src where x.src <> y.dst)"
 
 
-@query("two_hop_pairs", b.with_(b.ADJ, TWO) + "select dataset, src, count(*) as reached, sum(dst) as checksum from two group by 1, 2")
+@query("two_hop_pairs", b.with_(b.ADJ, TWO) + "select dataset, src, count(*) as reached, sum(dst)::bigint as checksum from two group by 1, 2")
 def two_hop_pairs(s, d):
     return g.two_hops(b.adjacency(s, d), None, BY).groupBy("dataset", "src").agg(F.count("*").alias("reached"), F.sum("dst").alias("checksum"))
 
@@ -107,7 +107,7 @@ def asked(s, d):
     return n.select((F.col("place") + 1).alias("qid"), "dataset", "node_id")
 
 
-_TOP = """hits as (select *, row_number() over (partition by qid order by score desc, cand) as doc_id from cands)
+_TOP = """hits as (select *, cast(row_number() over (partition by qid order by score desc, cand) as int) as doc_id from cands)
 select qid, h.dataset, h.node_id, cand, round(score, 6) as score, doc_id, coalesce(case when length(text) > 480 then concat(left(text, 480), '...') else text end, concat('Node ', cast(cand as varchar))) as doc
 from hits h left join texts t on t.dataset = h.dataset and t.node_id = h.cand where doc_id <= 5"""
 
@@ -154,7 +154,7 @@ def retrieve_similar(s, d):
     return rt.as_documents(hits, b.texts(s, d)).select("qid", "dataset", "node_id", "cand", "score", "doc_id", "doc")
 
 
-@query("degree_fallback", b.with_(b.ADJ) + "select dataset, node_id, degree, rank from (select dataset, src as node_id, count(*) as degree, row_number() over (partition by dataset order by count(*) desc, src) as rank from adj group by 1, 2) where rank <= 10")
+@query("degree_fallback", b.with_(b.ADJ) + "select dataset, node_id, degree, rank from (select dataset, src as node_id, count(*) as degree, cast(row_number() over (partition by dataset order by count(*) desc, src) as int) as rank from adj group by 1, 2) where rank <= 10")
 def degree_fallback(s, d):
     dg = g.degrees(b.adjacency(s, d), BY)
     return dg.withColumn("rank", F.row_number().over(Window.partitionBy("dataset").orderBy(F.desc("degree"), "node_id"))).where("rank <= 10")
@@ -231,7 +231,7 @@ def reference_pool(s, d):
     "similar_pairs_knn",
     b.with_(b.NODES, b.EDGES, b.EMB, _PAIRS) + f""", w as (select dataset, u, v, list_transform(m, lambda z: z / sqrt(list_dot_product(m, m))) as e from (select dataset, u, v, list_transform(list_zip({_UNIT.format('a')}, {_UNIT.format('b')}), lambda z: (z[1] + z[2]) / 2) as m from p)),
  r as (select x.dataset, x.u, x.v, y.u as ref_u, y.v as ref_v, round(list_dot_product(x.e, y.e), 6) as similarity from w x join w y on x.dataset = y.dataset and (x.u <> y.u or x.v <> y.v) where x.dataset = 'hobbyboards'),
- t as (select *, row_number() over (partition by dataset, u, v order by similarity desc, ref_u, ref_v) as rank from r) select dataset, u, v, ref_u, ref_v, rank from t where rank <= 3""",
+ t as (select *, cast(row_number() over (partition by dataset, u, v order by similarity desc, ref_u, ref_v) as int) as rank from r) select dataset, u, v, ref_u, ref_v, rank from t where rank <= 3""",
 )
 def similar_pairs_knn(s, d):
     """Each pair of one small graph against all reference pairs of it, in blocks."""
@@ -272,7 +272,7 @@ def one_sample(s, d):
  q as (select *, least(len(r_c), 6) as tk, 6 - least(len(r_c), 6) as rest from (select pool.*, one.r.c as r_c0, list_filter(one.r.c, lambda x: true) as r_c from pool join one using (sample_id))),
  t as (select sample_id, tk, least(len(u), cast(ceil(rest / 2.0) as bigint) + greatest(cast(floor(rest / 2.0) as bigint) - len(v), 0)) as nu, least(len(v), cast(floor(rest / 2.0) as bigint) + greatest(cast(ceil(rest / 2.0) as bigint) - len(u), 0)) as nv, r_c, u, v from q),
  f as (select sample_id, list_concat(list_transform(r_c[1:tk], lambda x: struct_pack("role" := 'common', n := x)), list_transform(u[1:nu], lambda x: struct_pack("role" := 'u', n := x.x)), list_transform(v[1:nv], lambda x: struct_pack("role" := 'v', n := x.x))) as docs from t),
- o as (select sample_id, unnest(docs) as x, generate_subscripts(docs, 1) as doc_id from f)
+ o as (select sample_id, unnest(docs) as x, cast(generate_subscripts(docs, 1) as int) as doc_id from f)
  select sample_id, doc_id, x.role as "role", x.n as neighbour from o""",
 )
 def lp_neighbor_docs(s, d):
@@ -295,7 +295,7 @@ def lp_hop_lists(s, d):
     return ds.hop_payload(pairs, g.hop_lists(b.adjacency(s, d), BY)).select("dataset", "u", "v", "node_u_hop", "node_v_hop", "common_hop")
 
 
-@query("lp_similar_docs", "select sample_id, generate_subscripts(l, 1) as doc_id, unnest(l).ref as ref_pair, unnest(l).text as doc from (select sample_id, list_transform(similar_pairs[1:3], lambda p: struct_pack(ref := p.pair_id, text := concat('[similar pair] ', case when p.is_edge then 'existing edge' else 'reference pair' end, '. First node: Node ', cast(p.node_u as varchar), '. Second node: Node ', cast(p.node_v as varchar), '.'))) as l from (select sample_id, arg_max(similar_pairs, exported_at) as similar_pairs from pair_samples group by 1) where len(similar_pairs) > 0)")
+@query("lp_similar_docs", "select sample_id, cast(generate_subscripts(l, 1) as int) as doc_id, unnest(l).ref as ref_pair, unnest(l).text as doc from (select sample_id, list_transform(similar_pairs[1:3], lambda p: struct_pack(ref := p.pair_id, text := concat('[similar pair] ', case when p.is_edge then 'existing edge' else 'reference pair' end, '. First node: Node ', cast(p.node_u as varchar), '. Second node: Node ', cast(p.node_v as varchar), '.'))) as l from (select sample_id, arg_max(similar_pairs, exported_at) as similar_pairs from pair_samples group by 1) where len(similar_pairs) > 0)")
 def lp_similar_docs(s, d):
     p = table(s, d, "pair_samples").groupBy("sample_id").agg(F.max_by("similar_pairs", "exported_at").alias("x")).select("sample_id", F.posexplode(F.slice("x", 1, 3)).alias("i", "p"))
     node = lambda c: F.concat(F.lit("Node "), F.col(c).cast("string"))

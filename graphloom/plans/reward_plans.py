@@ -149,7 +149,7 @@ def samples_expanded(s, d):
 
 # --- token sequences -------------------------------------------------------------------------------------------------------------
 
-TOK = """tok as (select user_id as seq, row_number() over (partition by user_id order by ts, event_id) - 1 as pos, value, case when event_type = 'error' then 0 else 1 end as mask, event_type from events)"""
+TOK = """tok as (select user_id as seq, cast(row_number() over (partition by user_id order by ts, event_id) - 1 as int) as pos, value, case when event_type = 'error' then 0 else 1 end as mask, event_type from events)"""
 
 
 def tokens(s, d):
@@ -215,7 +215,7 @@ def adaptive_kl(s, d):
     return rm.as_arrays(tokens(s, d), "seq", "pos", ["value"]).select("seq", F.round(vx.adapted_coefficient(F.col("value"), 0.2, 50.0, 1.0, 20.0), 6).alias("coefficient"))
 
 
-@query("position_ids", f"with {TOK} select seq, pos, pos as packed, case when mask = 0 then 1 else sum(mask) over (partition by seq order by pos rows unbounded preceding)::bigint - 1 end as attended from tok")
+@query("position_ids", f"with {TOK} select seq, pos, pos::bigint as packed, case when mask = 0 then 1 else sum(mask) over (partition by seq order by pos rows unbounded preceding)::bigint - 1 end as attended from tok")
 def position_ids(s, d):
     return rm.position_ids(tokens(s, d), "seq", "pos", "mask").select("seq", "pos", F.col("packed").cast("long").alias("packed"), "attended")
 
