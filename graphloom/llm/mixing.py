@@ -15,7 +15,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import name_key
@@ -156,8 +156,8 @@ def mix(counts: DataFrame, targets: DataFrame, seed: int = 42) -> tuple[DataFram
     last = running_totals(d, ["source"], [F.col("draw"), F.col("doc_id")], weight=F.col("tokens"), name="upto")
     used = last.select("doc_id", "source", (F.col("epochs") + (F.col("upto") - F.col("tokens") < F.col("rest")).cast("int")).alias("uses"), "tokens").where("uses > 0")
     per = used.groupBy("source").agg(F.sum(F.col("uses") * F.col("tokens")).alias("actual"), F.count("*").alias("docs_used"), F.max("uses").alias("most_uses"))
-    whole = per.agg(F.sum("actual").alias("_all"))
-    report = plan_df.join(per, "source", "left").crossJoin(F.broadcast(whole))  # one row of totals
+    whole = F.sum("actual").over(Window.partitionBy(F.lit(1)))  # one row per target source
+    report = plan_df.join(per, "source", "left").withColumn("_all", whole)
     share = lambda c: F.round(1000 * c / F.col("_all"), 3)
     report = report.select(
         F.col("name").alias("source"),

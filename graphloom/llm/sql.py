@@ -35,7 +35,23 @@ r as (select record_id, arg_max(struct_pack(d := dataset, f := difficulty), writ
 have as (select {_key('r.d')} d, {_trim('r.f')} f, count(*) n from r group by 1, 2)
 """
 
+def _words(c: str) -> str:
+    """Lower-case runs of letters and digits without tags and invisible characters, as a list."""
+    hidden = "[\\x{AD}\\x{34F}\\x{61C}\\x{180E}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x{FE00}-\\x{FE0F}\\x{FEFF}]"
+    tag = "</?[A-Za-z][A-Za-z0-9]*(?:\\s[^<>]*)?/?>|<\\|[^<>|]*\\|>"
+    return f"list_filter(string_split_regex(lower(regexp_replace(regexp_replace({c}, '{hidden}', '', 'g'), '{tag}', ' ', 'g')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+
+
 SQL = {
+    "p1_found": f"""with t as (select record_id, arg_max(summary_en, written_at) as s from jsonl_records where record_id is not null group by 1),
+w as (select record_id, {_words('s')} as l from t where s is not null), k as (select * from w where len(l) >= 20),
+e as (select record_id, unnest(l) as word from k), o as (select record_id, word, row_number() over (partition by record_id, word) as nth from e),
+j as (select a.record_id as record_id_a, b.record_id as record_id_b, count(*) as shared from o a join o b on a.word = b.word and a.nth = b.nth and a.record_id < b.record_id group by 1, 2)
+select record_id_a, record_id_b from j join k x on x.record_id = record_id_a join k y on y.record_id = record_id_b where shared >= 0.75 * greatest(len(x.l), len(y.l))""",
+    "p6_found": f"""with i as (select item_id, {_words('text')} as l from eval_items), d as (select doc_id, {_words('text')} as l from documents where text is not null),
+g as (select distinct item_id, array_to_string(l[p:p + 11], ' ') as run from (select item_id, l, unnest(range(1, len(l) - 10)) as p from i)),
+h as (select distinct doc_id, array_to_string(l[p:p + 11], ' ') as run from (select doc_id, l, unnest(range(1, len(l) - 10)) as p from d))
+select distinct item_id, doc_id from g join h using (run)""",
     "p2_found": f"""with {_PAIRS} select distinct least(t.sample_id, h.sample_id) as sample_id_a, greatest(t.sample_id, h.sample_id) as sample_id_b
 from p t join p h on t.split = 'train' and h.split in ('valid', 'test') and t.dataset = h.dataset and t.x = h.x and t.y = h.y""",
     "p2_report": f"""with {_PAIRS}, c as (select dataset, x, y, count(*) copies from p where split = 'train' group by 1, 2, 3)
