@@ -39,9 +39,9 @@ class Forest:
     dims: int = 64
     k: int = 5
     cosine: float = 0.85
-    trees: int = 20
+    trees: int = 16
     distance: int = 45
-    leaf: int = 384
+    leaf: int = 640
     keep: int = 48
     seed: int = 20300102
 

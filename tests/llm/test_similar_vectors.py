@@ -71,10 +71,10 @@ def test_empty(spark):
 def test_rotations_read_the_string_from_another_bit():
     w = np.random.default_rng(5).integers(0, 2**63, (3, 3), dtype=np.int64).view(np.uint64)
     text = ["".join(f"{int(x):064b}" for x in row) for row in w]
-    turned = sv.rotations(w, 20)
+    turned = sv.rotations(w, 16)
     for i, s in enumerate(text):
-        for t in range(20):
-            at = t * 192 // 20
+        for t in range(16):
+            at = t * 192 // 16
             assert "".join(f"{int(x):064b}" for x in turned[i, t]) == s[at:] + s[:at]
 
 
