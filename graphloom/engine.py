@@ -84,10 +84,11 @@ class GraphEngine:
         of = lambda s: asked.where(F.col("strategy") == s)
         cols = ["qid", "dataset", "node_id", "strategy", "k", "cand", "score"]
         one, two = of("one_hop"), of("two_hop")
-        hop2 = g.two_hops(self.adjacency, two.select("dataset", F.col("node_id").alias("src")).distinct(), BY)
-        near = rt.fused_scores(rt.hop_candidates(one, self.adjacency), one, self.vectors, self.share).select(*cols)
+        adjacency = self.adjacency.select("dataset", "src", "dst").distinct()
+        hop2 = g.two_hops(adjacency, two.select("dataset", F.col("node_id").alias("src")).distinct(), BY)
+        near = rt.fused_scores(rt.hop_candidates(one, adjacency), one, self.vectors, self.share).select(*cols)
         far = rt.fused_scores(rt.hop_candidates(two, hop2), two, self.vectors, self.share).select(*cols)
-        degree = g.degrees(self.adjacency, BY).withColumn("degree", F.col("degree").cast("double"))
+        degree = g.degrees(adjacency, BY).withColumn("degree", F.col("degree").cast("double"))
         rank = self.nodes.join(degree, ["dataset", "node_id"], "left").select("dataset", "node_id", F.coalesce("pagerank", "degree", F.lit(0.0)).alias("pagerank"))
         pr = rt.pagerank_candidates(of("pagerank"), rank, most).select(*cols)
         sim = rt.similar_candidates(of("similar"), self.vectors, most).join(asked.select("qid", "strategy", "k"), "qid").select(*cols)
