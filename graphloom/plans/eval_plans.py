@@ -130,7 +130,7 @@ def preference_rows(s, d):
     return p.select("input", "chosen", "rejected", (F.col("chosen_reward") - F.col("rejected_reward")).alias("margin"))
 
 
-@query("csft_format", None)
+@query("csft_format", f"with {ROLL}, m as (select avg(reward) as m, stddev_samp(reward) as s from rollouts) select input, concat(cast(input as varchar), ' <score:', printf('%.2f', (reward - m) / s), '>') as prompt, output from rollouts, m")
 def csft_format(s, d):
     return rg.processor("csft")(rollouts(s, d))
 

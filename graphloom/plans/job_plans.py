@@ -49,7 +49,13 @@ def job_build_lp(s, d):
     return jobs.build_lp(b.nodes(s, d), table(s, d, "graph_edges"), b.embeddings(s, d), 7, (10, 10), (5, 5), 3)
 
 
-@query("interleave_weighted", None)
+@query(
+    "interleave_weighted",
+    """with k as (select i as place, cast(concat('0x', substr(md5(concat('11:', cast(i as varchar))), 1, 12)) as bigint) / 281474976710656.0::double as u from range(0, 3000) t(i)),
+ c as (select place, case when u >= 0.7 then 'shopweb-home' when u >= 0.2 then 'papernet-cs' else 'medcite' end as dataset from k), n as (select *, row_number() over (partition by dataset order by place) - 1 as n from c),
+ z as (select dataset, count(*) as size from eval_items group by 1), l as (select min(place) as last from n join z using (dataset) where n.n = z.size), r as (select item_id, dataset, row_number() over (partition by dataset order by item_id) - 1 as n from eval_items)
+ select r.item_id, n.place from n join r on r.dataset = n.dataset and r.n = n.n, l where n.place < l.last""",
+)
 def interleave_weighted(s, d):
     return mx.weighted_interleaved(table(s, d, "eval_items"), "dataset", [F.col("item_id")], {"papernet-cs": 0.5, "shopweb-home": 0.3, "medcite": 0.2}, 11).select("item_id", "place")
 
