@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from graphloom.session import materialise
 
-MARKS = ["_upto", "_part", "_first", "_edge"]
+MARKS = ["upto", "part", "first", "edge"]
 
 
 def _codes(batch: pa.RecordBatch, groups: list[str]) -> tuple[np.ndarray, list[tuple]]:
@@ -36,9 +36,9 @@ def _codes(batch: pa.RecordBatch, groups: list[str]) -> tuple[np.ndarray, list[t
     return run, [tuple(c[int(i)].as_py() for c in cols) for i in np.flatnonzero(change)]
 
 
-def _running(groups: list[str], weight: str, most: float | None):
-    """Adds _upto (the sum of weight within the group so far), _part and _first (in the partition's first group?); and, at the
-    end, a row for the partition's first group and one for its last, with _edge 0 and 1 and the group's total in _upto."""
+def _running(groups: list[str], weight: str, most: float | None, marks: list[str]):
+    """Adds the marks upto (the sum of weight within the group so far), part and first (in the partition's first group?); and, at the
+    end, a row for the partition's first group and one for its last, with edge 0 and 1 and the group's total in upto."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -65,13 +65,13 @@ def _running(groups: list[str], weight: str, most: float | None):
             key, upto = keys[-1], int(local[-1])
             first = first and len(keys) == 1
             extra = [pa.array(local), pa.array(np.full(len(w), part, np.int32)), pa.array(in_first), pa.nulls(len(w), pa.int32())]
-            out = pa.RecordBatch.from_arrays([*b.columns, *extra], names=[*b.schema.names, *MARKS])
+            out = pa.RecordBatch.from_arrays([*b.columns, *extra], names=[*b.schema.names, *marks])
             yield out if most is None else out.filter(pa.array(local <= most))
         if head is not None:
             ends = [(0, *head)] if key == head[0] else [(0, *head), (1, key, upto)]
             cols = [pa.array([e[1][groups.index(f.name)] for e in ends], type=f.type) if f.name in groups else pa.nulls(len(ends), f.type) for f in schema]
             extra = [pa.array([e[2] for e in ends], pa.int64()), pa.array([part] * len(ends), pa.int32()), pa.nulls(len(ends), pa.bool_()), pa.array([e[0] for e in ends], pa.int32())]
-            yield pa.RecordBatch.from_arrays([*cols, *extra], names=[*schema.names, *MARKS])
+            yield pa.RecordBatch.from_arrays([*cols, *extra], names=[*schema.names, *marks])
 
     return run
 
@@ -82,24 +82,30 @@ def running_totals(df: DataFrame, groups: list[str], order: list[Column], weight
     groups: columns that make a group (a null is a group of its own). order must settle every tie that matters: rows that are
     equal in all of it may change places. weight must not be negative; null counts as 0. most: rows whose total exceeds it may be
     left out early (they are left out in the end). An empty table gives an empty result; a column of df named like the new one
-    or like one of the marks (_upto, _part, _first, _edge, _w) is an error."""
+    is replaced by it, unless it is one of the groups (an error); any other name may occur."""
     spark = df.sparkSession
-    if clash := {name, "_w", *MARKS} & set(df.columns):
-        raise ValueError(f"the table has columns {sorted(clash)} already")
+    if name in groups:
+        raise ValueError(f"{name} is a column of the groups")
+    df = df.drop(name) if name in df.columns else df
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    upto, part, first, edge = marks = [prefix + m for m in MARKS]
+    w, before, key = prefix + "w", prefix + "before", prefix + "key"
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = df.withColumn("_w", F.lit(1).cast("long") if weight is None else weight.cast("long"))
+    base = df.withColumn(w, F.lit(1).cast("long") if weight is None else weight.cast("long"))
     keys = [F.col(g) for g in groups]
     placed = base.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order)
     fields = [T.StructField(f.name, f.dataType, True) for f in placed.schema] + [
-        T.StructField(m, t) for m, t in zip(MARKS, (T.LongType(), T.IntegerType(), T.BooleanType(), T.IntegerType()))
+        T.StructField(m, t) for m, t in zip(marks, (T.LongType(), T.IntegerType(), T.BooleanType(), T.IntegerType()))
     ]
     # written once: the bounds of the ranges come from a sample, so a second run of the sort could cut elsewhere
-    numbered = materialise(placed.mapInArrow(_running(groups, "_w", most), T.StructType(fields)))
-    ends = numbered.where("_edge is not null").select("_part", "_edge", "_upto", F.struct(*groups).alias("_key")).collect()  # at most two small rows a partition
-    known = spark.createDataFrame(_prefix([(e._part, e._edge, tuple(e._key), e._upto) for e in ends]), "_part int, _before long")
+    numbered = materialise(placed.mapInArrow(_running(groups, w, most, marks), T.StructType(fields)))
+    ends = numbered.where(F.col(edge).isNotNull()).select(part, edge, upto, F.struct(*groups).alias(key)).collect()  # at most two small rows a partition
+    known = spark.createDataFrame(_prefix([(e[0], e[1], tuple(e[3]), e[2]) for e in ends]), f"{part} int, {before} long")
     # only a partition's first group can have begun earlier
-    before = F.when(F.col("_first"), F.coalesce("_before", F.lit(0))).otherwise(F.lit(0))
-    out = numbered.where("_edge is null").join(F.broadcast(known), "_part", "left").withColumn(name, F.col("_upto") + before)
+    earlier = F.when(F.col(first), F.coalesce(F.col(before), F.lit(0))).otherwise(F.lit(0))
+    out = numbered.where(F.col(edge).isNull()).join(F.broadcast(known), part, "left").withColumn(name, F.col(upto) + earlier)
     if most is not None:
         out = out.where(F.col(name) <= most)
     return out.select(*df.columns, name)

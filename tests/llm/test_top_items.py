@@ -33,8 +33,12 @@ def test_running_sums(spark):
 def test_empty_and_clashes(spark):
     df = spark.createDataFrame([], "g string, s double, i long")
     assert ti.top_items(df, ["g"], [F.col("s")], 3).count() == 0
+    full = spark.createDataFrame([("a", 0.1, 1, 9, "x", "y", 3), ("a", 0.9, 2, 9, "x", None, 4)], "g string, s double, i long, position int, _w string, _upto string, __part int")
+    got = ti.top_items(full, ["g"], [F.col("s").desc()], 3)
+    assert got.columns == ["g", "s", "i", "_w", "_upto", "__part", "position"]
+    assert [(r.i, r.position, r["_upto"]) for r in got.orderBy("position").collect()] == [(2, 1, None), (1, 2, "y")]
     with pytest.raises(ValueError):
-        ti.top_items(df.withColumn("position", F.lit(1)), ["g"], [F.col("s")], 3)
+        ti.top_items(full, ["position"], [F.col("s")], 3)
 
 
 def test_candidates_that_count(spark):
