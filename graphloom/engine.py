@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as tx
 from graphloom.operators import graph as g
 from graphloom.operators import retrieve as rt
+from graphloom.session import bounded
 from graphloom.sources import readers as rd
 
 BY = ["dataset"]
@@ -69,7 +70,7 @@ class GraphEngine:
 
     def locate(self, queries: DataFrame) -> DataFrame:
         """gid -> dataset and node_id; ids beyond all graphs are an error."""
-        j = queries.join(F.broadcast(self.offsets()), (F.col("gid") >= F.col("offset")) & (F.col("gid") < F.col("offset") + F.col("size")), "left")
+        j = queries.join(bounded(self.offsets(), 100_000, "graphs"), (F.col("gid") >= F.col("offset")) & (F.col("gid") < F.col("offset") + F.col("size")), "left")
         fail = F.raise_error(F.concat(F.lit("no graph holds node "), F.col("gid").cast("string")))
         return j.withColumn("node_id", F.when(F.col("dataset").isNull(), fail).otherwise(F.col("gid") - F.col("offset")).cast("long")).drop("offset", "size")
 

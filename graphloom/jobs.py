@@ -74,7 +74,7 @@ def build_lp(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, seed: int,
     order = F.when(F.col("difficulty") == "easy", 0).when(F.col("difficulty") == "medium", 1).when(F.col("difficulty") == "hard", 2).otherwise(3)
     p = materialise(numbered(p.withColumn("_o", order), [F.col("dataset"), F.col("split"), F.col("_o"), ds.seeded(seed, *keys)], "_p").drop("_o"))
     first = p.groupBy("dataset", "split").agg(F.min("_p").alias("_f"))
-    p = p.join(F.broadcast(first), ["dataset", "split"]).withColumn("pair_id", F.col("_p") - F.col("_f")).drop("_p", "_f")  # two rows per dataset
+    p = p.join(first, ["dataset", "split"]).withColumn("pair_id", F.col("_p") - F.col("_f")).drop("_p", "_f")
     pool = ds.pair_vectors(ds.without(e, pos_test, on=keys), vectors)
     named = lambda df: df.select("dataset", F.xxhash64(*keys).alias("node_id"), F.col("vector").alias("emb"), "u", "v", "similarity")
     ref = named(pool)

@@ -48,7 +48,7 @@ def without(df: DataFrame, *blocked: DataFrame, on: list[str]) -> DataFrame:
 
 def local_ids(rows: DataFrame, offsets: DataFrame, col: str) -> DataFrame:
     """Ids that may be global or local made local: within [offset, offset + size) minus offset; below size as they are; else dropped."""
-    o = F.broadcast(offsets.select("dataset", "offset", "size"))  # one row per graph
+    o = offsets.select("dataset", "offset", "size")  # one row per graph; an equi-join, so the planner may choose by size
     r = rows.join(o, "dataset")
     inside = (F.col(col) >= F.col("offset")) & (F.col(col) < F.col("offset") + F.col("size"))
     local = F.when(inside, F.col(col) - F.col("offset")).when((F.col(col) >= 0) & (F.col(col) < F.col("size")), F.col(col))

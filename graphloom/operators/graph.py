@@ -58,11 +58,11 @@ def pagerank(nodes: DataFrame, adj: DataFrame, by: list[str], rounds: int = 10,
     """PageRank per graph with uniform handling of dangling nodes; lineage is cut by a written table every `cut` rounds."""
     n = nodes.groupBy(*by).agg(F.count("*").alias("n"))
     out = materialise(adj.join(degrees(adj, by).withColumnRenamed("node_id", "src"), [*by, "src"]).select(*by, "src", "dst", (1 / F.col("degree")).alias("w")))
-    rank = nodes.join(F.broadcast(n), by).select(*by, "node_id", "n", (1 / F.col("n")).alias("pr"))
+    rank = nodes.join(n, by).select(*by, "node_id", "n", (1 / F.col("n")).alias("pr"))
     for i in range(rounds):
         send = rank.select(*by, F.col("node_id").alias("src"), "pr").join(out, [*by, "src"]).groupBy(*by, F.col("dst").alias("node_id")).agg(F.sum(F.col("pr") * F.col("w")).alias("got"))
         held = rank.join(out.select(*by, F.col("src").alias("node_id")).distinct(), [*by, "node_id"], "left_anti").groupBy(*by).agg(F.sum("pr").alias("lost"))
-        rank = rank.join(send, [*by, "node_id"], "left").join(F.broadcast(held), by, "left")
+        rank = rank.join(send, [*by, "node_id"], "left").join(held, by, "left")
         rank = rank.select(*by, "node_id", "n", ((1 - damping) / F.col("n") + damping * (F.coalesce("got", F.lit(0.0)) + F.coalesce("lost", F.lit(0.0)) / F.col("n"))).alias("pr"))
         if (i + 1) % cut == 0 and i + 1 < rounds:
             rank = materialise(rank)
@@ -86,7 +86,7 @@ def homophily(nodes: DataFrame, adj: DataFrame, by: list[str]) -> DataFrame:
     per = lab.join(per, [*by, "node_id"], "left").select(*by, "node_id", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("same", F.lit(0)).alias("same"))
     top = per.groupBy(*by).agg(F.max("degree").alias("top"))
     bonus = F.when(F.col("top") > 0, 0.05 * F.log1p("degree") / F.log1p("top")).otherwise(0.0)
-    return per.join(F.broadcast(top), by).select(*by, "node_id", "degree", "same", F.round(wilson(F.col("same"), F.col("degree")) + bonus, 9).alias("score"))
+    return per.join(top, by).select(*by, "node_id", "degree", "same", F.round(wilson(F.col("same"), F.col("degree")) + bonus, 9).alias("score"))
 
 
 def tercile_nodes(scored: DataFrame, by: list[str]) -> DataFrame:

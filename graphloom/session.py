@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -54,6 +55,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame, most: int, what: str) -> DataFrame:
+    """df to be broadcast, after a check that it has at most `most` rows; more are an error, not a cut."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} {what}: too many to broadcast")
+    return broadcast(df)
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
