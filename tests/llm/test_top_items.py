@@ -1,6 +1,8 @@
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from graphloom.llm import top_items as ti
@@ -47,3 +49,23 @@ def test_candidates_that_count(spark):
     ]
     df = spark.createDataFrame(rows, "target_sample_id long, ref_pair_id long, similarity double, scored_at long")
     assert {tuple(r) for r in ti.scored_candidates(df).collect()} == {(1, 1, 0.9), (1, 5, -1.0), (1, 7, 0.2), (1, 8, 0.3)}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 9)), max_size=40), st.lists(st.integers(0, 40), max_size=6))
+def test_prefix_over_any_cuts(rows, cuts):
+    """Ends of partitions, as the tasks report them, give the total of each partition's first group before it."""
+    rows = sorted(rows)
+    bounds = [0, *sorted(min(c, len(rows)) for c in cuts), len(rows)]
+    ends, want = [], []
+    for part, (a, b) in enumerate(zip(bounds, bounds[1:])):
+        own = rows[a:b]
+        if not own:
+            continue
+        total = lambda g, xs: sum(w for k, w in xs if k == g)
+        first, last = own[0][0], own[-1][0]
+        ends.append((part, 0, (first,), total(first, own)))
+        if last != first:
+            ends.append((part, 1, (last,), total(last, own)))
+        want.append((part, total(first, rows[:a])))
+    assert ti._prefix(ends) == want
