@@ -4,6 +4,8 @@ import math
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -330,3 +332,13 @@ def test_common_neighbours_of_a_hub(spark):
     e = spark.createDataFrame([("g", 0, i) for i in range(1, 30)] + [("g", 1, 2), ("g", 2, 3)], "k string, u long, v long")
     got = {(r.u, r.v): (r.n_u, r.n_v, r.common) for r in g.common_neighbours(e, g.both_ways(e, ["k"]), ["k"]).collect()}
     assert got[0, 1] == (29, 2, [2]) and got[0, 2] == (29, 3, [1, 3]) and got[1, 2] == (2, 3, [0]) and got[0, 9] == (29, 1, [])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.sampled_from("abcd"), st.integers(0, 20).map(lambda n: n / 20), min_size=1))
+def test_pattern_fills_its_cycle(shares):
+    p = mx.pattern(shares)
+    assert set(p) == {k for k, v in shares.items() if v > 0}
+    taken = sorted(x for n, at, _ in p.values() for x in range(at, at + n))
+    length = max((c[2] for c in p.values()), default=0)
+    assert taken == list(range(length)) and all(abs(n / length - shares[k] / sum(shares.values())) < 1e-9 for k, (n, _, _) in p.items())
