@@ -3,7 +3,8 @@
 Every text becomes a bag of (word, occurrence) elements. Under each hash function both the minimum and the maximum are
 retained, so one evaluation gives two signature values; bands of such values are joined, and the pairs that meet in a band are
 checked exactly on their bags. Words that stand in a large share of all texts weigh less, which keeps the number of chance
-meetings low without touching recall for texts whose edits fall anywhere.
+meetings low and leaves recall as it is where edits fall on any words; pairs that share common words and hardly any others are found
+less often than their similarity says (set common_power to 1 where such pairs matter).
 
 Texts with the same bag are one representative from the start, so exact copies never meet each other in a band.
 """
@@ -33,7 +34,7 @@ class MinMax:
     threshold: shared words, with repetition, against the longer text.
     min_words: shorter texts are in no pair.
     common: a word in more than this share of all texts is common; there are at most (mean distinct words / common) of them.
-    common_weight: weight 1/n of a common word, as the n.
+    common_power: n of the weight 1/n of a common word.
     rows, bands: values per band (half of them minima) and bands.
     """
 
