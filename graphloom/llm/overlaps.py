@@ -103,7 +103,7 @@ def local_pairs(samples: DataFrame, nodes: DataFrame, datasets: DataFrame) -> Da
     global ids become local by the base_offset of the sample's dataset."""
     bases = datasets.select(name_key("dataset").alias("dataset"), "base_offset")
     s = latest(samples, "sample_id", "exported_at", ["dataset", "split", "node_u", "node_v"])
-    s = s.select("sample_id", name_key("dataset").alias("dataset"), split_kind("split").alias("split"), "node_u", "node_v").join(F.broadcast(bases), "dataset")
+    s = s.select("sample_id", name_key("dataset").alias("dataset"), split_kind("split").alias("split"), "node_u", "node_v").join(bases, "dataset")
     local = lambda c: F.when(F.col(c) >= F.col("base_offset"), F.col(c) - F.col("base_offset")).otherwise(F.col(c))
     s = s.select("sample_id", "dataset", "split", local("node_u").alias("u"), local("node_v").alias("v"))
     same = nodes.where("same_as is not null").select(name_key("dataset").alias("dataset"), "node_id", "same_as").groupBy("dataset", "node_id").agg(F.max("same_as").alias("same_as"))
