@@ -65,7 +65,8 @@ def _run(a: Column, b: Column, at_a: Column, at_b: Column, step: int) -> Column:
 
 def sequence_overlaps(train: DataFrame, held: DataFrame, p: Winnow | None = None) -> DataFrame:
     """train and held have seq (a key of the distinct sequence) and tokens array<long>; gives train_seq, held_seq, covered_tokens,
-    coverage for every pair with at least the asked share of the held sequence covered.
+    coverage for every pair with at least the asked share of the held sequence covered. A chain covers what lies between its seeds, so
+    single unequal tokens between two seeds of one diagonal count as covered (the near case).
 
     Sequences shorter than k have no fingerprint and are in no pair. An empty side gives an empty result."""
     p = p or Winnow()
