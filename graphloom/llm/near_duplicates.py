@@ -1,19 +1,20 @@
-"""Problem 1: near-duplicate records with small edits, by weighted min-max hashing.
+"""Problem 1: near-duplicate records with small edits, by min-max hashing.
 
 Every text becomes a bag of (word, occurrence) elements. Under each hash function both the minimum and the maximum are
 retained, so one evaluation gives two signature values; bands of such values are joined, and the pairs that meet in a band are
-checked exactly on their bags. Words that stand in a large share of all texts weigh less, which keeps the number of chance
-meetings low and leaves recall as it is where edits fall on any words; pairs that share common words and hardly any others are found
-less often than their similarity says (set common_power to 1 where such pairs matter).
+checked exactly on their bags. All words weigh alike, however many texts have them, so a family of edited copies is found by its
+similarity alone, also where it makes its own words common. What meets by chance is dropped inside the join by a sketch of four
+bits of 64 signature values, before any bag is moved.
 
 Texts with the same bag are one representative from the start, so exact copies never meet each other in a band.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ from graphloom.llm.common import WordHash, mix64, words
 from graphloom.session import materialise
 
 U64 = np.uint64
+PLANES = 4
 
 
 @dataclass(frozen=True)
@@ -33,17 +35,15 @@ class MinMax:
 
     threshold: shared words, with repetition, against the longer text.
     min_words: shorter texts are in no pair.
-    common: a word in more than this share of all texts is common; there are at most (mean distinct words / common) of them.
-    common_power: n of the weight 1/n of a common word.
     rows, bands: values per band (half of them minima) and bands.
+    deviations: a pair at the threshold is dropped by the sketch where its agreement is so many deviations below the mean (3: 0.13 %).
     """
 
     threshold: float = 0.75
     min_words: int = 20
-    common: float = 0.03
-    common_power: int = 10
     rows: int = 4
     bands: int = 20
+    deviations: float = 3.0
     seed: int = 20300101
 
     @staticmethod
@@ -53,14 +53,24 @@ class MinMax:
         rows, bands = (4, 20) if n_rows <= 2_000_000 else (6, 54) if n_rows <= 200_000_000 else (8, 150)
         return MinMax(rows=rows, bands=bands, **kw)
 
+    @property
+    def fields(self) -> int:
+        """Signature values that the sketch has bits of."""
+        return min(64, self.rows * self.bands)
+
+    @property
+    def least_agreeing(self) -> int:
+        """Fields that a pair at the threshold has alike, less the deviations; its Jaccard similarity is t / (2 - t) at least."""
+        j = self.threshold / (2 - self.threshold)
+        alike = j + (1 - j) / 2**PLANES
+        return math.floor(self.fields * alike - self.deviations * math.sqrt(self.fields * alike * (1 - alike)))
+
 
 @dataclass
 class Bags:
-    """The bags of a batch laid end to end: words (hash of each token), elements (word and occurrence), starts and sizes per text."""
+    """The bags of a batch laid end to end: elements (word and occurrence), starts and sizes per text."""
 
-    words: np.ndarray
     elements: np.ndarray
-    fresh: np.ndarray
     starts: np.ndarray
     sizes: np.ndarray
     kept: np.ndarray
@@ -87,7 +97,7 @@ class Bags:
             nth = np.empty(len(w), dtype=U64)
             nth[order] = (np.arange(len(w)) - first).astype(U64)  # how often the word stood in the text before
             elements = mix64(w + nth * U64(0x9E3779B97F4A7C15))
-        return Bags(w, elements, nth == 0, starts, n, np.array(kept, dtype=np.int64))
+        return Bags(elements, starts, n, np.array(kept, dtype=np.int64))
 
     def keys(self) -> np.ndarray:
         """One number per bag, the same for any order of the same elements."""
@@ -98,11 +108,10 @@ class Bags:
 
 
 def _overview(id_col: str, text_col: str, version_col: str | None, p: MinMax):
-    """For every row its id, version and bag; and per task, for every word, the number of rows that have it."""
+    """For every row its id, version and bag."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = WordHash(), Counter()
-        kind = pa.int64()
+        known = WordHash()
         for b in batches:
             bags = Bags.of(b.column(text_col).to_pylist(), known, p.min_words)
             keys = np.zeros(b.num_rows, dtype=np.int64)
@@ -110,82 +119,56 @@ def _overview(id_col: str, text_col: str, version_col: str | None, p: MinMax):
             missing = np.ones(b.num_rows, dtype=bool)
             missing[bags.kept] = False
             version = b.column(version_col) if version_col else pa.nulls(b.num_rows, pa.int64())
-            kind = version.type
-            none = pa.nulls(b.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(id_col).cast(pa.int64()), version, pa.array(keys, mask=missing), none, none], names=OVERVIEW)
-            word, n = np.unique(bags.words[bags.fresh], return_counts=True)
-            counts.update(dict(zip(word.tolist(), n.tolist())))
-            if len(counts) > 400_000:
-                yield _word_rows(counts, kind)
-                counts = Counter()
-        if counts:
-            yield _word_rows(counts, kind)
+            yield pa.RecordBatch.from_arrays([b.column(id_col).cast(pa.int64()), version, pa.array(keys, mask=missing)], names=["id", "version", "bag"])
 
     return run
 
 
-OVERVIEW = ["id", "version", "bag", "word", "n"]
-
-
-def _word_rows(counts: Counter, kind: pa.DataType) -> pa.RecordBatch:
-    none = pa.nulls(len(counts), pa.int64())
-    word = np.fromiter(counts.keys(), dtype=U64, count=len(counts)).view(np.int64)
-    return pa.RecordBatch.from_arrays([none, pa.nulls(len(counts), kind), none, pa.array(word), pa.array(list(counts.values()), pa.int64())], names=OVERVIEW)
-
-
-def signatures(bags: Bags, light: np.ndarray, p: MinMax) -> np.ndarray:
-    """Band keys (texts, bands). light: sorted hashes of common words.
-
-    A hash value u in (0, 1) of an element of weight 1/n counts as u ** n for the maximum and as (1 - u) ** n for the minimum: the
-    exponential-clock form of weighted min-hash. The power keeps the order, so it is taken of each text's extremes only."""
+def signatures(bags: Bags, p: MinMax) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys (texts, bands) and sketches (texts, PLANES): bit i of plane j is bit j of the i-th signature value."""
     rng = np.random.default_rng(p.seed)
     functions = p.rows // 2 * p.bands
     a = rng.integers(1, 2**63, functions, dtype=np.int64).view(U64) | U64(1)
     c = rng.integers(0, 2**63, functions, dtype=np.int64).view(U64)
-    common = light[np.minimum(np.searchsorted(light, bags.words), len(light) - 1)] == bags.words if len(light) else np.zeros(len(bags.words), dtype=bool)
-    doc = np.repeat(np.arange(len(bags.sizes)), bags.sizes)
-    sides = []
-    for part, power in ((~common, 1), (common, p.common_power)):
-        owner = doc[part]
-        who, starts = np.unique(owner, return_index=True)
-        e = bags.elements[part]
-        sides.append((who, starts, e, np.empty_like(e), np.empty_like(e), power))
+    x, t = np.empty_like(bags.elements), np.empty_like(bags.elements)
     keys = np.zeros((len(bags.sizes), p.bands), dtype=U64)
+    sketch = np.zeros((len(bags.sizes), PLANES), dtype=U64)
+    field = 0
     with np.errstate(over="ignore"):
         for f in range(functions):
             band = f % p.bands
-            top, bottom = np.zeros(len(bags.sizes)), np.zeros(len(bags.sizes))
-            for who, starts, e, x, t, power in sides:
-                if not len(e):
-                    continue
-                np.multiply(e, a[f], out=x)
-                np.add(x, c[f], out=x)
-                np.right_shift(x, U64(32), out=t)  # a product alone favours some elements under every function
-                np.bitwise_xor(x, t, out=x)
-                np.multiply(x, U64(0x9E3779B97F4A7C15), out=x)
-                u = ((np.maximum.reduceat(x, starts) >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53
-                v = 1.0 - ((np.minimum.reduceat(x, starts) >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53
-                top[who] = np.maximum(top[who], u**power)
-                bottom[who] = np.maximum(bottom[who], v**power)
-            for values in (top, bottom):
-                keys[:, band] = mix64(keys[:, band] * U64(0x2545F4914F6CDD1D) + values.view(U64))
+            np.multiply(bags.elements, a[f], out=x)
+            np.add(x, c[f], out=x)
+            np.right_shift(x, U64(32), out=t)  # a product alone favours some elements under every function
+            np.bitwise_xor(x, t, out=x)
+            np.multiply(x, U64(0x9E3779B97F4A7C15), out=x)
+            for values in (np.maximum.reduceat(x, bags.starts), np.minimum.reduceat(x, bags.starts)):
+                keys[:, band] = mix64(keys[:, band] * U64(0x2545F4914F6CDD1D) + values)
+                if field < p.fields:
+                    mixed = mix64(values)
+                    for plane in range(PLANES):
+                        sketch[:, plane] |= ((mixed >> U64(plane)) & U64(1)) << U64(field)
+                    field += 1
         for band in range(p.bands):
             keys[:, band] = mix64(keys[:, band] + U64(band + 1))
-    return keys
+    return keys, sketch
+
+
+SKETCH = [f"s{i}" for i in range(PLANES)]
 
 
-def _signed(text_col: str, light: np.ndarray, p: MinMax):
+def _signed(text_col: str, p: MinMax):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
         for b in batches:
             bags = Bags.of(b.column(text_col).to_pylist(), known, p.min_words)
             if not len(bags.sizes):
                 continue
-            keys = signatures(bags, light, p).view(np.int64)
+            keys, sketch = (m.view(np.int64) for m in signatures(bags, p))
             short = (bags.elements >> U64(32)).astype(np.uint32).view(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * p.bands), pa.array(keys.ravel()))
             elements = pa.ListArray.from_arrays(pa.array(np.append(bags.starts, len(short)).astype(np.int32)), pa.array(short))
-            sign = pa.StructArray.from_arrays([pa.array(bags.sizes.astype(np.int32)), bands, elements], names=["size", "bands", "elements"])
+            sign = pa.StructArray.from_arrays([pa.array(bags.sizes.astype(np.int32)), bands, elements, *(pa.array(sketch[:, i]) for i in range(PLANES))], names=["size", "bands", "elements", *SKETCH])
             yield pa.RecordBatch.from_arrays([pa.array(bags.keys()), sign], names=["bag", "sign"])
 
     return run
@@ -201,19 +184,18 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, version_col: str
     p = p or MinMax.planned(df.count())
     cols = [id_col, text_col] + ([version_col] if version_col else [])
     kind = df.schema[version_col].dataType.simpleString() if version_col else "long"
-    seen = materialise(df.select(*cols).mapInArrow(_overview(id_col, text_col, version_col, p), f"id long, version {kind}, bag long, word long, n long"))
+    seen = materialise(df.select(*cols).mapInArrow(_overview(id_col, text_col, version_col, p), f"id long, version {kind}, bag long"))
     latest = F.struct(F.col("version").isNotNull(), F.col("version"), F.col("bag").isNotNull(), F.col("bag"))
     members = seen.where("id is not null").groupBy("id").agg(F.max_by("bag", latest).alias("bag"))
-    texts = seen.where("bag is not null").count()
-    # at most (mean distinct words per text) / p.common words can stand in that share of the texts: a few thousand, at any size
-    frequent = seen.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") > p.common * texts)
-    light = np.sort(np.array([r.word for r in frequent.select("word").collect()], dtype=np.int64).view(U64))
 
     # one struct, so that no branch below prunes columns and all of them share one exchange
-    signed = df.select(text_col).mapInArrow(_signed(text_col, light, p), "bag long, sign struct<size:int,bands:array<long>,elements:array<int>>")
+    signed = df.select(text_col).mapInArrow(_signed(text_col, p), f"bag long, sign struct<size:int,bands:array<long>,elements:array<int>,{','.join(f'{c}:long' for c in SKETCH)}>")
     one = signed.groupBy("bag").agg(F.first("sign").alias("sign"))
-    keys = one.select(F.explode("sign.bands").alias("band"), "bag")
-    meet = keys.alias("x").join(keys.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.bag") < F.col("y.bag")))
+    keys = one.select(F.explode("sign.bands").alias("band"), "bag", "sign.size", *[f"sign.{c}" for c in SKETCH])
+    unlike = reduce(lambda x, y: x.bitwiseOR(y), [F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")) for c in SKETCH])
+    near = F.bit_count(unlike) <= p.fields - p.least_agreeing
+    sizes = F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * p.threshold - 1e-6  # else they cannot share enough
+    meet = keys.alias("x").join(keys.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.bag") < F.col("y.bag")) & sizes & near)
     pairs = meet.select(F.col("x.bag").alias("bag_a"), F.col("y.bag").alias("bag_b")).distinct()
     side = lambda s: one.select(F.col("bag").alias(f"bag_{s}"), F.col("sign.size").alias(f"size_{s}"), F.col("sign.elements").alias(f"elements_{s}"))
     both = pairs.join(side("a"), "bag_a").join(side("b"), "bag_b")

@@ -86,3 +86,17 @@ def test_classes_follow_chains(spark):
 def test_planned_bands_keep_recall(n, rows):
     p = nd.MinMax.planned(n)
     assert p.rows == rows and 1 - (1 - 0.6**p.rows) ** p.bands > 0.9
+
+
+def test_a_hot_family_keeps_its_pairs(spark):
+    r = random.Random(8)
+    base = [f"h{i}" for i in range(40)]
+    rows = []
+    for i in range(60):  # a third of all rows: copies with up to a tenth of the words replaced by rare ones
+        t = list(base)
+        for at in r.sample(range(40), r.randint(2, 4)):
+            t[at] = f"rare{i}x{at}"
+        rows.append((i, " ".join(t), 1, None))
+    rows += [(100 + i, " ".join(f"o{r.randrange(5000)}" for _ in range(40)), 1, None) for i in range(120)]
+    got, want = {tuple(x) for x in nd.pairs_of_records(*run(spark, rows)).collect()}, brute(rows)
+    assert got <= want and len(want) > 1500 and len(got) >= 0.97 * len(want), (len(got), len(want))
