@@ -5,7 +5,8 @@ serves all trees, and each tree is the array of all strings sorted by that readi
 to the subtree of its longest prefix and ascends, in all trees alike, to the floor depth, which is set so that a subtree holds
 about `leaf` vectors; a subtree that is denser is met deeper, where its members already agree on more bits. All members of a
 reached subtree are compared by the Hamming distance of their whole strings, and what is near enough is verified by the exact
-cosine.
+cosine. A vector that is near more strings of a subtree than it may take stands in a dense group, where strings do not tell which
+are nearest: it is marked, and its nearest are found by comparing it with all vectors, block by block.
 
 Vectors that are equal are one representative from the start, so a copy repeated by a third of all rows is one leaf entry.
 """
@@ -34,7 +35,8 @@ class Forest:
     distance: greatest Hamming distance (of 192 bits) that is verified: at cosine 0.85 the mean is 34 and the deviation 5.3, so 2 % of the pairs just there are lost, 0.5 % at 0.87;
     leaf: vectors in a subtree at the floor depth, for 100,000 vectors. It grows as the number of vectors to the power 0.36,
     which with the trees fixed keeps the share of found neighbours at cosine 0.85 (each bit agrees with probability 0.823);
-    keep: nearest strings that a vector takes from one subtree (equal distances by place)."""
+    keep: near strings that a vector takes from one subtree; a vector with more is compared with all vectors;
+    block: vectors that are sent to all tasks at once for that."""
 
     dims: int = 64
     k: int = 5
@@ -43,6 +45,7 @@ class Forest:
     distance: int = 45
     leaf: int = 640
     keep: int = 48
+    block: int = 65_536
     seed: int = 20300102
 
     def members(self, n: int) -> int:
@@ -121,8 +124,7 @@ def _depth_groups(words: np.ndarray, depth: int, most: int) -> Iterator[tuple[in
         if hi - lo < 2:
             continue
         if d >= BITS:
-            for at in range(lo, hi, most):  # equal strings: taken in runs
-                yield at, min(hi, at + most)
+            yield lo, hi  # equal strings, more than `most`
             continue
         whole, part = divmod(d, 64)
         same = np.ones(hi - lo - 1, dtype=bool)
@@ -143,7 +145,7 @@ def _depth_groups(words: np.ndarray, depth: int, most: int) -> Iterator[tuple[in
 
 
 def near_in_span(words: np.ndarray, p: Forest) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of strings within the distance, for each i the p.keep nearest at most."""
+    """Places (i, j) of strings within the distance; (i, i) alone for an i with more than p.keep of them."""
     n = len(words)
     left, right = [], []
     block = max(1, 2_000_000 // n)
@@ -155,25 +157,39 @@ def near_in_span(words: np.ndarray, p: Forest) -> tuple[np.ndarray, np.ndarray]:
         d[np.arange(hi - lo), np.arange(lo, hi)] = 255
         near = d <= p.distance
         many = np.flatnonzero(near.sum(axis=1) > p.keep)
-        for r in many:
-            hits = np.flatnonzero(near[r])
-            near[r] = False
-            near[r, hits[np.argsort(d[r, hits], kind="stable")[: p.keep]]] = True
+        near[many] = False
+        near[many, many + lo] = True
         a, b = np.nonzero(near)
         left.append(a + lo)
         right.append(b)
     return np.concatenate(left), np.concatenate(right)
 
 
+def crowded(words: np.ndarray, p: Forest) -> np.ndarray:
+    """Places in a subtree too large to compare whole that are near more than p.keep of its strings, by 128 of them."""
+    probe = words[np.linspace(0, len(words) - 1, 128).astype(np.int64)]
+    hits = np.zeros(len(words), dtype=np.int64)
+    for w in probe:
+        hits += np.bitwise_count(words ^ w).sum(axis=1, dtype=np.int64) <= p.distance
+    return np.flatnonzero((hits > 2) & (hits * len(words) > p.keep * len(probe)))
+
+
 def _met(p: Forest, depth: int, most: int):
-    """Streams a sorted partition, subtree by subtree, and gives the pairs that are near there."""
+    """Streams a sorted partition, subtree by subtree, and gives the pairs that are near there, and (a, a) of the vectors in a dense group."""
 
     def pairs(trees: np.ndarray, words: np.ndarray, ids: np.ndarray) -> pa.RecordBatch | None:
         found = []
         for t in np.unique(trees):
             own = trees == t
             w, who = words[own], ids[own]
+            for lo, hi in _depth_groups(w, depth, len(w)):
+                if hi - lo > most:  # it is cut below, and a dense group with it
+                    x = who[lo + crowded(w[lo:hi], p)]
+                    found.append(np.stack([x, x], axis=1))
             for lo, hi in _depth_groups(w, depth, most):
+                if hi - lo > most:
+                    found.append(np.stack([who[lo:hi], who[lo:hi]], axis=1))
+                    continue
                 a, b = near_in_span(w[lo:hi], p)
                 if len(a):
                     x, y = who[lo + a], who[lo + b]
@@ -210,6 +226,88 @@ def _met(p: Forest, depth: int, most: int):
     return run
 
 
+def closest(asked: tuple[np.ndarray, np.ndarray], known: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, unit vectors) twice -> ids of asked and of their k most similar known ones, equal cosines by smaller id, none itself.
+
+    Single precision tells who may be among them (its error is below `margin`), double precision decides."""
+    margin = 4e-6
+    (ids, q), (others, r) = asked, known
+    n, wide = len(others), len(others) // 64
+    single = r.astype(np.float32).T
+    left, right = [], []
+    for lo in range(0, len(ids), 256):
+        own, u = ids[lo : lo + 256], q[lo : lo + 256]
+        s = u.astype(np.float32) @ single
+        at = np.searchsorted(others, own)
+        here = np.flatnonzero(others[np.minimum(at, n - 1)] == own)
+        s[here, at[here]] = -2
+        least = np.full(len(own), -2, dtype=np.float32)
+        if wide >= k:  # the k-th of the greatest of groups is not above the k-th of all
+            least = np.partition(s[:, : wide * 64].reshape(len(own), 64, wide).max(axis=1), wide - k, axis=1)[:, wide - k] - np.float32(margin)
+        maybe = (s >= least[:, None]) & (s > -2)
+        for i in np.arange(len(own)):
+            c = np.flatnonzero(maybe[i])
+            exact = r[c] @ u[i]
+            if len(c) > k:
+                some = exact >= np.partition(exact, len(c) - k)[len(c) - k]
+                c, exact = c[some], exact[some]
+            best = c[np.lexsort((others[c], -exact))[:k]]
+            left.append(np.full(len(best), own[i]))
+            right.append(others[best])
+    none = np.empty(0, dtype=np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def _units(ids: pa.Array, vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    m = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+    return ids.to_numpy(zero_copy_only=False), m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
+def exact_pairs(asked: DataFrame, vectors: DataFrame, p: Forest) -> DataFrame:
+    """(a, b), a < b: each asked (id, v) with the p.k most similar of vectors (id, v), which are sent to the tasks in blocks.
+
+    Every asked vector meets every other: the time grows with the product of both numbers."""
+    spark = asked.sparkSession
+    out = spark.createDataFrame([], "a long, b long")
+    n = vectors.count()
+    blocks = max(1, -(-n // p.block))
+    placed = vectors.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    for i in range(blocks if asked.head(1) else 0):
+        part = placed.where(F.col("block") == i).select("id", "v").toArrow().sort_by("id").combine_chunks()
+        if not part.num_rows:
+            continue
+        sent = spark.sparkContext.broadcast((part.column("id").to_numpy(), np.stack(part.column("v").to_numpy()).astype(np.float32)))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            others, m = sent.value
+            m = m.astype(np.float64)
+            known = others, m / np.linalg.norm(m, axis=1, keepdims=True)
+            for b in batches:
+                if b.num_rows:
+                    x, y = closest(_units(b.column("id"), b.column("v")), known, p.k)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+        out = out.union(asked.select("id", "v").mapInArrow(run, "a long, b long"))
+    return out
+
+
+def _representatives(df: DataFrame, id_col: str, vector_col: str, p: Forest) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, reps with their strings, vectors with their lengths)."""
+    strings = materialise(df.select(id_col, vector_col).mapInArrow(_strings(id_col, vector_col, p), "id long, key_high long, key_low long, w0 long, w1 long, w2 long"))
+    reps = strings.groupBy("key_high", "key_low").agg(F.min("id").alias("rep"), *[F.first(f"w{i}").alias(f"w{i}") for i in range(3)])
+    members = strings.select("id", "key_high", "key_low").distinct().join(reps.select("key_high", "key_low", "rep"), ["key_high", "key_low"]).select("id", "rep")
+    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    v = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & (F.size("v") == p.dims)).groupBy("id").agg(F.first("v").alias("v"))
+    return members, reps, v.withColumn("length", length(F.col("v")))
+
+
+def _measured(pairs: DataFrame, v: DataFrame) -> DataFrame:
+    side = lambda s: v.select(F.col("id").alias(s), F.col("v").alias(f"v_{s}"), F.col("length").alias(f"length_{s}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    dot = F.aggregate(F.zip_with("v_a", "v_b", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return both.select("a", "b", (dot / (F.col("length_a") * F.col("length_b"))).alias("cosine"))
+
+
 def neighbours(df: DataFrame, id_col: str, vector_col: str, p: Forest | None = None) -> tuple[DataFrame, DataFrame]:
     """(members, links): members has id and rep (the smallest id with an equal vector) of every usable vector, one row an id;
     links has a < b and their cosine (at least p.cosine) for representatives found near each other.
@@ -218,24 +316,28 @@ def neighbours(df: DataFrame, id_col: str, vector_col: str, p: Forest | None = N
     must have one vector). An empty table gives empty results."""
     p = p or Forest()
     n = max(1, df.count())
-    strings = materialise(df.select(id_col, vector_col).mapInArrow(_strings(id_col, vector_col, p), "id long, key_high long, key_low long, w0 long, w1 long, w2 long"))
-    reps = strings.groupBy("key_high", "key_low").agg(F.min("id").alias("rep"), *[F.first(f"w{i}").alias(f"w{i}") for i in range(3)])
-    members = strings.select("id", "key_high", "key_low").distinct().join(reps.select("key_high", "key_low", "rep"), ["key_high", "key_low"]).select("id", "rep")
+    members, reps, v = _representatives(df, id_col, vector_col, p)
     trees = reps.select("rep", "w0", "w1", "w2").mapInArrow(_planted(p), "tree byte, w0 long, w1 long, w2 long, rep long")
     forest = trees.repartitionByRange("tree", "w0", "w1", "w2", "rep").sortWithinPartitions("tree", "w0", "w1", "w2", "rep")
-    met = forest.mapInArrow(_met(p, p.floor(n), 2 * p.members(n)), "a long, b long").distinct()
-    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    v = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & (F.size("v") == p.dims)).groupBy("id").agg(F.first("v").alias("v"))
-    v = v.withColumn("length", length(F.col("v")))
-    side = lambda s: v.select(F.col("id").alias(s), F.col("v").alias(f"v_{s}"), F.col("length").alias(f"length_{s}"))
-    both = met.join(side("a"), "a").join(side("b"), "b")
-    dot = F.aggregate(F.zip_with("v_a", "v_b", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    links = both.select("a", "b", (dot / (F.col("length_a") * F.col("length_b"))).alias("cosine")).where(F.col("cosine") >= p.cosine)
-    return members, links
+    met = materialise(forest.mapInArrow(_met(p, p.floor(n), 2 * p.members(n)), "a long, b long").distinct())
+    pairs, dense = met.where("a < b"), met.where("a = b").select(F.col("a").alias("id"))
+    if dense.head(1):
+        own = materialise(reps.select(F.col("rep").alias("id")).join(v, "id").select("id", "v"))
+        pairs = pairs.union(exact_pairs(own.join(dense, "id"), own, p)).distinct()
+    return members, _measured(pairs, v).where(F.col("cosine") >= p.cosine)
+
+
+def all_neighbours(df: DataFrame, id_col: str, vector_col: str, p: Forest | None = None) -> tuple[DataFrame, DataFrame]:
+    """members and links as of neighbours(), with no least cosine: the links hold the p.k nearest of every representative, by
+    comparing all with all, as below a cosine of about 0.8 no prefix of a string tells near from far."""
+    p = p or Forest()
+    members, reps, v = _representatives(df, id_col, vector_col, p)
+    own = materialise(reps.select(F.col("rep").alias("id")).join(v, "id").select("id", "v"))
+    return members, _measured(exact_pairs(own, own, p).distinct(), v)
 
 
 def nearest(members: DataFrame, links: DataFrame, k: int = 5) -> DataFrame:
-    """(id, neighbour, cosine, rank): the k most similar found ids of every id; equal cosines by smaller id. Copies have cosine 1.
+    """(id, neighbour, cosine, rank): the k most similar ids of every id by the links; equal cosines by smaller id. Copies have cosine 1.
 
     Of a set of copies only the k + 1 smallest ids can be anybody's neighbours, so a set of any size stays short."""
     from pyspark.sql import Window

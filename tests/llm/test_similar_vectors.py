@@ -82,3 +82,17 @@ def test_the_floor_keeps_subtrees_bounded():
     p = sv.Forest()
     for n in (1, 10_000, 10**6, 10**9):
         assert n / 2 ** p.floor(n) <= 1.5 * p.members(n) + 1
+
+
+def test_a_dense_group_keeps_its_nearest(spark):
+    r = np.random.default_rng(6)
+    ids = r.permutation(2100)
+    for noise in (0.4, 1e-4):  # a third of all rows
+        m = np.concatenate([r.normal(size=64) + noise * r.normal(size=(700, 64)), r.normal(size=(1400, 64))])
+        u = m.astype(np.float32).astype(float)
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        s = u @ u.T
+        np.fill_diagonal(s, -2)
+        want = {(min(ids[i], ids[j]), max(ids[i], ids[j])) for i in range(700) for j in np.argsort(-s[i])[:5] if s[i, j] >= 0.85}
+        got = found(spark, frame(spark, ids, m))
+        assert len(want) > 2000 and len(got & want) >= 0.99 * len(want)
