@@ -36,11 +36,12 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     p = similar_vectors.Forest()
-    return similar_vectors.nearest(*similar_vectors.neighbours(table(spark, d, "pair_samples"), "sample_id", "vector", p), p.k)
+    return similar_vectors.nearest(*similar_vectors.all_neighbours(table(spark, d, "pair_samples"), "sample_id", "vector", p), p.k)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    n = p3_neighbours(spark, d).where(F.col("cosine") >= similar_vectors.Forest().cosine)
+    p = similar_vectors.Forest()  # only pairs of at least p.cosine
+    n = similar_vectors.nearest(*similar_vectors.neighbours(table(spark, d, "pair_samples"), "sample_id", "vector", p), p.k)
     return n.select(F.least("id", "neighbour").alias("sample_id_a"), F.greatest("id", "neighbour").alias("sample_id_b")).distinct()
 
 

@@ -96,3 +96,17 @@ def test_a_dense_group_keeps_its_nearest(spark):
         want = {(min(ids[i], ids[j]), max(ids[i], ids[j])) for i in range(700) for j in np.argsort(-s[i])[:5] if s[i, j] >= 0.85}
         got = found(spark, frame(spark, ids, m))
         assert len(want) > 2000 and len(got & want) >= 0.99 * len(want)
+
+
+def test_p3_neighbours_lists_five_for_every_vector(spark, tmp_path):
+    from graphloom.llm import queries
+
+    r = np.random.default_rng(7)
+    ids, m = r.permutation(300), r.normal(size=(300, 64))  # hardly any two at cosine 0.85
+    frame(spark, ids, m).write.parquet(f"{tmp_path}/pair_samples.parquet")
+    got = {(x.id, x.rank): x.neighbour for x in queries.p3_neighbours(spark, str(tmp_path)).collect()}
+    u = m.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    assert got == {(ids[i], k + 1): ids[j] for i in range(300) for k, j in enumerate(np.argsort(-s[i])[:5])}
