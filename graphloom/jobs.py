@@ -14,6 +14,7 @@ labels(idx, gold), results(key, predicted, gold array)."""
 from __future__ import annotations
 
 import argparse
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -56,6 +57,19 @@ def nc_generate(nodes: DataFrame, adjacency: DataFrame, mode: str, seed: int, co
     return ds.stratified(pool, BY, "difficulty", counts, seed, ["dataset", "node_id"])
 
 
+def _negatives(nodes: DataFrame, edges: DataFrame, wanted: int, seed: int) -> DataFrame:
+    """negative_pairs with more tries until every graph has the wanted number; a warning names a graph that still has fewer."""
+    for tries in (4, 64):
+        found = materialise(ds.negative_pairs(nodes, edges, wanted, seed, tries))
+        have = nodes.select("dataset").distinct().join(found.groupBy("dataset").agg(F.count("*").alias("n")), "dataset", "left")
+        short = have.where(F.coalesce("n", F.lit(0)) < wanted).head(1)
+        if not short:
+            break
+    else:
+        warnings.warn(f"{short[0].dataset} has {short[0].n or 0} negative pairs of {wanted}", stacklevel=2)
+    return found
+
+
 def build_lp(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, seed: int, train: tuple[int, int], test: tuple[int, int], k: int = 10) -> DataFrame:
     """Link-prediction pairs: positives and negatives for train and test without overlap, similarity, difficulty terciles (train), pair
     ids in bucketed order, the k most similar reference edges (all edges but test positives) and common neighbours."""
@@ -63,7 +77,7 @@ def build_lp(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, seed: int,
     keys = ["dataset", "u", "v"]
     pos_train = ds.seeded_sample(e, BY, train[0], seed, keys)
     pos_test = ds.seeded_sample(ds.without(e, pos_train, on=keys), BY, test[0], seed + 1, keys)
-    neg_all = ds.negative_pairs(nodes, e, train[1] + test[1], seed)
+    neg_all = _negatives(nodes, e, train[1] + test[1], seed)
     rank = F.row_number().over(Window.partitionBy("dataset").orderBy(ds.seeded(seed, *keys), *keys))
     neg = neg_all.withColumn("_r", rank)
     part = lambda df, label, split: df.select(*keys, F.lit(label).alias("label"), F.lit(split).alias("split"))
@@ -79,9 +93,9 @@ def build_lp(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, seed: int,
     named = lambda df: df.select("dataset", F.xxhash64(*keys).alias("node_id"), F.col("vector").alias("emb"), "u", "v", "similarity")
     ref = named(pool)
     ask = named(p).select(F.col("node_id").alias("qid"), "dataset", "node_id", "emb")
-    hits = rt.ranked(rt.similar_candidates(ask.select("qid", "dataset", "node_id"), ref.select("dataset", "node_id", "emb").union(ask.select("dataset", "node_id", "emb")).dropDuplicates(["dataset", "node_id"]), 2 * k), ["qid"], "score", "cand", 2 * k)
+    hits = rt.similar_candidates(ask.select("qid", "dataset", "node_id"), ask.select("dataset", "node_id", "emb"), k, pool=ref.select("dataset", "node_id", "emb"))
     hits = hits.join(ref.select("dataset", F.col("node_id").alias("cand"), F.col("u").alias("ru"), F.col("v").alias("rv")), ["dataset", "cand"])
-    top = rt.ranked(hits.drop("doc_id"), ["qid"], "score", "cand", k).groupBy("qid").agg(
+    top = rt.ranked(hits, ["qid"], "score", "cand", k).groupBy("qid").agg(
         F.array_sort(F.collect_list(F.struct("doc_id", F.col("ru").alias("node_u"), F.col("rv").alias("node_v"), F.col("score").alias("similarity"), F.lit(True).alias("is_edge")))).alias("similar_pairs")
     )
     out = p.withColumn("qid", F.xxhash64(*keys)).join(top, "qid", "left").drop("qid", "vector")

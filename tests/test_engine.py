@@ -125,6 +125,14 @@ def test_link_dataset(spark):
         assert r.common_1hop == sorted(set(r.node_u_1hop) & set(r.node_v_1hop))
 
 
+def test_link_dataset_fills_references_among_many_negatives(spark):
+    nodes, edges, emb = graph(spark)
+    n_edges = g.canonical_edges(edges, by=["dataset"]).count()
+    out = jobs.build_lp(nodes, edges, emb, 5, (20, 3 * n_edges), (6, 2 * n_edges), 4).collect()
+    assert sum(r.label == 0 for r in out) == 5 * n_edges
+    assert all(r.similar_pairs is not None and len(r.similar_pairs) == 4 for r in out)
+
+
 def test_command_line(spark, tmp_path):
     p = str(tmp_path / "p.parquet")
     spark.createDataFrame([(1, "HARD"), (2, None), (3, "easy")], "pair_id long, difficulty string").write.parquet(p)
