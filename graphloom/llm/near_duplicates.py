@@ -3,18 +3,16 @@
 Every text becomes a bag of (word, occurrence) elements. Under each hash function both the minimum and the maximum are
 retained, so one evaluation gives two signature values; bands of such values are joined, and the pairs that meet in a band are
 checked exactly on their bags. All words weigh alike, however many texts have them, so a family of edited copies is found by its
-similarity alone, also where it makes its own words common. What meets by chance is dropped inside the join by a sketch of four
-bits of 64 signature values, before any bag is moved.
+similarity alone, also where it makes its own words common. One setting of bands holds for tables of any size.
 
-Texts with the same bag are one representative from the start, so exact copies never meet each other in a band.
+Records whose latest texts have the same bag (by 128 bits) are one representative from the start, so exact copies never meet each
+other in a band. Texts themselves are never shuffled; of a representative only its elements are (four bytes a word).
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,46 +23,25 @@ from pyspark.sql import types as T
 from graphloom.llm.common import WordHash, mix64, words
 from graphloom.session import materialise
 
-U64 = np.uint64
-PLANES = 4
+U64, U32 = np.uint64, np.uint32
 
 
 @dataclass(frozen=True)
 class MinMax:
-    """Parameters of the search.
+    """Parameters of the search, the same at every size.
 
     threshold: shared words, with repetition, against the longer text.
     min_words: shorter texts are in no pair.
-    rows, bands: values per band (half of them minima) and bands.
-    deviations: a pair at the threshold is dropped by the sketch where its agreement is so many deviations below the mean (3: 0.13 %).
-    """
+    rows, bands: values per band (half of them minima, half maxima) and bands. Two texts of Jaccard similarity j meet with
+    1 - (1 - j^rows)^bands: 0.89 at 0.6, the least that a pair at the threshold of 0.75 can have, 0.996 at 0.7, over 0.9999 at 0.78.
+    Six values keep chance meetings of texts that share a tenth of their words to 5 in 100,000 pairs."""
 
     threshold: float = 0.75
     min_words: int = 20
-    rows: int = 4
-    bands: int = 20
-    deviations: float = 3.0
+    rows: int = 6
+    bands: int = 46
     seed: int = 20300101
 
-    @staticmethod
-    def planned(n_rows: int, **kw) -> MinMax:
-        """Longer bands for more rows: chance meetings grow with the square of the rows, and each two values more divide them by
-        about 200, while the number of bands keeps the probability of a pair at the threshold to meet (Jaccard 0.6) above 0.9."""
-        rows, bands = (4, 20) if n_rows <= 2_000_000 else (6, 54) if n_rows <= 200_000_000 else (8, 150)
-        return MinMax(rows=rows, bands=bands, **kw)
-
-    @property
-    def fields(self) -> int:
-        """Signature values that the sketch has bits of."""
-        return min(64, self.rows * self.bands)
-
-    @property
-    def least_agreeing(self) -> int:
-        """Fields that a pair at the threshold has alike, less the deviations; its Jaccard similarity is t / (2 - t) at least."""
-        j = self.threshold / (2 - self.threshold)
-        alike = j + (1 - j) / 2**PLANES
-        return math.floor(self.fields * alike - self.deviations * math.sqrt(self.fields * alike * (1 - alike)))
-
 
 @dataclass
 class Bags:
@@ -99,138 +76,151 @@ class Bags:
             elements = mix64(w + nth * U64(0x9E3779B97F4A7C15))
         return Bags(elements, starts, n, np.array(kept, dtype=np.int64))
 
-    def keys(self) -> np.ndarray:
-        """One number per bag, the same for any order of the same elements."""
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two numbers per bag, the same for any order of the same elements; together 128 bits."""
         if not len(self.sizes):
-            return np.empty(0, dtype=np.int64)
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
         with np.errstate(over="ignore"):
-            return mix64(np.add.reduceat(mix64(self.elements), self.starts) ^ self.sizes.astype(U64)).view(np.int64)
+            sums = (np.add.reduceat(mix64(self.elements ^ U64(salt)), self.starts) for salt in (0, 0x5851F42D4C957F2D))
+            high, low = (mix64(x ^ self.sizes.astype(U64)).view(np.int64) for x in sums)
+            return high, low
+
+    def short(self) -> np.ndarray:
+        """The elements in four bytes each."""
+        return (self.elements >> U64(32)).astype(U32)
 
 
-def _overview(id_col: str, text_col: str, version_col: str | None, p: MinMax):
+def _overview(id_col: str, text_col: str, version_col: str | None, p: MinMax, kind: pa.DataType):
     """For every row its id, version and bag."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
         for b in batches:
             bags = Bags.of(b.column(text_col).to_pylist(), known, p.min_words)
-            keys = np.zeros(b.num_rows, dtype=np.int64)
-            keys[bags.kept] = bags.keys()
-            missing = np.ones(b.num_rows, dtype=bool)
-            missing[bags.kept] = False
-            version = b.column(version_col) if version_col else pa.nulls(b.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(id_col).cast(pa.int64()), version, pa.array(keys, mask=missing)], names=["id", "version", "bag"])
+            keys, missing = np.zeros((2, b.num_rows), dtype=np.int64), np.ones(b.num_rows, dtype=bool)
+            keys[:, bags.kept], missing[bags.kept] = bags.keys(), False
+            version = b.column(version_col) if version_col else pa.nulls(b.num_rows, kind)
+            yield pa.RecordBatch.from_arrays([b.column(id_col).cast(pa.int64()), version, *(pa.array(k, mask=missing) for k in keys)], names=["id", "version", "bag_high", "bag_low"])
 
     return run
 
 
-def signatures(bags: Bags, p: MinMax) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (texts, bands) and sketches (texts, PLANES): bit i of plane j is bit j of the i-th signature value."""
+def _elements(id_col: str, text_col: str, p: MinMax):
+    """For every row with enough words its id, bag and elements."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHash()
+        for b in batches:
+            b = b.filter(b.column(id_col).is_valid())
+            bags = Bags.of(b.column(text_col).to_pylist(), known, p.min_words)
+            if len(bags.sizes):
+                lists = pa.ListArray.from_arrays(pa.array(np.append(bags.starts, len(bags.elements)).astype(np.int32)), pa.array(bags.short().view(np.int32)))
+                ids = b.column(id_col).take(pa.array(bags.kept)).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(k) for k in bags.keys()), lists], names=["rep", "high", "low", "elements"])
+
+    return run
+
+
+def bands_of(elements: np.ndarray, starts: np.ndarray, p: MinMax) -> np.ndarray:
+    """(texts, bands) keys; elements are uint32, laid end to end."""
     rng = np.random.default_rng(p.seed)
-    functions = p.rows // 2 * p.bands
-    a = rng.integers(1, 2**63, functions, dtype=np.int64).view(U64) | U64(1)
-    c = rng.integers(0, 2**63, functions, dtype=np.int64).view(U64)
-    x, t = np.empty_like(bags.elements), np.empty_like(bags.elements)
-    keys = np.zeros((len(bags.sizes), p.bands), dtype=U64)
-    sketch = np.zeros((len(bags.sizes), PLANES), dtype=U64)
-    field = 0
+    per = p.rows // 2
+    factor = rng.integers(0, 2**32, (p.bands, per, 2), dtype=np.uint64).astype(U32) | U32(1)
+    keys = np.zeros((len(starts), p.bands), dtype=U64)
+    x, t = np.empty_like(elements), np.empty_like(elements)
     with np.errstate(over="ignore"):
-        for f in range(functions):
-            band = f % p.bands
-            np.multiply(bags.elements, a[f], out=x)
-            np.add(x, c[f], out=x)
-            np.right_shift(x, U64(32), out=t)  # a product alone favours some elements under every function
-            np.bitwise_xor(x, t, out=x)
-            np.multiply(x, U64(0x9E3779B97F4A7C15), out=x)
-            for values in (np.maximum.reduceat(x, bags.starts), np.minimum.reduceat(x, bags.starts)):
-                keys[:, band] = mix64(keys[:, band] * U64(0x2545F4914F6CDD1D) + values)
-                if field < p.fields:
-                    mixed = mix64(values)
-                    for plane in range(PLANES):
-                        sketch[:, plane] |= ((mixed >> U64(plane)) & U64(1)) << U64(field)
-                    field += 1
         for band in range(p.bands):
+            for a, c in factor[band]:
+                np.add(elements, c, out=x)  # a product alone would leave an element of 0 the least under every function
+                np.multiply(x, a, out=x)
+                np.right_shift(x, U32(15), out=t)
+                np.bitwise_xor(x, t, out=x)
+                np.multiply(x, c, out=x)
+                both = np.minimum.reduceat(x, starts).astype(U64) << U64(32) | np.maximum.reduceat(x, starts).astype(U64)
+                keys[:, band] = mix64(keys[:, band] * U64(0x2545F4914F6CDD1D) + both)
             keys[:, band] = mix64(keys[:, band] + U64(band + 1))
-    return keys, sketch
-
+    return keys
 
-SKETCH = [f"s{i}" for i in range(PLANES)]
 
+def _banded(p: MinMax):
+    """(rep, size, elements) -> band, rep, size: one row per text and band."""
 
-def _signed(text_col: str, p: MinMax):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHash()
         for b in batches:
-            bags = Bags.of(b.column(text_col).to_pylist(), known, p.min_words)
-            if not len(bags.sizes):
-                continue
-            keys, sketch = (m.view(np.int64) for m in signatures(bags, p))
-            short = (bags.elements >> U64(32)).astype(np.uint32).view(np.int32)
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * p.bands), pa.array(keys.ravel()))
-            elements = pa.ListArray.from_arrays(pa.array(np.append(bags.starts, len(short)).astype(np.int32)), pa.array(short))
-            sign = pa.StructArray.from_arrays([pa.array(bags.sizes.astype(np.int32)), bands, elements, *(pa.array(sketch[:, i]) for i in range(PLANES))], names=["size", "bands", "elements", *SKETCH])
-            yield pa.RecordBatch.from_arrays([pa.array(bags.keys()), sign], names=["bag", "sign"])
+            for lo in range(0, b.num_rows, 2000):
+                part = b.slice(lo, 2000)
+                lists = part.column("elements")
+                offsets = lists.offsets.to_numpy()
+                keys = bands_of(lists.flatten().to_numpy().view(U32), (offsets[:-1] - offsets[0]).astype(np.int64), p)
+                many = lambda c: pa.array(np.repeat(part.column(c).to_numpy(), p.bands))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), many("rep"), many("size")], names=["band", "rep", "size"])
 
     return run
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, version_col: str | None = None, p: MinMax | None = None) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members has id and bag of every record with at least min_words words (bag is null for others);
-    links has bag_a, bag_b, similarity of every found pair of different bags.
+    """(members, links): members has id and rep of every record: the smallest id whose latest text has the same bag, null for a text
+    with fewer than min_words words; links has rep_a < rep_b and the similarity of every found pair of different bags.
 
-    A record written again (same id) counts once, by its latest version. Null ids go; null, empty and too short texts get a
-    null bag; an empty table gives empty results. Texts of any length are read whole."""
-    spark = df.sparkSession
-    p = p or MinMax.planned(df.count())
+    A record written again (same id) counts once, by its latest version (of equal versions one with a bag, the greatest). Null ids
+    go; null, empty and too short texts have no rep; an empty table gives empty results. Texts of any length are read whole."""
+    p = p or MinMax()
     cols = [id_col, text_col] + ([version_col] if version_col else [])
-    kind = df.schema[version_col].dataType.simpleString() if version_col else "long"
-    seen = materialise(df.select(*cols).mapInArrow(_overview(id_col, text_col, version_col, p), f"id long, version {kind}, bag long"))
-    latest = F.struct(F.col("version").isNotNull(), F.col("version"), F.col("bag").isNotNull(), F.col("bag"))
-    members = seen.where("id is not null").groupBy("id").agg(F.max_by("bag", latest).alias("bag"))
-
-    # one struct, so that no branch below prunes columns and all of them share one exchange
-    signed = df.select(text_col).mapInArrow(_signed(text_col, p), f"bag long, sign struct<size:int,bands:array<long>,elements:array<int>,{','.join(f'{c}:long' for c in SKETCH)}>")
-    one = signed.groupBy("bag").agg(F.first("sign").alias("sign"))
-    keys = one.select(F.explode("sign.bands").alias("band"), "bag", "sign.size", *[f"sign.{c}" for c in SKETCH])
-    unlike = reduce(lambda x, y: x.bitwiseOR(y), [F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")) for c in SKETCH])
-    near = F.bit_count(unlike) <= p.fields - p.least_agreeing
+    kind = df.schema[version_col].dataType.simpleString() if version_col else "bigint"
+    texts = df.select(*cols)
+    seen = texts.mapInArrow(_overview(id_col, text_col, version_col, p, pa.int64()), f"id long, version {kind}, bag_high long, bag_low long").where("id is not null")
+    # a struct of flat values would be aggregated by sorting; the greatest version and, of its rows, the greatest bag are hash aggregates
+    seen = materialise(seen)
+    newest = seen.groupBy("id").agg(F.max("version").alias("newest"))
+    current = seen.join(newest, "id").where(F.col("version").eqNullSafe(F.col("newest")))
+    top = current.groupBy("id").agg(F.max("bag_high").alias("bag_high"))
+    bags = materialise(current.groupBy("id", "bag_high").agg(F.max("bag_low").alias("bag_low")).join(top.withColumnRenamed("bag_high", "top"), "id").where(F.col("bag_high").eqNullSafe(F.col("top"))).drop("top"))
+    reps = bags.where("bag_high is not null").groupBy("bag_high", "bag_low").agg(F.min("id").alias("rep"))
+    members = materialise(bags.join(reps, ["bag_high", "bag_low"], "left").select("id", "rep", "bag_high", "bag_low"))
+
+    chosen = members.where("id = rep").select("rep", "bag_high", "bag_low")
+    found = texts.select(id_col, text_col).mapInArrow(_elements(id_col, text_col, p), "rep long, high long, low long, elements array<int>")
+    one = found.join(chosen, "rep").where("high = bag_high and low = bag_low").dropDuplicates(["rep"]).select("rep", F.size("elements").alias("size"), "elements")
+    keys = one.mapInArrow(_banded(p), "band long, rep long, size int")
+    x, y = keys.alias("x"), keys.alias("y")
     sizes = F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * p.threshold - 1e-6  # else they cannot share enough
-    meet = keys.alias("x").join(keys.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.bag") < F.col("y.bag")) & sizes & near)
-    pairs = meet.select(F.col("x.bag").alias("bag_a"), F.col("y.bag").alias("bag_b")).distinct()
-    side = lambda s: one.select(F.col("bag").alias(f"bag_{s}"), F.col("sign.size").alias(f"size_{s}"), F.col("sign.elements").alias(f"elements_{s}"))
-    both = pairs.join(side("a"), "bag_a").join(side("b"), "bag_b")
+    meet = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") < F.col("y.rep")) & sizes)
+    pairs = meet.select(F.col("x.rep").alias("rep_a"), F.col("y.rep").alias("rep_b")).distinct()
+    side = lambda s: one.select(F.col("rep").alias(f"rep_{s}"), F.col("size").alias(f"size_{s}"), F.col("elements").alias(f"elements_{s}"))
+    both = pairs.join(side("a"), "rep_a").join(side("b"), "rep_b")
     shared = F.size(F.array_intersect("elements_a", "elements_b")) / F.greatest("size_a", "size_b")
-    links = both.select("bag_a", "bag_b", shared.cast(T.DoubleType()).alias("similarity")).where(F.col("similarity") >= p.threshold - 1e-9)
-    return members, links
+    links = both.select("rep_a", "rep_b", shared.cast(T.DoubleType()).alias("similarity")).where(F.col("similarity") >= p.threshold - 1e-9)
+    return members.select("id", "rep"), links
 
 
 def pairs_of_records(members: DataFrame, links: DataFrame) -> DataFrame:
     """Every pair of record ids (a < b): copies of one bag, and the records of linked bags."""
-    m = members.where("bag is not null")
-    a, b = m.select(F.col("id").alias("id_a"), F.col("bag").alias("bag_a")), m.select(F.col("id").alias("id_b"), F.col("bag").alias("bag_b"))
-    copies = a.join(b, (F.col("bag_a") == F.col("bag_b")) & (F.col("id_a") < F.col("id_b"))).select("id_a", "id_b")
-    linked = links.select("bag_a", "bag_b").join(a, "bag_a").join(b, "bag_b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
+    m = members.where("rep is not null")
+    a, b = m.select(F.col("id").alias("id_a"), F.col("rep").alias("rep_a")), m.select(F.col("id").alias("id_b"), F.col("rep").alias("rep_b"))
+    copies = a.join(b, (F.col("rep_a") == F.col("rep_b")) & (F.col("id_a") < F.col("id_b"))).select("id_a", "id_b")
+    linked = links.select("rep_a", "rep_b").join(a, "rep_a").join(b, "rep_b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
     return copies.union(linked)
 
 
-def classes(members: DataFrame, links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def classes(members: DataFrame, links: DataFrame) -> DataFrame:
     """(id, class_id, n_links): the connected class of every record and the number of other bags its own is linked to.
 
-    class_id is the smallest record id of the class; a record without a bag is its own class with 0 links. Labels spread along
-    links and jump (label of the label) in each round, so the rounds grow with the logarithm of a class's diameter; every round
-    is a written table, so no lineage grows and no class is collected."""
-    links = materialise(links.select("bag_a", "bag_b"))
-    both = links.union(links.select(F.col("bag_b"), F.col("bag_a"))).toDF("bag", "other")
-    labels = materialise(both.groupBy("bag").agg(F.least(F.col("bag"), F.min("other")).alias("label"), F.count("*").alias("n_links")))
-    for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("bag").alias("other"), F.col("label").alias("seen")), "other").groupBy("bag").agg(F.min("seen").alias("seen"))
-        hop = labels.select(F.col("bag").alias("label"), F.col("label").alias("far"))
-        after = materialise(
-            labels.join(near, "bag").join(hop, "label").select("bag", F.least("label", "seen", "far").alias("label"), "n_links", (F.least("label", "seen", "far") != F.col("label")).alias("moved"))
-        )
-        labels = after.select("bag", "label", "n_links")
-        if not after.where("moved").head(1):
-            break
-    known = members.join(labels, "bag", "left").select("id", F.coalesce("label", "bag").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    class_id is the smallest record id of the class; a record without a bag is its own class with 0 links. In each round every
+    node is merged into the neighbour that comes first in a random order of the round, and the edges are drawn between what is left, until
+    none is: a class halves about once a round, whatever its shape, also a long chain. Every round is a written table, so no
+    lineage grows and no class is collected."""
+    edges = materialise(links.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
+    ends = edges.union(edges.select("b", "a")).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links"))
+    labels = materialise(ends.withColumn("label", F.col("rep")))
+    turn = 0
+    while edges.head(1):
+        order = lambda c: F.xxhash64(F.lit(turn), c)  # noqa: B023, E731
+        near = edges.union(edges.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.min_by("b", order("b")).alias("near"))
+        into = materialise(near.where(order("near") < order("node")))
+        labels = materialise(labels.join(into, F.col("label") == F.col("node"), "left").select("rep", "n_links", F.coalesce("near", "label").alias("label")))
+        moved = lambda df, c: df.join(into, F.col(c) == F.col("node"), "left").withColumn(c, F.coalesce("near", c)).drop("node", "near")  # noqa: B023, E731
+        edges = materialise(moved(moved(edges, "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        turn += 1
+    known = members.join(labels, "rep", "left").select("id", F.coalesce("label", "rep").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     named = known.where("label is not null").groupBy("label").agg(F.min("id").alias("class_id"))
     return known.join(named, "label", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), "n_links")

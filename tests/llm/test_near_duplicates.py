@@ -1,8 +1,6 @@
 import random
 from collections import Counter
 
-import pytest
-
 from graphloom.llm import near_duplicates as nd
 from graphloom.llm.common import words
 
@@ -82,10 +80,19 @@ def test_classes_follow_chains(spark):
     assert {got[i][0] for i in range(95, 101)} == {95} and got[100][1] >= 1 and got[98][1] >= 2
 
 
-@pytest.mark.parametrize("n,rows", [(10, 4), (10**7, 6), (10**9, 8)])
-def test_planned_bands_keep_recall(n, rows):
-    p = nd.MinMax.planned(n)
-    assert p.rows == rows and 1 - (1 - 0.6**p.rows) ** p.bands > 0.9
+def test_one_setting_of_bands():
+    p = nd.MinMax()
+    meet = lambda j: 1 - (1 - j**p.rows) ** p.bands
+    assert meet(0.6) > 0.88 and meet(0.7) > 0.995 and meet(0.78) > 0.9999
+
+
+def test_a_long_chain_is_one_class(spark):
+    n = 300
+    members = spark.createDataFrame([(i, i) for i in range(n + 5)] + [(999, None)], "id long, rep long")
+    links = spark.createDataFrame([(i, i + 1, 0.9) for i in range(n - 1)] + [(n, n + 2, 0.8)], "rep_a long, rep_b long, similarity double")
+    got = {r.id: (r.class_id, r.n_links) for r in nd.classes(members, links).collect()}
+    assert {got[i][0] for i in range(n)} == {0} and got[0][1] == 1 and got[5][1] == 2
+    assert got[n + 2] == (n, 1) and got[n + 1] == (n + 1, 0) and got[999] == (999, 0)
 
 
 def test_a_hot_family_keeps_its_pairs(spark):
