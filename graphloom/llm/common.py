@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import re
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that are not seen and may stand inside a word.
@@ -73,3 +74,10 @@ def latest(df: DataFrame, key: str, version: str, cols: list[str]) -> DataFrame:
     order = F.struct(F.col(version).isNotNull(), F.col(version), *[F.col(c) for c in cols])
     picked = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*cols), order).alias("_v"))
     return picked.select(key, "_v.*")
+
+
+def release(spark: SparkSession) -> None:
+    """Between the passes of an operator: lets Spark's cleaner drop the shuffle files of plans that are no longer referenced, so
+    that the disk holds those of one pass at a time. A hint; nothing depends on it."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -5,14 +5,19 @@ retained, so one evaluation gives two signature values; bands of such values are
 checked exactly on their bags. All words weigh alike, however many texts have them, so a family of edited copies is found by its
 similarity alone, also where it makes its own words common. One setting of bands holds for tables of any size.
 
+What meets by chance is dropped inside the join by a sketch of four bits of 64 signature values, before any bag is moved. Bands, and
+then the exact checks, are taken in passes, so that the disk never holds more than the shuffle of one pass.
+
 Records whose latest texts have the same bag (by 128 bits) are one representative from the start, so exact copies never meet each
 other in a band. Texts themselves are never shuffled; of a representative only its elements are (four bytes a word).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import WordHash, mix64, words
+from graphloom.llm.common import WordHash, mix64, release, words
 from graphloom.session import materialise
 
 U64, U32 = np.uint64, np.uint32
+PLANES = 4
+SKETCH = [f"s{i}" for i in range(PLANES)]
 
 
 @dataclass(frozen=True)
@@ -33,15 +40,34 @@ class MinMax:
     threshold: shared words, with repetition, against the longer text.
     min_words: shorter texts are in no pair.
     rows, bands: values per band (half of them minima, half maxima) and bands. Two texts of Jaccard similarity j meet with
-    1 - (1 - j^rows)^bands: 0.89 at 0.6, the least that a pair at the threshold of 0.75 can have, 0.996 at 0.7, over 0.9999 at 0.78.
-    Six values keep chance meetings of texts that share a tenth of their words to 5 in 100,000 pairs."""
+    1 - (1 - j^rows)^bands: 0.78 at 0.6, the least that a pair at the threshold of 0.75 can have, 0.98 at 0.7, 0.9997 at 0.78.
+    passes: parts of the bands, and of the exact checks, that are done one after the other.
+    deviations: a pair at the threshold is dropped by the sketch where its agreement is so many deviations below the mean (3: 0.13 %)."""
 
     threshold: float = 0.75
     min_words: int = 20
     rows: int = 6
-    bands: int = 46
+    bands: int = 32
+    passes: int = 2
+    deviations: float = 3.0
     seed: int = 20300101
 
+    @property
+    def per_pass(self) -> int:
+        return -(-self.bands // self.passes)
+
+    @property
+    def fields(self) -> int:
+        """Signature values of a pass that the sketch has bits of."""
+        return min(64, self.rows * self.per_pass)
+
+    @property
+    def least_agreeing(self) -> int:
+        """Fields that a pair at the threshold has alike, less the deviations; its Jaccard similarity is t / (2 - t) at least."""
+        j = self.threshold / (2 - self.threshold)
+        alike = j + (1 - j) / 2**PLANES
+        return math.floor(self.fields * alike - self.deviations * math.sqrt(self.fields * alike * (1 - alike)))
+
 
 @dataclass
 class Bags:
@@ -121,29 +147,38 @@ def _elements(id_col: str, text_col: str, p: MinMax):
     return run
 
 
-def bands_of(elements: np.ndarray, starts: np.ndarray, p: MinMax) -> np.ndarray:
-    """(texts, bands) keys; elements are uint32, laid end to end."""
-    rng = np.random.default_rng(p.seed)
-    per = p.rows // 2
-    factor = rng.integers(0, 2**32, (p.bands, per, 2), dtype=np.uint64).astype(U32) | U32(1)
-    keys = np.zeros((len(starts), p.bands), dtype=U64)
+def bands_of(elements: np.ndarray, starts: np.ndarray, p: MinMax, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys (texts, bands of the pass) and sketches (texts, PLANES); elements are uint32, laid end to end.
+
+    Bit i of plane j of a sketch is bit j of the i-th signature value."""
+    rng = np.random.default_rng((p.seed, turn))
+    bands = min(p.per_pass, p.bands - turn * p.per_pass)
+    factor = rng.integers(0, 2**32, (bands, p.rows // 2, 2), dtype=np.uint64).astype(U32) | U32(1)
+    keys, sketch = np.zeros((len(starts), bands), dtype=U64), np.zeros((len(starts), PLANES), dtype=U64)
     x, t = np.empty_like(elements), np.empty_like(elements)
+    field = 0
     with np.errstate(over="ignore"):
-        for band in range(p.bands):
+        for band in range(bands):
             for a, c in factor[band]:
                 np.add(elements, c, out=x)  # a product alone would leave an element of 0 the least under every function
                 np.multiply(x, a, out=x)
                 np.right_shift(x, U32(15), out=t)
                 np.bitwise_xor(x, t, out=x)
                 np.multiply(x, c, out=x)
-                both = np.minimum.reduceat(x, starts).astype(U64) << U64(32) | np.maximum.reduceat(x, starts).astype(U64)
-                keys[:, band] = mix64(keys[:, band] * U64(0x2545F4914F6CDD1D) + both)
+                values = np.minimum.reduceat(x, starts).astype(U64), np.maximum.reduceat(x, starts).astype(U64)
+                keys[:, band] = mix64(keys[:, band] * U64(0x2545F4914F6CDD1D) + (values[0] << U64(32) | values[1]))
+                for v in values:
+                    if field < p.fields:
+                        mixed = mix64(v)
+                        for plane in range(PLANES):
+                            sketch[:, plane] |= ((mixed >> U64(plane)) & U64(1)) << U64(field)
+                        field += 1
             keys[:, band] = mix64(keys[:, band] + U64(band + 1))
-    return keys
+    return keys, sketch
 
 
-def _banded(p: MinMax):
-    """(rep, size, elements) -> band, rep, size: one row per text and band."""
+def _banded(p: MinMax, turn: int):
+    """(rep, size, elements) -> band, rep, size and sketch: one row per text and band of the pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -151,19 +186,39 @@ def _banded(p: MinMax):
                 part = b.slice(lo, 2000)
                 lists = part.column("elements")
                 offsets = lists.offsets.to_numpy()
-                keys = bands_of(lists.flatten().to_numpy().view(U32), (offsets[:-1] - offsets[0]).astype(np.int64), p)
-                many = lambda c: pa.array(np.repeat(part.column(c).to_numpy(), p.bands))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), many("rep"), many("size")], names=["band", "rep", "size"])
+                keys, sketch = bands_of(lists.flatten().to_numpy().view(U32), (offsets[:-1] - offsets[0]).astype(np.int64), p, turn)
+                many = lambda c: pa.array(np.repeat(c, keys.shape[1]))  # noqa: B023, E731
+                cols = [pa.array(keys.view(np.int64).ravel()), many(part.column("rep").to_numpy()), many(part.column("size").to_numpy())]
+                yield pa.RecordBatch.from_arrays([*cols, *(many(sketch[:, i].view(np.int64)) for i in range(PLANES))], names=["band", "rep", "size", *SKETCH])
 
     return run
 
 
+def _met(one: DataFrame, p: MinMax, turn: int) -> DataFrame:
+    """(rep_a, rep_b), each once, that meet in a band of the pass and are not told apart by their sizes and sketches."""
+    keys = one.mapInArrow(_banded(p, turn), f"band long, rep long, size int, {', '.join(f'{c} long' for c in SKETCH)}")
+    unlike = reduce(lambda x, y: x.bitwiseOR(y), [F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")) for c in SKETCH])
+    near = F.bit_count(unlike) <= p.fields - p.least_agreeing
+    sizes = F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * p.threshold - 1e-6  # else they cannot share enough
+    meet = keys.alias("x").join(keys.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") < F.col("y.rep")) & sizes & near)
+    return meet.select(F.col("x.rep").alias("rep_a"), F.col("y.rep").alias("rep_b")).distinct()
+
+
+def _checked(pairs: DataFrame, one: DataFrame, p: MinMax) -> DataFrame:
+    """The pairs that reach the threshold, with their similarity."""
+    side = lambda s: one.select(F.col("rep").alias(f"rep_{s}"), F.col("size").alias(f"size_{s}"), F.col("elements").alias(f"elements_{s}"))
+    both = pairs.join(side("a"), "rep_a").join(side("b"), "rep_b")
+    shared = F.size(F.array_intersect("elements_a", "elements_b")) / F.greatest("size_a", "size_b")
+    return both.select("rep_a", "rep_b", shared.cast(T.DoubleType()).alias("similarity")).where(F.col("similarity") >= p.threshold - 1e-9)
+
+
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, version_col: str | None = None, p: MinMax | None = None) -> tuple[DataFrame, DataFrame]:
     """(members, links): members has id and rep of every record: the smallest id whose latest text has the same bag, null for a text
     with fewer than min_words words; links has rep_a < rep_b and the similarity of every found pair of different bags.
 
     A record written again (same id) counts once, by its latest version (of equal versions one with a bag, the greatest). Null ids
     go; null, empty and too short texts have no rep; an empty table gives empty results. Texts of any length are read whole."""
+    spark = df.sparkSession
     p = p or MinMax()
     cols = [id_col, text_col] + ([version_col] if version_col else [])
     kind = df.schema[version_col].dataType.simpleString() if version_col else "bigint"
@@ -180,16 +235,18 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, version_col: str
 
     chosen = members.where("id = rep").select("rep", "bag_high", "bag_low")
     found = texts.select(id_col, text_col).mapInArrow(_elements(id_col, text_col, p), "rep long, high long, low long, elements array<int>")
-    one = found.join(chosen, "rep").where("high = bag_high and low = bag_low").dropDuplicates(["rep"]).select("rep", F.size("elements").alias("size"), "elements")
-    keys = one.mapInArrow(_banded(p), "band long, rep long, size int")
-    x, y = keys.alias("x"), keys.alias("y")
-    sizes = F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * p.threshold - 1e-6  # else they cannot share enough
-    meet = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") < F.col("y.rep")) & sizes)
-    pairs = meet.select(F.col("x.rep").alias("rep_a"), F.col("y.rep").alias("rep_b")).distinct()
-    side = lambda s: one.select(F.col("rep").alias(f"rep_{s}"), F.col("size").alias(f"size_{s}"), F.col("elements").alias(f"elements_{s}"))
-    both = pairs.join(side("a"), "rep_a").join(side("b"), "rep_b")
-    shared = F.size(F.array_intersect("elements_a", "elements_b")) / F.greatest("size_a", "size_b")
-    links = both.select("rep_a", "rep_b", shared.cast(T.DoubleType()).alias("similarity")).where(F.col("similarity") >= p.threshold - 1e-9)
+    one = materialise(found.join(chosen, "rep").where("high = bag_high and low = bag_low").dropDuplicates(["rep"]).select("rep", F.size("elements").alias("size"), "elements"))
+    release(spark)
+    met, links = None, None
+    for turn in range(-(-p.bands // p.per_pass)):
+        found = materialise(_met(one, p, turn))
+        met = found if met is None else met.union(found)
+        release(spark)
+    met = materialise(met.distinct())
+    for turn in range(p.passes):
+        part = materialise(_checked(met.where(F.pmod(F.xxhash64("rep_b", "rep_a"), F.lit(p.passes)) == turn), one, p))
+        links = part if links is None else links.union(part)
+        release(spark)
     return members.select("id", "rep"), links
 
 
