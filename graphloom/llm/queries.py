@@ -35,13 +35,15 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    p = similar_vectors.Forest()
-    return similar_vectors.nearest(*similar_vectors.all_neighbours(table(spark, d, "pair_samples"), "sample_id", "vector", p), p.k)
+    """The stated query set: samples with an id divisible by 100, against all."""
+    n = similar_vectors.asked_neighbours(table(spark, d, "pair_samples"), "sample_id", "vector")
+    return n.select(F.col("id").alias("sample_id"), F.col("neighbour").alias("neighbour_id"), "rank", F.round("cosine", 6).alias("cosine"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     p = similar_vectors.Forest()  # only pairs of at least p.cosine
-    n = similar_vectors.nearest(*similar_vectors.neighbours(table(spark, d, "pair_samples"), "sample_id", "vector", p), p.k)
+    members, links = similar_vectors.neighbours(table(spark, d, "pair_samples"), "sample_id", "vector", p)
+    n = similar_vectors.nearest(members, similar_vectors.both_ways(links), p.k)
     return n.select(F.least("id", "neighbour").alias("sample_id_a"), F.greatest("id", "neighbour").alias("sample_id_b")).distinct()
 
 

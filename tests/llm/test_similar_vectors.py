@@ -24,7 +24,8 @@ def brute(ids, m, k=5, cosine=0.85):
 
 def found(spark, df, p=None):
     p = p or sv.Forest()
-    n = sv.nearest(*sv.neighbours(df, "sample_id", "vector", p), p.k).where(f"cosine >= {p.cosine}")
+    members, links = sv.neighbours(df, "sample_id", "vector", p)
+    n = sv.nearest(members, sv.both_ways(links), p.k).where(f"cosine >= {p.cosine}")
     return {(min(r.id, r.neighbour), max(r.id, r.neighbour)) for r in n.collect()}
 
 
@@ -44,7 +45,7 @@ def test_recall_against_brute_force(spark):
 
 def test_small_leaves_descend_deeper(spark):
     ids, m = clusters(3, 20, 40, 0.25)
-    p = sv.Forest(leaf=32, keep=16)
+    p = sv.Forest(candidates=1500, keep=16)
     got, want = found(spark, frame(spark, ids, m), p), brute(ids, m)
     assert len(got & want) >= 0.9 * len(want)
 
@@ -55,7 +56,8 @@ def test_copies_ties_and_unusable_vectors(spark):
     rows = [(i, [float(x) for x in v], None, 1) for i in range(1, 10)] + [(3, [float(x) for x in v], "again", 1)]
     rows += [(20, None, None, 1), (21, [], None, 1), (22, [1.0] * 32, None, 1), (23, [float("nan")] + [1.0] * 63, None, 1), (24, [0.0] * 64, None, 1), (25, [float(x) for x in w], None, 1), (26, [float(-x) for x in w], None, 1), (None, [float(x) for x in w], None, 1)]
     df = spark.createDataFrame(rows, SCHEMA)
-    n = sv.nearest(*sv.neighbours(df, "sample_id", "vector")).collect()
+    members, links = sv.neighbours(df, "sample_id", "vector")
+    n = sv.nearest(members, sv.both_ways(links)).collect()
     by = {}
     for x in n:
         by.setdefault(x.id, []).append((x.rank, x.neighbour))
@@ -65,23 +67,30 @@ def test_copies_ties_and_unusable_vectors(spark):
 
 def test_empty(spark):
     members, links = sv.neighbours(spark.createDataFrame([], SCHEMA), "sample_id", "vector")
-    assert members.count() == 0 and links.count() == 0 and sv.nearest(members, links).count() == 0
+    assert members.count() == 0 and links.count() == 0 and sv.nearest(members, sv.both_ways(links)).count() == 0 and sv.asked_neighbours(spark.createDataFrame([], SCHEMA), "sample_id", "vector").count() == 0
 
 
-def test_rotations_read_the_string_from_another_bit():
-    w = np.random.default_rng(5).integers(0, 2**63, (3, 3), dtype=np.int64).view(np.uint64)
-    text = ["".join(f"{int(x):064b}" for x in row) for row in w]
-    turned = sv.rotations(w, 16)
-    for i, s in enumerate(text):
-        for t in range(16):
-            at = t * 192 // 16
-            assert "".join(f"{int(x):064b}" for x in turned[i, t]) == s[at:] + s[:at]
+def test_strings_are_signs_of_independent_projections():
+    p = sv.Forest(trees=3)
+    m = np.random.default_rng(5).normal(size=(50, 64)).astype(np.float32)
+    at = sv.planes(p)
+    got = sv.strings(m, at, 3)
+    for i in range(50):
+        for t in range(3):
+            assert f"{int(got[i, t]):064b}" == "".join("1" if x > 0 else "0" for x in m[i] @ at[:, t * 64 : t * 64 + 64])
 
 
-def test_the_floor_keeps_subtrees_bounded():
-    p = sv.Forest()
-    for n in (1, 10_000, 10**6, 10**9):
-        assert n / 2 ** p.floor(n) <= 1.5 * p.members(n) + 1
+def test_the_ladder_finds_the_depth_with_enough_candidates():
+    r = np.random.default_rng(9)
+    s = r.integers(0, 2**63, (400, 3), dtype=np.int64).view(np.uint64) << np.uint64(1)
+    s[:150] = s[0] ^ r.integers(0, 2**40, (150, 3), dtype=np.int64).view(np.uint64)  # a dense region
+    bits = 10
+    counts = np.stack([np.bincount((s[:, t] >> np.uint64(54)).astype(int), minlength=1024) for t in range(3)])
+    held = lambda i, d: sum(int(((s[:, t] ^ s[i, t]) >> np.uint64(64 - d) == 0).sum()) if d else 400 for t in range(3))
+    got = sv.Ladder(counts, bits).depths(s, 40)
+    for i in range(0, 400, 7):
+        assert got[i] == max([d for d in range(1, bits + 1) if held(i, d) >= 40], default=0)
+    assert (got[:150] == bits).all()
 
 
 def test_a_dense_group_keeps_its_nearest(spark):
@@ -102,9 +111,9 @@ def test_p3_neighbours_lists_five_for_every_vector(spark, tmp_path):
     from graphloom.llm import queries
 
     r = np.random.default_rng(7)
-    ids, m = r.permutation(300), r.normal(size=(300, 64))  # hardly any two at cosine 0.85
+    ids, m = 100 * r.permutation(300), r.normal(size=(300, 64))  # all are asked; hardly any two at cosine 0.85
     frame(spark, ids, m).write.parquet(f"{tmp_path}/pair_samples.parquet")
-    got = {(x.id, x.rank): x.neighbour for x in queries.p3_neighbours(spark, str(tmp_path)).collect()}
+    got = {(x.sample_id, x.rank): x.neighbour_id for x in queries.p3_neighbours(spark, str(tmp_path)).collect()}
     u = m.astype(np.float32).astype(float)
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     s = u @ u.T
