@@ -41,7 +41,7 @@ def test_exact_runs_match_brute_force(spark):
     D = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, item_id string")
     I = spark.createDataFrame(items, "item_id long, text string")
     want = {(i, d) for i, it in items for d, dt in docs if longest_run(words(dt), words(it)) >= 12}
-    for p in (lk.SpacedSeeds(), lk.SpacedSeeds(block_seeds=200)):  # one block, and several
+    for p in (lk.SpacedSeeds(), lk.SpacedSeeds(bitmap_bits=8)):  # a bitmap that tells seeds apart, and one that is nearly full
         got = lk.leaks(D, I, p=p).where("longest_run >= 12").collect()
         assert {(r.item_id, r.doc_id) for r in got} == want and len(want) > 10
         assert len(got) == len({(r.item_id, r.doc_id) for r in got})
@@ -68,6 +68,18 @@ def test_edges(spark):
     assert lk.leaks(D.where("false"), I).count() == 0 and lk.leaks(D, I.where("false")).count() == 0
 
 
+def test_recall_of_substituted_overlaps():
+    r = np.random.default_rng(11)
+    found = 0
+    for _ in range(400):  # passages of 20 to 40 words with a tenth to a fifth of the words replaced
+        item = r.integers(1, 2**62, r.integers(20, 41)).astype(np.uint64)
+        doc = item.copy()
+        at = r.choice(len(doc) - 2, int(len(doc) * r.uniform(0.1, 0.2)), replace=False) + 1
+        doc[at] = r.integers(1, 2**62, len(at)).astype(np.uint64)
+        found += any((lk.seed_hashes(item, m) == lk.seed_hashes(doc, m)).any() for m in lk.SpacedSeeds().masks)
+    assert found >= 0.95 * 400
+
+
 def test_align():
     a = np.array([1, 2, 3, 4, 5, 6], dtype=np.uint64)
     assert lk.align(a, a, 0, 0.2)[:4] == (0, 6, 0, 6)
