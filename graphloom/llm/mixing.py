@@ -1,10 +1,11 @@
 """Problem 7: mixing sources to target weights, by temperature mixing.
 
-Sizes are tokens of a public tokenizer, counted over all documents. Source shares are exponentiated with a temperature: the exponent
-is bisected, so that the mix meets a target entropy, or comes as close to the asked shares as the cap on repetitions allows. The
-weights become a budget of tokens per source, filled with whole random permutations of the source's documents (epochs), the last
-one cut at the budget: running token totals come from a global range-partitioned sort, so a source that holds a third of all rows
-is no single task.
+Sizes are tokens of a public tokenizer, counted over all documents. The weights of the mix come from an exponent: either the asked shares
+(tilted from the natural ones by an exponent of 1), or the natural shares raised to the exponent that meets a target entropy. For every source the
+exponent is bisected at which its repetitions reach their cap: a source whose limit is below 1 is short, takes its cap, and
+the others share the rest by their weights. Budgets are realised as blocks: every block is a random permutation of all documents of a source,
+the last one cut at the budget. Running token totals come from a global range-partitioned sort, so a source that holds a third
+of all rows is no single task.
 """
 
 from __future__ import annotations
@@ -95,67 +96,97 @@ def exponent_within_caps(natural: dict[str, float], target: dict[str, float], mo
     return lo
 
 
-def plan(counts: DataFrame, targets: DataFrame) -> list[dict]:
-    """One row per target source: its tokens, cap, target tokens, shortfall and budget. The target table bounds what is collected.
+def repetition_limits(natural: dict[str, float], weights: dict[str, float], most: dict[str, float], steps: int = 60) -> dict[str, float]:
+    """For each source the greatest exponent in [0, 1] at which the tilted mix keeps its cap (most, in shares of the budget); 1 where the
+    weights themselves do, 0 where even the natural shares do not. A source without tokens has no tilt: 0, or 1 with no weight."""
+    out = {}
+    for s, w in weights.items():
+        fits = lambda e: tilted(natural, weights, e)[s] <= most[s] + 1e-12  # noqa: B023, E731
+        if natural.get(s, 0) <= 0:
+            out[s] = 0.0 if w > 0 else 1.0
+        elif w <= most[s]:
+            out[s] = 1.0
+        else:
+            lo, hi = 0.0, 1.0
+            for _ in range(steps):
+                mid = (lo + hi) / 2
+                lo, hi = (mid, hi) if fits(mid) else (lo, mid)
+            out[s] = lo
+    return out
+
+
+def budgets(weights: dict[str, float], caps: dict[str, int], limits: dict[str, float], total: int) -> dict[str, int]:
+    """Tokens of each source: short sources (limit below 1) take their caps, the others share the rest by their weights; a source that
+    would pass its cap so takes it, and the rest is shared again, until all fit. Rounded down, the remainder to the greatest fractions."""
+    fixed = {s: caps[s] for s in weights if limits[s] < 1}
+    while True:
+        rest = max(0, total - sum(fixed.values()))
+        open_ = {s: w for s, w in weights.items() if s not in fixed and w > 0}
+        mass = sum(open_.values())
+        share = {s: rest * w / mass for s, w in open_.items()} if mass else {}
+        over = [s for s, x in share.items() if x > caps[s]]
+        if not over:
+            break
+        fixed |= {s: caps[s] for s in over}
+    out = {s: int(x) for s, x in share.items()}
+    for s in sorted(share, key=lambda s: (-(share[s] - int(share[s])), s))[: round(sum(share.values())) - sum(out.values())]:
+        out[s] = min(caps[s], out[s] + 1)
+    return {s: fixed.get(s, out.get(s, 0)) for s in weights}
+
 
-    missing: target tokens beyond the cap. exponent: of the tempered mix that keeps every cap, or 1 where the targets can be met.
-    budget: what the mix takes, the lesser of the cap and the target share; the rest of short sources is spread over the others
-    in proportion to the tempered weights, while they have room."""
+def plan(counts: DataFrame, targets: DataFrame, entropy_wanted: float | None = None) -> list[dict]:
+    """One row per target source: its tokens, cap, wanted tokens, exponent, shortfall and budget. The target table bounds what is collected.
+
+    With entropy_wanted the weights are the natural shares of the target sources raised to the exponent with that entropy, else the
+    target shares. exponent: the source's repetition limit; below 1 it is short, and missing is what its weight asks beyond its cap.
+    A source asked twice is an error."""
     have = counts.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs"))
     asked = targets.select(F.col("source").alias("name"), name_key("source").alias("source"), "target_permille", "max_repeats", "token_budget")
     rows = [r.asDict() for r in asked.join(have, "source", "left").orderBy("source").collect()]
+    if len({r["source"] for r in rows}) < len(rows):
+        raise ValueError("a source is listed twice")
     if not rows:
         return []
     total = max(r["token_budget"] or 0 for r in rows)
     for r in rows:
         r["tokens"], r["docs"] = r["tokens"] or 0, r["docs"] or 0
-        r["cap"] = r["tokens"] * r["max_repeats"]
-        r["wanted"] = r["target_permille"] * total / 1000
-        r["missing"] = max(0.0, r["wanted"] - r["cap"])
+        r["cap"] = r["tokens"] * (r["max_repeats"] or 0)
     mass = sum(r["tokens"] for r in rows) or 1
     natural = {r["source"]: r["tokens"] / mass for r in rows}
-    target = {r["source"]: r["target_permille"] / 1000 for r in rows}
-    exponent = exponent_within_caps(natural, target, {r["source"]: r["cap"] / max(1, total) for r in rows})
-    weight = tilted(natural, target, exponent)
+    weight = {r["source"]: (r["target_permille"] or 0) / 1000 for r in rows}
+    if entropy_wanted is not None:
+        weight = tempered(natural, exponent_for_entropy(natural, entropy_wanted))
+    caps = {r["source"]: r["cap"] for r in rows}
+    limits = repetition_limits(natural, weight, {s: c / max(1, total) for s, c in caps.items()})
+    budget = budgets(weight, caps, limits, total)
     for r in rows:
-        r["exponent"] = exponent
-        r["budget"] = int(min(r["cap"], r["wanted"]))
-    spare = total - sum(r["budget"] for r in rows)
-    while spare > 0:
-        open_ = [r for r in rows if r["budget"] < r["cap"] and weight[r["source"]] > 0]
-        mass = sum(weight[r["source"]] for r in open_)
-        if not mass:
-            break
-        gave = 0
-        for r in open_:
-            more = min(r["cap"] - r["budget"], math.ceil(spare * weight[r["source"]] / mass), spare - gave)
-            r["budget"] += more
-            gave += more
-        if not gave:
-            break
-        spare -= gave
+        s = r["source"]
+        r["wanted"], r["exponent"], r["budget"] = weight[s] * total, limits[s], budget[s]
+        r["missing"] = r["wanted"] - r["cap"] if limits[s] < 1 else 0.0
     return rows
 
 
-def mix(counts: DataFrame, targets: DataFrame, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(uses, report). uses: doc_id, source, uses (how often the document stands in the mix), tokens of one use. report: one row per target
-    source with wanted and actual tokens and shares, docs used, greatest use and the shortfall.
+def mix(counts: DataFrame, targets: DataFrame, seed: int = 42, entropy_wanted: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(uses, report). uses: one row per use of a document: doc_id, source, block (from 0), start (tokens of the source's sequence of
+    blocks before it) and tokens; start orders the uses of a source. report: one row per target source with wanted and actual
+    tokens and shares, docs used, greatest use and the shortfall.
 
-    Every epoch is a random order of the source's documents by a hash of seed, epoch and id; a document is used in epoch e if the
-    tokens before it in the source's sequence of epochs are within the budget, so no document is used more than max_repeats times
-    and a source exceeds its budget by at most one document. Documents without tokens or target are in no mix; repeated ids
-    count as documents of their own."""
+    Every block is a random order of the source's documents by a hash of seed, block and id; a document is used in a block if the
+    tokens before it are within the budget, so no document is used more than max_repeats times and a source exceeds its budget by
+    less than one document. Documents without tokens or target are in no mix; repeated ids count as documents of their own."""
     spark = counts.sparkSession
-    rows = plan(counts, targets)
+    rows = plan(counts, targets, entropy_wanted)
     wide = "source string, name string, budget long, tokens_all long, repeats int, wanted double, missing double, exponent double"
-    plan_df = spark.createDataFrame([(r["source"], r["name"], r["budget"], r["tokens"], r["max_repeats"], float(r["wanted"]), float(r["missing"]), float(r["exponent"])) for r in rows], wide)
+    plan_df = spark.createDataFrame([(r["source"], r["name"], r["budget"], r["tokens"], r["max_repeats"] or 0, float(r["wanted"]), float(r["missing"]), float(r["exponent"])) for r in rows], wide)
     d = counts.where("tokens > 0").join(F.broadcast(plan_df.where("budget > 0")), "source")  # one row per target source
-    # whole epochs need no order; only the last, partial one is cut by running totals
-    full = F.floor(F.col("budget") / F.col("tokens_all")).cast("int")
-    d = d.select("doc_id", "source", "tokens", full.alias("epochs"), (F.col("budget") - full * F.col("tokens_all")).alias("rest"), F.xxhash64(F.lit(seed), full, "doc_id").alias("draw"))
-    last = running_totals(d, ["source"], [F.col("draw"), F.col("doc_id")], weight=F.col("tokens"), name="upto")
-    used = last.select("doc_id", "source", (F.col("epochs") + (F.col("upto") - F.col("tokens") < F.col("rest")).cast("int")).alias("uses"), "tokens").where("uses > 0")
-    per = used.groupBy("source").agg(F.sum(F.col("uses") * F.col("tokens")).alias("actual"), F.count("*").alias("docs_used"), F.max("uses").alias("most_uses"))
+    last = F.floor((F.col("budget") - 1) / F.col("tokens_all")).cast("int")  # blocks are few: at most max_repeats
+    d = d.select("doc_id", "source", "tokens", "budget", "tokens_all", F.explode(F.sequence(F.lit(0), last)).alias("block"))
+    d = d.withColumn("draw", F.xxhash64(F.lit(seed), "block", "doc_id"))
+    upto = running_totals(d, ["source", "block"], [F.col("draw"), F.col("doc_id")], weight=F.col("tokens"), name="upto")
+    start = F.col("block") * F.col("tokens_all") + F.col("upto") - F.col("tokens")
+    uses = upto.withColumn("start", start).where("start < budget").select("doc_id", "source", "block", "start", "tokens")
+    used = uses.groupBy("doc_id", "source").agg(F.count("*").alias("uses"), F.sum("tokens").alias("sum"))
+    per = used.groupBy("source").agg(F.sum("sum").alias("actual"), F.count("*").alias("docs_used"), F.max("uses").alias("most_uses"))
     whole = F.sum("actual").over(Window.partitionBy(F.lit(1)))  # one row per target source
     report = plan_df.join(per, "source", "left").withColumn("_all", whole)
     share = lambda c: F.round(1000 * c / F.col("_all"), 3)
@@ -170,4 +201,4 @@ def mix(counts: DataFrame, targets: DataFrame, seed: int = 42) -> tuple[DataFram
         F.round("missing", 3).alias("tokens_missing"),
         F.round("exponent", 6).alias("exponent"),
     )
-    return used, report
+    return uses, report

@@ -1,5 +1,6 @@
 import math
 import os
+from collections import Counter
 
 import pytest
 
@@ -29,14 +30,35 @@ def test_mix_keeps_caps_and_budgets(spark):
     t = spark.createDataFrame([("A", 500, 2, 8000), ("b", 500, 3, 8000), ("c", 0, 1, 8000)], TARGETS)
     used, report = mx.mix(counts(spark, rows), t)
     uses = used.collect()
-    assert max(r.uses for r in uses if r.source == "b") == 3 and sum(r.uses * r.tokens for r in uses if r.source == "b") == 1200
-    a = sum(r.uses * r.tokens for r in uses if r.source == "a")
-    assert 6800 <= a <= 6900 and max(r.uses for r in uses if r.source == "a") <= 2
+    often = Counter((r.source, r.doc_id) for r in uses)
+    assert max(n for (s, _), n in often.items() if s == "b") == 3 and sum(r.tokens for r in uses if r.source == "b") == 1200
+    a = sum(r.tokens for r in uses if r.source == "a")
+    assert 6800 <= a <= 6900 and max(n for (s, _), n in often.items() if s == "a") <= 2
+    at = sorted((r.start, r.tokens, r.block, r.doc_id) for r in uses if r.source == "a")
+    assert [x[0] for x in at] == list(range(0, 100 * len(at), 100))  # one use after the other
+    first = [x[3] for x in at if x[2] == 0]
+    assert len(first) == len(set(first)) == 50 and first != sorted(first) and [x[3] for x in at if x[2] == 1] != first[: len(at) - 50]
     rep = {r.source: r for r in report.collect()}
     assert rep["b"].tokens_missing == 2800 and rep["A"].tokens_missing == 0 and rep["c"].tokens_actual == 0 and rep["b"].most_uses == 3
     assert sum(r.permille_actual for r in rep.values()) == pytest.approx(1000, abs=0.01)
 
 
+def test_repetition_limits_and_budgets():
+    natural, weights = {"a": 0.7, "b": 0.2, "c": 0.1}, {"a": 0.1, "b": 0.1, "c": 0.8}
+    got = mx.repetition_limits(natural, weights, {"a": 1, "b": 1, "c": 0.4})
+    assert got["a"] == got["b"] == 1 and mx.tilted(natural, weights, got["c"])["c"] == pytest.approx(0.4, abs=1e-6)
+    assert mx.repetition_limits({"a": 1.0, "b": 0.0}, {"a": 0.5, "b": 0.5}, {"a": 1, "b": 0}) == {"a": 1, "b": 0}
+    assert mx.budgets(weights, {"a": 1000, "b": 120, "c": 400}, got, 1000) == {"a": 480, "b": 120, "c": 400}
+    assert mx.budgets(weights, {"a": 50, "b": 20, "c": 400}, got, 1000) == {"a": 50, "b": 20, "c": 400}
+
+
+def test_a_mix_of_wanted_entropy(spark):
+    rows = [(i, "a", 10) for i in range(70)] + [(100 + i, "b", 10) for i in range(20)] + [(200 + i, "c", 10) for i in range(10)]
+    t = spark.createDataFrame([(s, 0, 9, 600) for s in "abc"], TARGETS)
+    used, _ = mx.mix(counts(spark, rows), t, entropy_wanted=math.log(3))
+    assert Counter(r.source for r in used.collect()) == {"a": 20, "b": 20, "c": 20}
+
+
 def test_empty(spark):
     t = spark.createDataFrame([("a", 1000, 2, 100)], TARGETS)
     used, report = mx.mix(counts(spark, []), t)
