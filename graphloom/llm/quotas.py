@@ -1,10 +1,11 @@
 """Problem 5: a sample that matches target proportions, by min-cost flow on the counts of the cells.
 
-The cells (dataset x difficulty) are counted over all records with a hash aggregate; only these few counts reach the driver. A flow
-network carries the sample from the dataset margins through the cells to the difficulty margins: arcs hold the margins, each
-cell's floor and target, and its availability; slack arcs at a high cost carry what no record can fill and so expose every
-shortfall; units beyond a cell's target cost more than leaving a margin, so every cell reaches its target first and a shortfall moves to the other cells of its margins first. The integer
-quotas that come out are drawn at random inside each cell by a hash of the record id.
+The cells (dataset x difficulty) are counted over all records with a hash aggregate; only these few counts reach the driver. One flow
+network carries the sample from the dataset margins through the cells to the difficulty margins. A cell has four arcs: up to
+its floor, up to its target, up to what is available, and a slack arc at a high cost that carries what no record can fill and so
+exposes the shortfall. Floors cost least, units beyond a target more than leaving a margin, so every cell reaches floor and
+target first, and a shortfall moves to the other cells of its margins. The same network, with the needs for the size, gives the
+cells that cannot be filled. The integer quotas are drawn at random inside each cell by a hash of the record id.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import latest, name_key, trimmed
 from graphloom.llm.top_items import running_totals
 
-#: Costs of one unit: within need, within target, beyond the target, off a margin, not available (slack).
-WITHIN, BEYOND, OFF_MARGIN, SLACK = 0, 50, 9, 1000
+#: Costs of one unit: up to the floor, up to the target, beyond it, off a margin, not available (slack).
+FLOOR, WITHIN, BEYOND, OFF_MARGIN, SLACK = 0, 20, 70, 9, 1000
 
 
 class Network:
@@ -97,45 +98,48 @@ class Cell:
     need: int
     target: int
     available: int
+    floor: int = 0
 
 
-def needs(cells: list[Cell]) -> dict[tuple[str, str], int]:
-    """What each cell lacks of its need: the slack of the flow that asks each cell for just that."""
-    net = Network()
-    slack = {}
-    for c in cells:
-        key = (c.dataset, c.difficulty)
-        net.arc("source", ("cell", *key), c.need, WITHIN)
-        net.arc(("cell", *key), "sink", c.available, WITHIN)
-        slack[key] = net.arc(("cell", *key), "sink", c.need, SLACK)
-    net.run("source", "sink", sum(c.need for c in cells))
-    return {key: net.flow(e) for key, e in slack.items()}
-
+def network(cells: list[Cell], size: int) -> tuple[dict[tuple[str, str], tuple[int, int]], int]:
+    """(what comes from records, slack) of each cell when `size` units flow from the dataset to the difficulty margins, and what was sent.
 
-def allot(cells: list[Cell], size: int) -> dict[tuple[str, str], tuple[int, int]]:
-    """(quota, slack) of each cell for a sample of the given size.
-
-    Cells first get their floors, then their targets, then what others cannot fill, on the same dataset and difficulty margin where
-    that is possible. The quotas and slacks add up to the size, if the floors do not exceed it."""
+    A cell's slack arc starts where its records end: it has room for the target that is not available."""
     net = Network()
-    arcs: dict[tuple[str, str], tuple[int, int, int]] = {}
+    arcs: dict[tuple[str, str], tuple[int, ...]] = {}
     rows: dict[str, int] = {}
     cols: dict[str, int] = {}
     for c in cells:
         rows[c.dataset] = rows.get(c.dataset, 0) + c.target
         cols[c.difficulty] = cols.get(c.difficulty, 0) + c.target
     for d, n in rows.items():
-        net.arc("source", ("row", d), n, WITHIN)
+        net.arc("source", ("row", d), n, 0)
         net.arc("source", ("row", d), size, OFF_MARGIN)
     for f, n in cols.items():
-        net.arc(("col", f), "sink", n, WITHIN)
+        net.arc(("col", f), "sink", n, 0)
         net.arc(("col", f), "sink", size, OFF_MARGIN)
     for c in cells:
         a, b = ("row", c.dataset), ("col", c.difficulty)
-        wanted = min(c.target, c.available)
-        arcs[c.dataset, c.difficulty] = (net.arc(a, b, wanted, WITHIN), net.arc(a, b, c.available - wanted, BEYOND), net.arc(a, b, size, SLACK))
-    net.run("source", "sink", size)
-    return {key: (net.flow(x) + net.flow(y), net.flow(z)) for key, (x, y, z) in arcs.items()}
+        floor, target = min(c.floor, c.target, c.available), min(c.target, c.available)
+        real = (net.arc(a, b, floor, FLOOR), net.arc(a, b, target - floor, WITHIN), net.arc(a, b, c.available - target, BEYOND))
+        arcs[c.dataset, c.difficulty] = (*real, net.arc(a, b, max(0, c.target - c.available), SLACK))
+    sent = net.run("source", "sink", size)
+    return {key: (sum(map(net.flow, real)), net.flow(slack)) for key, (*real, slack) in arcs.items()}, sent
+
+
+def needs(cells: list[Cell]) -> dict[tuple[str, str], int]:
+    """What each cell lacks of its need: the slack of the network that asks every cell for its need and has no room beyond it."""
+    asked = [Cell(c.dataset, c.difficulty, c.need, c.need, min(c.available, c.need), c.floor) for c in cells]
+    found, _ = network(asked, sum(c.need for c in cells))
+    return {key: slack for key, (_, slack) in found.items()}
+
+
+def allot(cells: list[Cell], size: int) -> dict[tuple[str, str], tuple[int, int]]:
+    """(quota, slack) of each cell for a sample of at most the given size.
+
+    Cells first get their floors, then their targets, then what others cannot fill, on the same dataset and difficulty margin where
+    that is possible. Quotas and slacks add up to the size where records or targets suffice, and never to more."""
+    return network(cells, size)[0]
 
 
 def records_in_cells(records: DataFrame) -> DataFrame:
@@ -146,23 +150,25 @@ def records_in_cells(records: DataFrame) -> DataFrame:
 
 
 def cells_of(records: DataFrame, targets: DataFrame) -> list[Cell]:
-    """The cells of the target table with need, target and availability. The table is the bound: one cell per row of it.
+    """The cells of the target table with need, floor, target and availability. The table is the bound: one cell per row of it.
 
     Targets are rounded down and the rest goes to the cells with the largest remainders (ties: table order by name), then the
-    floors are applied."""
+    floors are applied; what they add is taken from the cells above their floors, in proportion to what they have there, so that targets do not
+    exceed the sample, unless the floors do."""
     have = records.where("dataset is not null and difficulty is not null").groupBy("dataset", "difficulty").agg(F.count("*").alias("n"))
     asked = targets.select("dataset", "difficulty", "target_permille", "min_rows", "sample_size", name_key("dataset").alias("_d"), F.lower(trimmed("difficulty")).alias("_f"))
     joined = asked.join(have.select(F.col("dataset").alias("_d"), F.col("difficulty").alias("_f"), "n"), ["_d", "_f"], "left")
     rows = sorted(joined.collect(), key=lambda r: (r._d, r._f))
+    size = rows[0].sample_size if rows else 0
     whole = {(r._d, r._f): divmod(r.target_permille * r.sample_size, 1000) for r in rows}
-    left = (rows[0].sample_size if rows else 0) - sum(q for q, _ in whole.values())
-    extra = set(sorted(whole, key=lambda k: (-whole[k][1], k))[: max(0, left)])
-    out = []
-    for r in rows:
-        key = (r._d, r._f)
-        share, rest = whole[key]
-        out.append(Cell(r.dataset, r.difficulty, max(r.min_rows, share + (rest > 0)), max(r.min_rows, share + (key in extra)), r.n or 0))
-    return out
+    extra = set(sorted(whole, key=lambda k: (-whole[k][1], k))[: max(0, size - sum(q for q, _ in whole.values()))])
+    goal = {(r._d, r._f): max(r.min_rows, whole[r._d, r._f][0] + ((r._d, r._f) in extra)) for r in rows}
+    above = {(r._d, r._f): goal[r._d, r._f] - r.min_rows for r in rows}
+    excess, room = max(0, sum(goal.values()) - size), sum(above.values())
+    cut = {k: min(excess, room) * n // room if room else 0 for k, n in above.items()}
+    for k in sorted(above, key=lambda k: (-above[k], k))[: min(excess, room) - sum(cut.values())]:
+        cut[k] += cut[k] < above[k]
+    return [Cell(r.dataset, r.difficulty, max(r.min_rows, whole[k][0] + (whole[k][1] > 0)), goal[k] - cut[k], r.n or 0, r.min_rows) for r in rows for k in [(r._d, r._f)]]
 
 
 def shortfalls(records: DataFrame, targets: DataFrame) -> list[tuple[str, str, int, int, int]]:
@@ -183,7 +189,6 @@ def quota_sample(records: DataFrame, targets: DataFrame, seed: int = 42) -> tupl
     placed = records_in_cells(records)
     cells = cells_of(placed, targets)
     size = max((r[0] for r in targets.agg(F.max("sample_size")).collect() if r[0]), default=0)
-    size = max(size, sum(min(c.target, c.available) for c in cells))
     given = allot(cells, size)
     lacking = needs(cells)
     total = max(1, sum(q for q, _ in given.values()))

@@ -26,6 +26,18 @@ def test_allotment_reaches_targets_then_neighbours():
     assert short["a", "x"] == (1, 3)
 
 
+def test_floors_come_first_and_the_size_is_kept():
+    c = cells(("a", "x", 3, 3, 9, 3), ("a", "y", 9, 9, 9, 0), ("b", "x", 3, 3, 9, 3))
+    got = q.allot(c, 8)
+    assert sum(n for n, _ in got.values()) == 8 and got["a", "x"][0] == got["b", "x"][0] == 3
+
+
+def test_a_short_column_moves_along_its_margins():
+    c = cells(("a", "x", 4, 4, 1), ("a", "y", 4, 4, 20), ("b", "x", 4, 4, 20), ("b", "y", 4, 4, 20))
+    got = {k: v[0] for k, v in q.allot(c, 16).items()}
+    assert got["a", "x"] == 1 and sum(got.values()) == 16 and got["b", "y"] <= 5 and got["a", "y"] >= 4 and got["b", "x"] >= 4
+
+
 def test_flow_has_the_least_cost():
     r = random.Random(3)
     for _ in range(30):
