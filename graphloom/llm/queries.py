@@ -34,6 +34,14 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return overlaps.overlap_report(*_overlaps(spark, d))
 
 
+def p2_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return overlaps.overlap_coverage(*_overlaps(spark, d))
+
+
+def p2_members(spark: SparkSession, d: str) -> DataFrame:
+    return overlaps.overlap_members(*_overlaps(spark, d))[0]
+
+
 def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The stated query set: samples with an id divisible by 100, against all."""
     n = similar_vectors.asked_neighbours(table(spark, d, "pair_samples"), "sample_id", "vector")
@@ -116,5 +124,5 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p2_found, p2_report, p3_found, p3_neighbours, p4_found, p4_top, p5_found, p5_sample, p5_report, p6_found, p6_leaks, p6_report, p7_found, p7_mix, p7_report, p8_found, p8_spans, p8_redacted)
+    for f in (p1_found, p1_groups, p2_found, p2_report, p2_coverage, p2_members, p3_found, p3_neighbours, p4_found, p4_top, p5_found, p5_sample, p5_report, p6_found, p6_leaks, p6_report, p7_found, p7_mix, p7_report, p8_found, p8_spans, p8_redacted)
 }

@@ -58,6 +58,10 @@ from p t join p h on t.split = 'train' and h.split in ('valid', 'test') and t.da
 select h.split, h.dataset, count(*) as samples, count(copies) as overlapping, cast(coalesce(sum(copies), 0) as bigint) as train_pairs,
   round(avg(case when copies is not null then 1.0::double end), 6) as mean_coverage
 from p h left join c on c.dataset = h.dataset and c.x = h.x and c.y = h.y where h.split in ('valid', 'test') group by 1, 2""",
+    "p2_coverage": f"""with {_PAIRS}, c as (select dataset, x, y, count(*) copies from p where split = 'train' group by 1, 2, 3)
+select h.sample_id, h.split, h.dataset, case when copies is null then 0.0::double else 1.0::double end as coverage, cast(coalesce(copies, 0) as bigint) as train_records
+from p h left join c on c.dataset = h.dataset and c.x = h.x and c.y = h.y where h.split in ('valid', 'test')""",
+    "p2_members": f"""with {_PAIRS} select sample_id, split, dataset, min(sample_id) over (partition by dataset, x, y) as rep from p where split is not null""",
     "p3_neighbours": """with v as (select sample_id, any_value(vector)::double[] as v from pair_samples where sample_id is not null and len(vector) = 64
   and list_bool_and(list_transform(vector, lambda x: x is not null and isfinite(x))) and list_bool_or(list_transform(vector, lambda x: x <> 0)) group by 1),
 s as (select a.sample_id, b.sample_id as neighbour_id, case when a.v = b.v then 1.0::double else list_cosine_similarity(a.v, b.v) end as c from v a join v b on a.sample_id % 100 = 0 and a.sample_id <> b.sample_id)

@@ -48,6 +48,26 @@ def test_long_sequences_are_extended_from_selected_seeds(spark):
             assert (longest(a, b) >= 6) == ((t, h) in got)
 
 
+def test_only_equal_tokens_count_and_gaps_are_limited():
+    p = ov.Winnow(k=3, w=1, gap=8)
+    seeds = lambda t, h: [(i, j) for i in range(len(h) - 2) for j in range(len(t) - 2) if h[i : i + 3] == t[j : j + 3]]
+    run = lambda t, h: ov.covered(seeds(t, h), t, h, p)
+    t = list(range(100, 140))
+    assert run(t, t) == 40 and run(t, t[:10] + [1] + t[11:]) == 39  # a substitution
+    assert run(t, t[:20] + [1, 2, 3] + t[20:]) == 40 and run(t, t[:20] + t[23:]) == 37  # an insertion, a deletion
+    assert run(t, t[:6] + [1, 2] + [t[7], 3, t[9], t[10]]) == 9  # beyond the last seed: t[7], t[9], t[10]
+    assert run(t, t[:5] + [1] * 20 + t[25:30]) == 10  # too far apart for one chain; what lies between does not count
+    assert ov.covered([(0, 5)], t, [1, 2, 3], p) == 0  # equal hashes of unequal tokens
+
+
+def test_coverage_and_members(spark):
+    rows = [(1, "a-b", "train", 1, 2), (2, "a-b", "test", 2, 1), (3, "a-b", "val", 1, 3), (4, "a-b", "train", 2, 1), (5, "a-b", None, 1, 2)]
+    records, overlaps = ov.split_overlaps(*fixture(spark, rows))
+    assert {tuple(r) for r in ov.overlap_coverage(records, overlaps).collect()} == {(2, "test", "a_b", 1.0, 2), (3, "valid", "a_b", 0.0, 0)}
+    members, links = ov.overlap_members(records, overlaps)
+    assert {(r.sample_id, r.rep) for r in members.collect()} == {(1, 1), (2, 1), (4, 1), (3, 3)} and [tuple(r) for r in links.collect()] == [(1, 1, 1.0)]
+
+
 def test_winnowing_selects_minima(spark):
     df = spark.createDataFrame([([5, 3, 4, 3, 9, 1],), ([2],), ([],)], "h array<long>")
     got = [[(m.pos, m.hash) for m in r.m] for r in df.select(ov.winnowed(F.col("h"), 3).alias("m")).collect()]
