@@ -16,6 +16,7 @@ import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,20 +36,21 @@ EMAIL = re.compile(rf"(?<![\w.+%-])[A-Za-z0-9](?:[\w.+%-]*[A-Za-z0-9_])?(?:{_AT}
 NUMBER = re.compile(r"(?<![\w.])(?:\+|\()?\d(?:[ ./()-]{0,2}\d){5,16}(?![\w-])")
 CODE = re.compile(r"(?<![\w-])[A-Z]{1,3}[ -]?\d(?:[ -]?\d){4,10}(?:[ -]?[A-Z])?(?![\w-])")
 _CAP = r"[^\W\d_a-zà-öø-ÿ][\w'’-]*[^\W_]"
-_ROAD = r"(?i:street|st|road|rd|avenue|ave|lane|ln|close|quay|terrace|drive|dr|court|square|way|row|place)"
+_ROAD = r"(?i:street|st|road|rd|avenue|ave|lane|ln|close|quay|terrace|drive|dr|court|square|way|row|place|boulevard|blvd)"
 _TOWN = rf"(?:, ?(?:\d{{4,5}} )?{_CAP}(?: \d{{4,5}})?)"
 _FLAT = r"(?:(?i:flat|apt|unit|apartment)\.? \d+[A-Za-z]?)"
 ADDRESSES = (
-    re.compile(rf"(?:{_FLAT}, ?)?(?<![\w-])\d{{1,5}}[a-z]? {_CAP}(?: {_CAP})? {_ROAD}\b(?:, ?{_FLAT})?{_TOWN}?"),
+    re.compile(rf"\d{{1,5}}[a-z]? {_CAP}(?: {_CAP})? {_ROAD}\b(?:, ?{_FLAT})?{_TOWN}?"),
     re.compile(rf"(?<!\w){_CAP[:-6]}[\w'’-]*(?i:straße|strasse|weg|platz|gasse|allee) \d+ ?[a-z]?\b{_TOWN}?"),
     re.compile(rf"(?<!\w)(?i:calle|avenida|plaza|via) {_CAP} \d+\b{_TOWN}?"),
     re.compile(rf"(?<![\w-])\d{{1,4}},? (?i:rue|avenue|place|chemin|boulevard) (?i:de la |de |du |des |d['’])?{_CAP}{_TOWN}?"),
 )
+_FLAT_BEFORE = re.compile(rf"{_FLAT}, ?$")
 _NAME = r"[^\W\d_a-zà-öø-ÿ][^\W\d_]+(?:[-'’][^\W\d_]+)*"
 _INITIAL = r"[A-Z]\."
 _GAP = r"[  ]"
 NAMES = tuple(
-    re.compile(rf"(?<![\w@.+-])(?=((?:{p})(?![\w@])))")
+    re.compile(rf"(?:{p})(?![\w@])")
     for p in (
         rf"{_NAME}{_GAP}{_NAME}",
         rf"{_NAME}{_GAP}(?:{_INITIAL}{_GAP}?){{1,2}}{_NAME}",
@@ -57,21 +59,30 @@ NAMES = tuple(
         rf"{_NAME},{_GAP}(?:{_INITIAL}{_GAP}?){{1,2}}",
     )
 )
+#: Where a name may begin; the patterns above are tried only there.
+_CAPITAL = re.compile(r"(?<![\w@.+-])[^\W\d_a-zà-öø-ÿ]")
+#: What follows such a place in all of the patterns.
+_BEGINS = re.compile(rf"{_NAME},?{_GAP}[^\W\d_a-zà-öø-ÿ]|{_INITIAL}")
+#: What a text must hold, in lower case, for an address or a spelled-out mail address to be looked for.
+_ROADS = tuple("street|st|road|rd|avenue|ave|lane|ln|close|quay|terrace|drive|dr|court|square|way|row|place|boulevard|blvd".split("|"))
+_HINTS = (_ROADS, ("straße", "strasse", "weg", "platz", "gasse", "allee"), ("calle", "avenida", "plaza", "via"), ("rue", "avenue", "place", "chemin", "boulevard"))
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 
-#: Titles, and words that begin sentences or labels and are no part of a name.
+#: Titles, and words that often stand with a capital without being part of a name; many may be one, so they are a feature.
 TITLES = frozenset("dr prof mr ms mx mrs miss sir herr frau madame monsieur señor señora mme sr sra".split())
 PLAIN = frozenset(
     """a about across after agree all also an and any apt as at author avec background before between both but by calle can care choose
     cite comparamos contact contacto copied corresponding cut das de der des die docs documento each edge el en every experiments flat
     follow for forum from given good has have her here highlights his how i if im in is it its la le les lives mailto my name nach
-    national new no node not note nous now of on one only or order our page passport peter photos plainly please posting questions quien
-    reader recap reach result retrieval return rue run rated réponse sans sean second see seen seller shard short side signed since sin
+    national new no node not note nous now of on one only or order our passport photos plainly please posting questions quien
+    reader recap reach result retrieval return rue run rated réponse sans second see seen seller shard side signed since sin
     some sold ssn still sur suppose take tel telefon teléfono text thanks that the their then there these this thread tax to tras two
     under unlike update user version via warning we wer when where which why wir with without worth would yes you your id ni ausweis
-    personalausweis identity insurance personal social security number card buyers test bench short answer écrire rückfragen pièce modell knoten model reading proposed
-    après ohne code checksum phone telephone mobile fax address adresse anschrift street road avenue lane close quay""".split()
+    personalausweis identity insurance personal social security number card buyers test bench answer écrire rückfragen pièce modell knoten model reading proposed
+    après ohne code checksum phone telephone mobile fax address adresse anschrift street avenue quay""".split()
 )
+#: Words that are names as well, for the training sentences.
+WORD_NAMES = "page lane close road short side street rose mark may will grant bill frank grace hope hall wood stone field brook king knight peter sean das case rich day".split()
 #: Words of the context, by what they speak for.
 CUES = {
     "name": "signed author contact contacto annotator am ask parcels user an à von nom de to wrote lives name écrire rückfragen by from".split(),
@@ -83,6 +94,7 @@ CUES = {
     "against": "node nodes order code version port host checksum doi benchmark score run range loss hits recall follow docs release size step shard tokens entry page result items weeks points edges members".split(),
 }
 _SETS = {k: frozenset(v) for k, v in CUES.items()}
+_IDENTITY = re.compile(r",? ?(?i:id|ssn|ni|passport|tax|identity|insurance|personal|social|national|ausweis|\d{3})\b")
 _FORMATS = (
     re.compile(r"\d{3}-\d{2}-\d{4}"),
     re.compile(r"\d{6}-\d{4}"),
@@ -105,94 +117,125 @@ Span = tuple[int, int, str, int]
 def candidates(text: str) -> list[Span]:
     """(start, stop, kind, generator) of every proposal; they overlap freely."""
     out: list[Span] = []
-    if "@" in text or "at" in text or "AT" in text or "At" in text:
+    low = text.lower()
+    if "@" in text or "[at" in low or "(at" in low or "[ at" in low or "( at" in low or (" at " in low and "dot" in low):
         out += [(m.start(), m.end(), "email", 0) for m in EMAIL.finditer(text)]
     for m in NUMBER.finditer(text):
         a, b = m.span()
         if text[a] == "(" and ")" not in m[0]:
             a += 1
-        digits = sum(c.isdigit() for c in m[0])
+        digits = sum(map(str.isdigit, m[0]))
         if 7 <= digits <= 15:
             out += [(a, b, "phone", 1), (a, b, "id_number", 1)]
     out += [(m.start(), m.end(), "id_number", 2) for m in CODE.finditer(text)]
-    for g, pattern in enumerate(ADDRESSES):
-        out += [(m.start(), m.end(), "address", 3 + g) for m in pattern.finditer(text)]
-    for g, pattern in enumerate(NAMES):
-        for m in pattern.finditer(text):
-            parts = _WORD.findall(m[1])
-            if not any(len(w) > 1 and (w.lower() in PLAIN or w.lower() in TITLES) for w in parts):
-                out.append((m.start(1), m.end(1), "name", 10 + g))
+    for g, (pattern, hints) in enumerate(zip(ADDRESSES, _HINTS)):
+        if any(map(low.__contains__, hints)):
+            for m in pattern.finditer(text):
+                a = m.start()
+                if g == 0:
+                    if a and (text[a - 1].isalnum() or text[a - 1] in "-_"):
+                        continue
+                    flat = _FLAT_BEFORE.search(text, max(0, a - 24), a)
+                    a = flat.start() if flat else a
+                out.append((a, m.end(), "address", 3 + g))
+    for start in _CAPITAL.finditer(text):
+        a = start.start()
+        if _BEGINS.match(text, a):
+            for g, pattern in enumerate(NAMES):
+                m = pattern.match(text, a)
+                if m:
+                    out.append((a, m.end(), "name", 10 + g))
     return out
 
 
 # --- features -------------------------------------------------------------------------------------------------------------------
 
 
+class Tokens:
+    """The words of a text with their places, found once for all of its spans."""
+
+    def __init__(self, text: str):
+        spans = [m.span() for m in _WORD.finditer(text)]
+        self.text, self.starts, self.ends = text, [a for a, _ in spans], [b for _, b in spans]
+
+    def low(self, i: int, j: int) -> list[str]:
+        """The words i to j in lower case."""
+        return [self.text[a:b].lower() for a, b in zip(self.starts[i:j], self.ends[i:j])]
+
+
 class Features:
     """Numbers that describe a span and its surroundings. given, family: known parts of names, lower case."""
 
     def __init__(self, given: frozenset[str], family: frozenset[str]):
-        self.given, self.family = given, family
+        self.given, self.family, self.known = given, family, given | family
 
-    def of(self, text: str, span: Span, marks: list[int]) -> list[float]:
+    def of(self, text: str, span: Span, marks: list[int], t: Tokens) -> list[float]:
         """marks: sorted starts of mail-, phone- and number-like proposals of the text."""
         a, b, kind, generator = span
         s = text[a:b]
-        before, after = text[max(0, a - 60) : a], text[b : b + 40]
-        left = _WORD.findall(before.lower())[-5:]
-        right = _WORD.findall(after.lower())[:4]
-        parts = _WORD.findall(s)
-        low = [p.lower() for p in parts]
-        halves = [q for p in low for q in p.split("-")]
-        digits = sum(c.isdigit() for c in s)
-        letters = sum(c.isalpha() for c in s)
-        upper = sum(c.isupper() for c in s)
-        near = before[-30:] + after[:30]
-        caps = re.findall(r"\b[^\W\d_a-z]\w+", near)
-        small = re.findall(r"\b[a-zà-ÿ]\w+", near)
-        title = bool(left and left[-1] in TITLES and re.search(r"(?i)(?:" + "|".join(TITLES) + r")\.?[  ]$", before))
+        i, j = bisect.bisect_left(t.starts, a), bisect.bisect_left(t.starts, b)
+        left, right, low = t.low(max(i - 5, bisect.bisect_left(t.starts, a - 60)), i), t.low(j, j + 4), t.low(i, j)
+        halves = [q for p in low for q in p.split("-")] if "-" in s else low
+        named = kind == "name"
+        digits = 0 if named else sum(map(str.isdigit, s))
+        letters = sum(map(str.isalpha, s))
+        upper = sum(map(str.isupper, s))
+        around = [x for x in range(max(0, i - 8), i) if t.starts[x] >= a - 30] + [x for x in range(j, min(j + 8, len(t.starts))) if t.ends[x] <= b + 30]
+        caps = sum(text[t.starts[x]].isupper() for x in around)
+        before, after = text[max(0, a - 8) : a], text[b : b + 12]
+        stripped = before.rstrip("  ").rstrip(".")
+        title = bool(left) and left[-1] in TITLES and before[-1:] in (" ", " ") and stripped.lower().endswith(left[-1])
         spot = bisect.bisect_left(marks, b)
         gap = marks[spot] - b if spot < len(marks) else 99
+        plain = [p in PLAIN for p in low]
+        lead = before[-1:] == "" or before[-1:] == "\n" or (before[-2:-1] in ".!?:" and before[-1:] == " ")
         row = [
-            float(generator),
-            float(b - a),
-            float(digits),
+            generator,
+            b - a,
+            digits,
             letters / (b - a),
             upper / max(1, letters),
-            float(len(parts)),
-            float(s.count(" ")),
-            float(s.count("-")),
-            float(s.count(".")),
-            float("," in s),
-            float("+" in s),
-            float("(" in s),
-            float("/" in s),
-            float("@" in s),
-            float(sum(h in self.given for h in halves)),
-            float(sum(h in self.family for h in halves)),
-            float(bool(halves) and (halves[0] in self.given or halves[0] in self.family)),
-            float(bool(halves) and (halves[-1] in self.given or halves[-1] in self.family)),
-            float(title),
-            float(min(gap, 60)),
-            len(caps) / max(1, len(caps) + len(small)),
-            float(before[-1:] in "\n" or not before.strip()),
-            float(before[-2:-1] in ".!?" and before[-1:] == " "),
-            float(before[-2:-1] in ":|" or before[-1:] in ':"|'),
-            float(before[-2:-1] == ","),
-            float(after[:1] in ",;"),
-            float(after[:1] == "."),
-            float(after[:2] in (" <", " (", " |", '",', " a", ' ;') or after[:1] in '"|'),
-            float(after[:7] == " wrote " or after[:7] == ", lives"),
-            float(bool(re.match(r",? ?(?i:id|ssn|ni|passport|tax|identity|insurance|personal|social|national|ausweis|\d{3})\b", after.lstrip(", ")[:12]))),
+            len(low),
+            s.count(" "),
+            s.count("-"),
+            s.count("."),
+            "," in s,
+            "+" in s,
+            "(" in s,
+            "/" in s,
+            "@" in s,
+            sum(h in self.given for h in halves),
+            sum(h in self.family for h in halves),
+            bool(halves) and halves[0] in self.known,
+            bool(halves) and halves[-1] in self.known,
+            title,
+            min(gap, 60),
+            caps / max(1, len(around)),
+            before[-1:] in "\n" or not before.strip(),
+            before[-2:-1] in ".!?" and before[-1:] == " ",
+            before[-2:-1] in ":|" or before[-1:] in ':"|',
+            before[-2:-1] == ",",
+            after[:1] in ",;",
+            after[:1] == ".",
+            after[:2] in (" <", " (", " |", '",', " a", " ;") or after[:1] in '"|',
+            after[:7] == " wrote " or after[:7] == ", lives",
+            named and bool(_IDENTITY.match(after.lstrip(", "))),
+            sum(plain),
+            bool(plain) and plain[0],
+            bool(plain) and plain[-1],
+            bool(plain) and plain[0] and low[0] not in self.known,
+            sum(p in TITLES for p in low),
+            lead,
+            min((len(p) for p in low), default=0),
         ]
+        tail, last = left[-3:], left[-1] if left else ""
         for cue in CUES:
             words = _SETS[cue]
-            row.append(float(bool(left) and left[-1] in words))
-            row.append(float(sum(w in words for w in left[-3:])))
-        row.append(float(sum(w in _SETS["against"] for w in right[:2])))
-        row.append(float(sum(w in _SETS["name"] for w in right[:2])))
-        which = [float(bool(f.fullmatch(s))) for f in _FORMATS] if kind in ("phone", "id_number") else [0.0] * len(_FORMATS)
-        return row + which
+            row.append(last in words)
+            row.append(sum(w in words for w in tail))
+        row.append(sum(w in _SETS["against"] for w in right[:2]))
+        row.append(sum(w in _SETS["name"] for w in right[:2]))
+        return row + ([0.0] * len(_FORMATS) if kind not in ("phone", "id_number") else [bool(f.fullmatch(s)) for f in _FORMATS])
 
 
 # --- training -------------------------------------------------------------------------------------------------------------------
@@ -218,8 +261,13 @@ def _invented(r: random.Random) -> str:
 
 def _values(r: random.Random, given: list[str], family: list[str]):
     d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
-    first = lambda: r.choice(given) if given and r.random() < 0.75 else _invented(r)
-    last = lambda: r.choice(family) if family and r.random() < 0.75 else _invented(r)
+
+    def part(known: list[str]) -> str:
+        k = r.random()
+        return r.choice(WORD_NAMES).capitalize() if k < 0.07 else r.choice(known) if known and k < 0.77 else _invented(r)
+
+    first = lambda: part(given)
+    last = lambda: part(family)
 
     def name() -> str:
         g, f = first(), last()
@@ -260,7 +308,7 @@ def _values(r: random.Random, given: list[str], family: list[str]):
 
     def address() -> str:
         t, w = _invented(r), _invented(r)
-        road = r.choice("Street St Road Rd Avenue Ave Lane Close Quay Terrace".split())
+        road = r.choice("Street St Road Rd Avenue Ave Lane Close Quay Terrace Boulevard".split())
         n = r.randint(1, 999)
         return r.choice(
             (
@@ -272,7 +320,7 @@ def _values(r: random.Random, given: list[str], family: list[str]):
     return {"name": name, "email": email, "phone": phone, "id_number": id_number, "address": address}
 
 
-#: Phrasings with slots; {t} is an optional title, {w} an invented word, {n} a number, {l} a label of an identity number.
+#: Phrasings with slots; {t} is an optional title, {w} an invented word, {P} a common one, {n} a number, {l} a label of an identity number.
 PHRASES = (
     "Signed by {t}{name}.", "Best wishes, {t}{name}.", "{t}{name} wrote this from home.", "{t}{name} wrote the report.", "Author: {t}{name} <{email}>.", "Corresponding author: {t}{name} <{email}>.",
     "Questions go to {t}{name} at {email}.", "Write to {t}{name}, email {email}.", "Écrire à {t}{name}, courriel {email}.", "Contacto: {t}{name}, correo {email}.", "Rückfragen bitte an {t}{name} ({email}).",
@@ -280,6 +328,7 @@ PHRASES = (
     "Seller line {phone}, ask for {t}{name}.", "Reach me under {phone} or write to {email}.", "tel:{phone}", "tel:{phone} Our {w} model works.", "mailto:{email}", "Her file lists {l} {id_number} and the phone {phone}.",
     "Please remove my entry; I am {t}{name}, {l} {id_number}.", "I am {t}{name}, {id_number}.", "My {l} is {id_number}.", "Documento de identidad {id_number} de {t}{name}.", "Pièce d'identité {id_number} au nom de {t}{name}.",
     "Antrag von {t}{name}, Ausweis {id_number}.", "{t}{name}, {l} {id_number}.", "Return parcels to {t}{name}, {address}.", "The annotator, {t}{name}, lives at {address}.", "She lives at {address}.", "Meet at {address} on the first evening.",
+    "We work with {t}{name} on this.", "Contact {t}{name} or {t}{name}.", "A talk by {name} and {name} in {W}.", "{name} and {name} met in {W}.", "Ship it to {address}.",
     "Telefon: {phone}, Anschrift: {address}.", "Teléfono {phone}, vive en {address}.", "Tél. {phone} ; adresse : {address}.", "Deliver it to {address}.", "We spoke with {t}{name} and {t}{name} yesterday.", "Thanks to {t}{name} for the review.",
 )
 #: Phrasings without personal information, with look-alikes.
@@ -291,7 +340,8 @@ OTHERS = (
     "Under {w} {w}, {W} matches {W} while using {n2} times fewer {w}.", "It replaces the older {W} {w}, adds a {w}, and fits any {W} {w}.", "Update, {W} branch: {W} {w} stays.", "Seen at {W}: {W} treats each {w} as one.", "Wer {W} kauft, sieht meist auch {W}.",
     "For {W} only: {W} is compared with {W}, {W} and {W}.", "Between {W} and {W}: nothing changed.", "Version {n2}: {W} {w} was dropped.", "Suppose {W} cites {W} but never {W}, and stop.", "Part no. {n6}-{n4} fits the {w}.", "Ticket {n3}-{n3}-{n4} was closed.",
     "Das Modell {W} sucht zuerst bei {W}.", "Der {W} Knoten verbindet {W} mit einem Nachbarn.", "Le modèle {W} cherche près de {W}.", "El nodo {W} une {W} con {W}.", "Der {W} {W} fehlt noch.", "The {W} {W} comes in two sizes.",
-    "BY {U} {U} {U} FIRST, {U} ANSWERS {n2} OF THE HUNDRED {U} {U} LEFT OPEN BY {U}.", "{U} {U}: {U} {U} STAYS, {U} DOES NOT.", "The {W} Version Of {W} Drops Its {W} And Gains {n2} Hours.", "NEW FOR THIS SEASON: {U} IN {U} {U}, SOLD AS A PAIR WITH THE {U} {U}.",
+    "Why {W} {P} Beats {P} {W} Here.", "{W} {P} {W} And {W} {P} Once More.", "{P} {W} In {P} {W} {P} Or {W} {P}.", "{Q} {U} {Q} {U} {Q} {U}.", "{U} {Q} AND {Q} {U}: {U} {Q}.", "{P}, {W} stays as it was.", "{U}, {Q}, {Q} {U}.", "{P} {W} was read and {W} {P} was not.",
+    "{w} {W} {W} {w} and a {w}.", "The {W} {P} holds {n2} {w}.", "BY {U} {U} {U} FIRST, {U} ANSWERS {n2} OF THE HUNDRED {U} {U} LEFT OPEN BY {U}.", "{U} {U}: {U} {U} STAYS, {U} DOES NOT.", "The {W} Version Of {W} Drops Its {W} And Gains {n2} Hours.", "NEW FOR THIS SEASON: {U} IN {U} {U}, SOLD AS A PAIR WITH THE {U} {U}.",
     "Build {n3}.{n3}.{n4} of the {w}.", "Edge {n7} of shard {n7}.", "In {n4} {W} moved {n3} members to {W}, {W}.", "Dataset {W} {W} has {n5} nodes.", "With {W} {W} the score grew.", "Item {c2}{n7} was restocked.", "Model {c2} {n2} {n2} {n2} {c1} is sold out.", "Order {n3} {n3} {n3} {n3} shipped.",
 )
 LABELS = ("id", "ID no.", "SSN", "social security no.", "national id", "national identity number", "identity number", "identity card", "passport", "passport no.", "Passport number:", "tax id", "tax number", "NI number", "insurance number", "personal number")
@@ -301,6 +351,7 @@ def composed(n: int, given: list[str], family: list[str], seed: int) -> Iterator
     """n texts of a few sentences each, with the spans of their personal information."""
     r = random.Random(seed)
     make = _values(r, given, family)
+    common = sorted(PLAIN)
     digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     for _ in range(n):
         text, spans = "", set()
@@ -318,6 +369,9 @@ def composed(n: int, given: list[str], family: list[str], seed: int) -> Iterator
                 elif slot in ("w", "W", "U"):
                     value = _invented(r)
                     value = value.lower() if slot == "w" else value.upper() if slot == "U" else value
+                elif slot in ("P", "Q"):
+                    value = r.choice(common)
+                    value = value.capitalize() if slot == "P" else value.upper()
                 elif slot == "p":
                     value = r.choice(given + family) if given or family else _invented(r)
                 elif slot[:1] == "n" and slot[1:].isdigit():
@@ -345,9 +399,9 @@ class Detector:
         rows: dict[str, list[tuple[list[float], int, bool]]] = {k: [] for k in KINDS}
         for i, (text, spans) in enumerate(composed(t.sentences // 3, given, family, t.seed)):
             found = candidates(text)
-            marks = _marks(found)
+            marks, tokens = _marks(found), Tokens(text)
             for c in found:
-                rows[c[2]].append((learn.of(text, c, marks), int((c[0], c[1], c[2]) in spans), i % 10 < 10 * t.held))
+                rows[c[2]].append((learn.of(text, c, marks, tokens), int((c[0], c[1], c[2]) in spans), i % 10 < 10 * t.held))
         self.models, self.thresholds, self.report = {}, {}, {}
         for kind, data in rows.items():
             x, y, held = np.array([d[0] for d in data]), np.array([d[1] for d in data]), np.array([d[2] for d in data])
@@ -365,9 +419,11 @@ class Detector:
         proposals = [candidates(t) if t else [] for t in texts]
         by_kind: dict[str, list[tuple[int, Span, list[float]]]] = {k: [] for k in KINDS}
         for i, (text, found) in enumerate(zip(texts, proposals)):
-            marks = _marks(found)
+            if not found:
+                continue
+            marks, tokens = _marks(found), Tokens(text)
             for c in found:
-                by_kind[c[2]].append((i, c, self.features.of(text, c, marks)))
+                by_kind[c[2]].append((i, c, self.features.of(text, c, marks, tokens)))
         chosen: list[list[tuple[int, float, int, int, str]]] = [[] for _ in texts]
         for kind, data in by_kind.items():
             if data:
@@ -428,11 +484,21 @@ def name_parts(table: DataFrame) -> list[tuple[str, str]]:
     return [(r[0], r[1]) for r in rows]
 
 
+@lru_cache(maxsize=4)
+def _fitted(parts: tuple[tuple[str, str], ...], t: Training) -> Detector:
+    """One fit per set of name parts and training; it does not depend on the documents."""
+    return Detector(list(parts), t)
+
+
+def fitted(parts: DataFrame, t: Training | None) -> Detector:
+    return _fitted(tuple(sorted(name_parts(parts))), t or Training())
+
+
 def personal_spans(docs: DataFrame, parts: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: Training | None = None) -> DataFrame:
     """doc_id, kind, found_text, start of every selected span. Null and empty texts have none; repeated documents give rows each."""
-    return docs.select(id_col, text_col).mapInArrow(_detected(id_col, text_col, Detector(name_parts(parts), t), False), "doc_id long, kind string, found_text string, start int")
+    return docs.select(id_col, text_col).mapInArrow(_detected(id_col, text_col, fitted(parts, t), False), "doc_id long, kind string, found_text string, start int")
 
 
 def redacted(docs: DataFrame, parts: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: Training | None = None) -> DataFrame:
     """doc_id, text with typed placeholders, number of replaced spans; one row per input row, null texts stay null."""
-    return docs.select(id_col, text_col).mapInArrow(_detected(id_col, text_col, Detector(name_parts(parts), t), True), "doc_id long, text string, replaced int")
+    return docs.select(id_col, text_col).mapInArrow(_detected(id_col, text_col, fitted(parts, t), True), "doc_id long, text string, replaced int")
