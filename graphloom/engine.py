@@ -41,7 +41,7 @@ class GraphEngine:
         nodes = adj = vec = None
         both = lambda a, b: b if a is None else a.unionByName(b)
         for name in names:
-            d = next((f"{root.rstrip('/')}/{s}" for s in rd.spellings(name) if rd.first_existing([f"{root.removeprefix('file://').rstrip('/')}/{s}"])), None)
+            d = next((f"{root.rstrip('/')}/{s}" for s in rd.spellings(name) if rd.exists(f"{root.rstrip('/')}/{s}")), None)
             if d is None:
                 raise FileNotFoundError(f"no folder for {name} below {root}")
             array = lambda f, d=d: rd.json_array(spark, f"{d}/{f}")
@@ -143,6 +143,8 @@ class LinkEngine:
         docs = self._pair_docs(s, "[similar pair] ", "existing edge", "reference pair", docs)
         if self.top_pairs is not None:
             t = self.top_pairs.select("dataset", F.col("node_u").alias("a"), F.col("node_v").alias("b"), "is_edge", "rank")
+            best = Window.partitionBy("dataset").orderBy("rank", "a", "b")
+            t = t.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= most + 2).drop("_n")  # a query leaves out its own pair, either way round
             p = q.where("strategy = 'pagerank'").join(t, "dataset").where("not (a in (node_u, node_v) and b in (node_u, node_v))")
             p = p.withColumn("doc_id", F.row_number().over(Window.partitionBy("qid").orderBy("rank", "a", "b"))).where(F.col("doc_id") <= most)
             docs = self._pair_docs(p.select("qid", "strategy", "k", "dataset", "doc_id", "a", "b", "is_edge"), "[pagerank] ", "high-ranked edge", "high-ranked pair", docs)

@@ -18,8 +18,8 @@ ALIASES = {
     "pagerank": ["pagerank", "page rank", "pr"],
     "similar": ["similar", "sim", "similarity"],
 }
-#: Fixed value: punctuation of ASCII and CJK texts, as a character class.
-PUNCTUATION = "[!-/:-@\\[-`{-~\\x{3002}\\x{FF01}\\x{FF1F}\\x{FF0C}\\x{3001}\\x{FF1B}\\x{FF1A}\\x{201C}\\x{201D}\\x{2018}\\x{2019}\\x{300A}\\x{300B}\\x{FF08}\\x{FF09}]"
+#: Fixed value: the ASCII and CJK marks that a question key does not hold, as a character class.
+QUESTION_MARKS = r"""[,.:"'\[\]\-=+\\|!@#$%^&*();<>?/{}\x{FF01}\x{FFE5}\x{2026}\x{FF08}\x{FF09}\x{2014}\x{FF1A}\x{201D}\x{201C}\x{300A}\x{300B}\x{FF1F}]"""
 
 
 def quoted(s: str) -> str:
@@ -137,10 +137,9 @@ def covers(gold: Column, predicted: Column) -> Column:
 
 
 def question_key(c: Column) -> Column:
-    """Punctuation to blanks, `import x as y` dropped, single blanks."""
-    s = F.regexp_replace(c, "[!-/:-@\\[-`{-~]", " ")
-    s = F.regexp_replace(s, r"import\s+[a-zA-Z_]+\s+as\s+[a-zA-Z_]+", "")
-    return squeeze(s)
+    """Lower case, ASCII and CJK marks to blanks, lines `import x as y` dropped, single blanks."""
+    s = F.regexp_replace(F.lower(c), QUESTION_MARKS, " ")
+    return squeeze(F.regexp_replace(s, r"(?U)import\s[a-z.]+\sas\s[a-z.]+\n", " "))
 
 
 def strip_runs(c: Column, tokens: list[str]) -> Column:

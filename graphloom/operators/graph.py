@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from graphloom.operators.ranking import group_positions
 from graphloom.session import materialise
 
+HUB = 10_000
+
 
 def canonical_edges(edges: DataFrame, src: str = "src", dst: str = "dst", by: list[str] | None = None) -> DataFrame:
     """Undirected edges with u < v, each once; self loops and null ends go."""
@@ -22,7 +24,8 @@ def both_ways(edges: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def hop_lists(adj: DataFrame, by: list[str]) -> DataFrame:
-    """Sorted unique neighbour list per node."""
+    """Sorted unique neighbour list per node: one row per node, so a hub's list must fit a row; pairs that only need common
+    neighbours take common_neighbours, which makes no lists of hubs."""
     return adj.groupBy(*by, F.col("src").alias("node_id")).agg(F.array_sort(F.collect_set("dst")).alias("hop"))
 
 
@@ -30,9 +33,11 @@ def two_hops(adj: DataFrame, anchors: DataFrame | None, by: list[str]) -> DataFr
     """Distinct (src, dst) at distance of two steps, without src itself; only from the anchors where they are given, so the
     self-join starts from the anchors' rows and not from the whole graph."""
     first = adj if anchors is None else adj.join(anchors, [*by, "src"], "left_semi")
-    a = first.select(*by, "src", F.col("dst").alias("mid"))
-    b = adj.select(*by, F.col("src").alias("mid"), F.col("dst").alias("far"))
-    return a.join(b, [*by, "mid"]).where("src <> far").select(*by, "src", F.col("far").alias("dst")).distinct()
+    # the neighbours of a hub are dealt to buckets of at most HUB, which meet all of its neighbours in tasks of their own
+    parts = degrees(adj, by).select(*by, F.col("node_id").alias("mid"), F.ceil(F.col("degree") / HUB).cast("int").alias("_parts"))
+    a = first.select(*by, "src", F.col("dst").alias("mid")).join(parts, [*by, "mid"]).withColumn("_part", F.pmod(F.xxhash64("src"), F.col("_parts")).cast("int")).drop("_parts")
+    b = adj.select(*by, F.col("src").alias("mid"), F.col("dst").alias("far")).join(parts, [*by, "mid"]).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return a.join(b, [*by, "mid", "_part"]).where("src <> far").select(*by, "src", F.col("far").alias("dst")).distinct()
 
 
 def common_neighbours(edges: DataFrame, adj: DataFrame, by: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from math import lcm
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.ranking import group_positions, numbered
+from graphloom.operators.ranking import cumulated, group_positions, numbered
 
 
 def pattern(shares: dict[str, float]) -> dict[str, tuple[int, int, int]]:
@@ -59,6 +59,29 @@ def contiguous_shards(df: DataFrame, order: list[Column], shards: int) -> DataFr
     return numbered(df, order, "_r").withColumn("shard", F.floor(F.col("_r") / size)).drop("_r")
 
 
+def packed(df: DataFrame, by: list[str], order: list[Column], ids: str, multiple: int) -> DataFrame:
+    """Each sequence with its place in the pack of its group: k (from 1, its number in the attention mask), start (its first position), and the
+    pack's used and padded lengths. The pack is never gathered in one row, so a group of any size is laid out over all tasks."""
+    size = F.size(ids).cast("long")
+    r = cumulated(df, [*[F.col(c) for c in by], *order], size, "_upto", "_k")
+    per = r.groupBy(*by).agg(F.min(F.col("_upto") - size).alias("_before"), F.min("_k").alias("_first"), F.sum(size).alias("used"))
+    padded = F.col("used") + (multiple - F.col("used") % multiple) % multiple
+    return r.join(per, by).select(*df.columns, (F.col("_k") - F.col("_first") + 1).alias("k"), (F.col("_upto") - size - F.col("_before")).alias("start"), "used", padded.alias("padded"))
+
+
+def minibatch(buffer: DataFrame, n: int, seed: int, keys: list[str]) -> DataFrame:
+    """n rows of a buffer without replacement, by a seeded order; all of them where there are fewer."""
+    return buffer.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in keys])), *keys).limit(n)
+
+
+def concatenated(chosen: DataFrame, rejected: DataFrame, ids: str, pad: int) -> DataFrame:
+    """Both sides as one batch, chosen first, every sequence padded on the right to the longest of both; side tells them apart."""
+    both = chosen.withColumn("side", F.lit("chosen")).unionByName(rejected.withColumn("side", F.lit("rejected")))
+    longest = both.agg(F.coalesce(F.max(F.size(ids)), F.lit(0)).alias("_n"))  # one row
+    wide = both.crossJoin(F.broadcast(longest))
+    return wide.withColumn(ids, F.concat(ids, F.array_repeat(F.lit(pad).cast("long"), F.col("_n") - F.size(ids)))).drop("_n")
+
+
 def batches(df: DataFrame, by: list[str], order: list[Column], size: int) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))

@@ -23,6 +23,19 @@ def numbered(df: DataFrame, order: list[Column], name: str = "place") -> DataFra
     return placed.withColumn("_part", part).join(starts, "_part").withColumn(name, F.col("_before") + F.col("_id") % F.lit(1 << 33)).drop("_id", "_part", "_before")
 
 
+def cumulated(df: DataFrame, order: list[Column], weight: Column, name: str = "upto", place: str = "place") -> DataFrame:
+    """Adds the sum of weight up to and with each row in the order, and its place from 0. A task sums its own range; what stands before it is
+    one number per partition."""
+    placed = materialise(df.withColumn("_w", weight.cast("long")).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    sums = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"), F.sum("_w").alias("_s"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    starts = F.broadcast(sums.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_s0")))
+    own = F.sum("_w").over(Window.partitionBy("_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = placed.withColumn("_part", part).withColumn("_own", own).join(starts, "_part")
+    return out.select(*df.columns, (F.col("_s0") + F.coalesce("_own", F.lit(0))).alias(name), (F.col("_n0") + F.col("_id") % F.lit(1 << 33)).alias(place))
+
+
 def group_positions(df: DataFrame, by: list[str], order: list[Column], name: str = "rank", size: str = "size") -> DataFrame:
     """Adds the place of each row in its group, from 0, and the size of the group. A null key is a group of its own.
 

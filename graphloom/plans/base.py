@@ -60,6 +60,17 @@ def offsets(spark: SparkSession, d: str) -> DataFrame:
     return p.withColumn("offset", F.coalesce(F.sum("size").over(w), F.lit(0)))
 
 
+def positives(spark: SparkSession, d: str, splits: tuple[str, ...]) -> DataFrame:
+    """dataset (as the graphs spell it), u < v (local ids) of the labelled pairs of some splits, by the latest export of each sample."""
+    cols = ["dataset", "split", "label", "node_u", "node_v"]
+    p = table(spark, d, "pair_samples").groupBy("sample_id").agg(F.max_by(F.struct(*cols), "exported_at").alias("r")).select("r.*")
+    g = table(spark, d, "graph_datasets").select(key("dataset").alias("k"), F.col("dataset").alias("name"), "base_offset")  # one row per graph
+    p = p.where("label = 1").where(key("split").isin(*splits)).withColumn("k", key("dataset")).join(g, "k")
+    local = lambda c: F.when(F.col(c) >= F.col("base_offset"), F.col(c) - F.col("base_offset")).otherwise(F.col(c))
+    p = p.select(F.col("name").alias("dataset"), local("node_u").alias("a"), local("node_v").alias("b")).where("a is not null and b is not null")
+    return p.select("dataset", F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+
+
 NODES = """nodes as (select dataset, node_id, regexp_replace(max(category), '^\\["?|"?\\]$', '', 'g') as label, max(split) as split, max(pagerank) as pagerank, max(same_as) as same_as from graph_nodes group by 1, 2)"""
 EDGES = """edges as (select distinct dataset, least(src, dst) as u, greatest(src, dst) as v from graph_edges where src is not null and dst is not null and src <> dst)"""
 ADJ = f"""{EDGES}, adj as (select dataset, u as src, v as dst from edges union all select dataset, v, u from edges)"""
@@ -76,8 +87,11 @@ def sstrip(c: str) -> str:
 TEXTS = f"""texts as (select g.dataset, case when r.node_id >= base_offset then r.node_id - base_offset else r.node_id end as node_id,
   arg_max(t, struct_pack(a := written_at, b := record_id, c := t)) as text
   from (select *, {sstrip('summary_en')} as t from jsonl_records) r join graph_datasets g on {skey('r.dataset')} = {skey('g.dataset')} where t is not null and t <> '' group by 1, 2)"""
-EMB = f"""emb as (select n.dataset, n.node_id, e.embedding as emb from nodes n join graph_datasets g using (dataset), (select count(*) as c from embeddings) k, embeddings e
-  where e.vec_id = (n.node_id * 31 + g.position * 17) % k.c)"""
+EMB = """emb as (select n.dataset, n.node_id, e.embedding as emb from (select n.dataset, n.node_id, (n.node_id * 31 + g.position * 17) % (select count(*) from embeddings) as vec_id
+  from nodes n join graph_datasets g using (dataset)) n join embeddings e on e.vec_id = n.vec_id)"""
+TEST_PAIRS = f"""test_pairs as (select distinct g.dataset, least(a, b) as u, greatest(a, b) as v from (select k, case when r.u >= base_offset then r.u - base_offset else r.u end as a, case when r.v >= base_offset then r.v - base_offset else r.v end as b
+  from (select {skey('r.d')} as k, r from (select arg_max(struct_pack(d := dataset, s := split, l := label, u := node_u, v := node_v), exported_at) as r from pair_samples group by sample_id) where r.l = 1 and {skey('r.s')} in ('test', 'testing'))
+  join graph_datasets g0 on k = {skey('g0.dataset')}) x join graph_datasets g on x.k = {skey('g.dataset')} where a is not null and b is not null)"""
 OFFSETS = """sizes as (select dataset, max(node_id) + 1 as size from nodes group by 1),
 offs as (select dataset, position, size, cast(coalesce(sum(size) over (order by position rows between unbounded preceding and 1 preceding), 0) as bigint) as "offset" from graph_datasets join sizes using (dataset))"""
 

@@ -16,7 +16,8 @@ from graphloom.operators import registry as rg
 from graphloom.operators import rollout as ro
 from graphloom.plans import base as b
 from graphloom.plans.registry import query
-from graphloom.plans.reward_plans import ROLL, responses, rollouts
+from graphloom.functions import rewards as rw
+from graphloom.plans.reward_plans import ROLL, _reward_sql, responses, rollouts
 from graphloom.plans.text_plans import sbody
 from graphloom.session import materialise, scratch_dir, table
 from graphloom.sources import readers as rd
@@ -169,11 +170,11 @@ def source_csv(s, d):
     return rd.read_any(s, path, schema="n_nationkey int, n_name string, n_regionkey int")
 
 
-@query("source_orc", "select c_custkey, c_name from customer where c_custkey < 500")
+@query("source_orc", "select c_custkey, c_name from customer")
 def source_orc(s, d):
     path = _folder(s) + ".orc"
     table(s, d, "customer").write.orc(path)
-    return rd.read_any(s, path).where("c_custkey < 500").select("c_custkey", "c_name")
+    return rd.read_any(s, path).select("c_custkey", "c_name")
 
 
 @query("source_partitioned", "select stage, count(*) as n from jsonl_records where stage is not null group by 1")
@@ -207,10 +208,10 @@ def sink_pair_payload(s, d):
     return wr.pair_payload(table(s, d, "pair_samples").select("sample_id", "exported_at", "similarity")).distinct()
 
 
-@query("checkpoint_retention", "select o_orderkey as name from (select o_orderkey, row_number() over (order by o_orderdate desc, o_orderkey) as n, sum(o_custkey) over (order by o_orderdate desc, o_orderkey rows unbounded preceding) as b from orders where o_custkey < 50) where n > 100 or b > 2000")
+@query("checkpoint_retention", "select o_orderkey as name from (select o_orderkey, row_number() over (order by o_orderdate desc, o_orderkey) as n, sum(o_custkey) over (order by o_orderdate desc, o_orderkey rows unbounded preceding) as b from orders) where n > 100 or b > 200000")
 def checkpoint_retention(s, d):
-    c = table(s, d, "orders").where("o_custkey < 50").select(F.col("o_orderkey").alias("name"), F.col("o_orderdate").alias("written_at"), F.col("o_custkey").alias("bytes"))
-    return wr.expired(c, 100, 2000).select("name")
+    c = table(s, d, "orders").select(F.col("o_orderkey").alias("name"), F.col("o_orderdate").alias("written_at"), F.col("o_custkey").alias("bytes"))
+    return wr.expired(c, 100, 200000).select("name")
 
 
 @query("source_graph_folder", None)
@@ -244,7 +245,7 @@ def _stream(s, df, schema: str, files: int = 3):
     return s.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(path)
 
 
-@query("reward_stream", None)
+@query("reward_stream", f"select doc_id as idx, reward from ({_reward_sql(rw.NC_STAGE1, False)})")
 def reward_stream(s, d):
     r = responses(s, d).select(F.col("doc_id").alias("idx"), "response", "gold")
     labels = materialise(r.select("idx", "gold"))
@@ -254,13 +255,47 @@ def reward_stream(s, d):
     return s.read.parquet(out)
 
 
-@query("replay_stream", None)
+@query("replay_stream", "select user_id as key, least(count(*), 20)::int as held from events group by 1")
 def replay_stream(s, d):
     e = table(s, d, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
-    name = f"replay_{uuid.uuid4().hex}"
-    q = sj.replay_buffer(_stream(s, e, "user_id long, event_id long, ts timestamp, value double"), "user_id", "value", 20).writeStream.outputMode("update").format("memory").queryName(name).trigger(availableNow=True).start()
+    out = _folder(s)
+    held = sj.replay_buffer(_stream(s, e, "user_id long, event_id long, ts timestamp, value double"), "user_id", "value", 20)
+    put = lambda batch, epoch: batch.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(out)
+    q = held.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", _folder(s)).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return s.read.parquet(out).groupBy("key").agg(F.max_by("held", "epoch").alias("held"))
+
+
+@query(
+    "joined_streams",
+    "select a.event_id as click_id, b.event_id as error_id from events a join events b on a.user_id = b.user_id and a.event_type = 'click' and b.event_type = 'error' and b.ts >= a.ts and b.ts <= a.ts + interval '30 minutes'",
+)
+def joined_streams(s, d):
+    """Clicks and the errors of the same user within half an hour: two streams with watermarks, matched as they arrive."""
+    e = table(s, d, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    wide = "user_id long, event_id long, ts timestamp, event_type string"
+    side = lambda kind, name: _stream(s, e.where(F.col("event_type") == kind), wide, 2).select(F.col("user_id").alias(f"{name}_user"), F.col("event_id").alias(f"{name}_id"), F.col("ts").alias(f"{name}_ts"))
+    joined = sj.joined(side("click", "click"), side("error", "error"), "click", "error", "30 minutes", "1000 days")
+    out = _folder(s)
+    q = joined.writeStream.format("parquet").option("path", out).option("checkpointLocation", _folder(s)).trigger(availableNow=True).start()
     q.awaitTermination()
-    return s.table(name)
+    return s.read.schema("click_id long, error_id long").parquet(out).select("click_id", "error_id")
+
+
+@query("late_events_stream", "select time_bucket(interval '1 hour', ts) as start, count(*) as n from events group by 1")
+def late_events_stream(s, d):
+    """Hourly counts of a stream with a watermark; a first, early file and later ones, none later than the watermark allows."""
+    e = table(s, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    out = _folder(s)
+    counts = sj.sliding(_stream(s, e, "event_id long, ts timestamp"), "1 hour", "1 hour", "1000 days")
+    put = lambda batch, epoch: batch.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(out)
+    counts.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", _folder(s)).trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(out).groupBy(F.col("start").cast("timestamp_ntz").alias("start")).agg(F.max_by("n", "epoch").alias("n"))
+
+
+@query("sliding_events", "select s.start, count(*) as n from events e join (select distinct unnest([time_bucket(interval '30 minutes', ts), time_bucket(interval '30 minutes', ts) - interval '30 minutes']) as start from events) s on e.ts >= s.start and e.ts < s.start + interval '1 hour' group by 1")
+def sliding_events(s, d):
+    return sj.sliding(table(s, d, "events"), "1 hour", "30 minutes", "1 day")
 
 
 _DAY = "time_bucket(interval '1 hour', ts)"
@@ -276,16 +311,24 @@ def session_events(s, d):
     return sj.sessions(table(s, d, "events"), "30 minutes", "1 day")
 
 
-@query("rollout_loop", None)
+@query("rollout_loop", "select item_id as qid, least(item_id % 4, 2)::int as searches, true as finished, least(item_id % 4, 2)::int as blocks, item_id % 4 > 0 as told from eval_items")
 def rollout_loop(s, d):
-    """Scripted rollouts over the evaluation items: each asks a few queries, gets node texts and answers."""
-    items = table(s, d, "eval_items").select(F.col("item_id").alias("qid"), F.concat("text", F.lit("\n")).alias("prompt"))
-    texts = materialise(b.texts(s, d).groupBy("dataset").agg(F.min_by("text", "node_id").alias("text")).agg(F.array_sort(F.collect_list("text")).alias("docs")))
+    """Scripted rollouts over the evaluation items: each asks a few queries about a node of its graph, gets what the engine retrieves for them
+    and answers. blocks: document blocks in the transcript; told: of these with a text of the graph."""
+    from graphloom.plans.job_plans import engine
+
+    items = table(s, d, "eval_items").select(F.col("item_id").alias("qid"), F.concat("text", F.lit("\n")).alias("prompt"), b.key("dataset").alias("k"))
+    size = b.nodes(s, d).groupBy("dataset").agg(F.min("node_id").alias("node_id")).withColumn("k", b.key("dataset"))  # one row per graph
+    anchors = materialise(items.join(size, "k").select("qid", "dataset", "node_id"))
+    graph = engine(s, d)
 
     def retrieve(asking):
-        return asking.join(F.broadcast(texts)).select("qid", tx.neighbour_lines(F.slice("docs", 1, 2)).alias("docs"))  # one row
+        found = graph.batch_query(asking.join(anchors, "qid"))
+        return found.select("qid", tx.neighbour_lines(F.transform("docs", lambda x: x["doc"])).alias("docs"))
 
-    return ro.rollout(items, ro.scripted, retrieve, rounds=6, searches=2)
+    out = ro.rollout(items, ro.scripted, retrieve, rounds=6, searches=2)
+    told = tx.occurrences(F.col("transcript"), tx.DOCS[0] + "\n(1) ")
+    return out.select("qid", "searches", "finished", tx.occurrences(F.col("transcript"), tx.DOCS[0]).alias("blocks"), (told > 0).alias("told"))
 
 
 # --- general analytics -----------------------------------------------------------------------------------------------------------
@@ -330,10 +373,14 @@ def range_join(s, d):
     return table(s, d, "events").join(F.broadcast(r), (F.col("user_id") >= F.col("lo")) & (F.col("user_id") < F.col("hi"))).select("event_id", "dataset")  # seven rows, fixed
 
 
-@query("window_analytics", "select event_id, round(percent_rank() over w, 6) as pr, lag(event_id) over w as prev, lead(event_id) over w as next, first_value(event_id) over w as first from events window w as (partition by user_id order by ts, event_id)")
+@query("window_analytics", "select event_id, round(percent_rank() over w, 6) as pr, lag(event_id) over w as prev, lead(event_id) over w as next, first_value(event_id) over w as first, last_value(event_id) over (w rows between unbounded preceding and unbounded following) as last, count(*) over (partition by user_id order by epoch(ts)::bigint range between 3600 preceding and current row) as hour from events window w as (partition by user_id order by ts, event_id)")
 def window_analytics(s, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(s, d, "events").select("event_id", F.round(F.percent_rank().over(w), 6).alias("pr"), F.lag("event_id").over(w).alias("prev"), F.lead("event_id").over(w).alias("next"), F.first("event_id").over(w).alias("first"))
+    return table(s, d, "events").select(
+        "event_id", F.round(F.percent_rank().over(w), 6).alias("pr"), F.lag("event_id").over(w).alias("prev"), F.lead("event_id").over(w).alias("next"), F.first("event_id").over(w).alias("first"),
+        F.last("event_id").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("last"),
+        F.count("*").over(Window.partitionBy("user_id").orderBy(F.unix_timestamp(F.date_trunc("second", F.col("ts").cast("timestamp")))).rangeBetween(-3600, Window.currentRow)).alias("hour"),
+    )
 
 
 @query("date_parts", "select event_id, year(ts)::int as y, month(ts)::int as m, date_diff('day', timestamp '1970-01-01', ts)::int as days from events")

@@ -12,7 +12,7 @@ from graphloom.operators import retrieve as rt
 from graphloom.operators.ranking import numbered
 from graphloom.plans import base as b
 from graphloom.plans.registry import query
-from graphloom.session import table
+from graphloom.session import materialise, table
 
 BY = ["dataset"]
 
@@ -97,7 +97,7 @@ def multi_graph_route(s, d):
     return rt.routed(table(s, d, "orders").select(F.col("o_orderkey").alias("gid")), b.offsets(s, d))
 
 
-# --- retrieval: every node asks once, the strategy set by its id ------------------------------------------------------------------
+# --- retrieval: the nodes of the test split ask, as in an evaluation ------------------------------------------------------------------
 
 ASKED = "asked as (select row_number() over (order by dataset, node_id) as qid, dataset, node_id from nodes where split = 'test')"
 
@@ -197,6 +197,21 @@ def batch_query(s, d):
 # --- embeddings ------------------------------------------------------------------------------------------------------------------
 
 
+@query(
+    "fused_vectors",
+    """with e as (select vec_id, embedding::double[] as x from embeddings), n as (select count(*) as c from embeddings),
+ p as (select a.vec_id, a.x as a, list_transform(list_zip(b.x, a.x), lambda z: 0.3::double * z[1] + 0.7::double * z[2]) as m from e a cross join n join e b on b.vec_id = (a.vec_id + 1) % n.c)
+ select vec_id, round(list_dot_product(list_transform(m, lambda z: z / greatest(sqrt(list_dot_product(m, m)), 1e-12)), a), 6) as score from p""",
+)
+def fused_vectors(s, d):
+    """The query vector: a share of the encoded text (here another vector of the table) and the rest of the anchor's, made unit length."""
+    e = table(s, d, "embeddings").select("vec_id", "embedding")
+    n = e.agg(F.count("*").alias("c"))  # one row
+    words = e.crossJoin(F.broadcast(n)).select(F.pmod(F.col("vec_id") - 1, F.col("c")).alias("vec_id"), F.col("embedding").alias("words"))
+    both = e.join(words, "vec_id")
+    return both.select("vec_id", F.round(vx.dot(vx.unit(vx.blended(F.col("words"), F.col("embedding"), 0.3)), F.col("embedding")), 6).alias("score"))
+
+
 @query("embed_normalize", "select vec_id, round(sqrt(list_dot_product(e, e)), 6) as length, round(list_sum(e), 5) as total from (select vec_id, list_transform(embedding, lambda x: x::double / greatest(sqrt(list_dot_product(embedding::double[], embedding::double[])), 1e-12)) as e from embeddings)")
 def embed_normalize(s, d):
     e = table(s, d, "embeddings").select("vec_id", vx.unit(F.col("embedding")).alias("e"))
@@ -221,26 +236,27 @@ def pair_vector_mean(s, d):
     return p.select("dataset", "u", "v", F.round(F.element_at("vector", 1), 5).alias("first"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
 
 
-@query("reference_pool", b.with_(b.EDGES) + "select dataset, u, v from edges where not exists (select 1 from pair_samples p where lower(trim(p.split)) in ('test', 'testing') and p.label = 1 and least(p.node_u, p.node_v) = u and greatest(p.node_u, p.node_v) = v)")
+@query("reference_pool", b.with_(b.EDGES, b.TEST_PAIRS) + "select dataset, u, v from edges anti join test_pairs using (dataset, u, v)")
 def reference_pool(s, d):
-    t = table(s, d, "pair_samples").where("lower(trim(split)) in ('test', 'testing') and label = 1").select(F.least("node_u", "node_v").alias("u"), F.greatest("node_u", "node_v").alias("v"))
-    return ds.without(b.edges(s, d), t, on=["u", "v"])
+    """All edges but the test positives of the same graph."""
+    return ds.without(b.edges(s, d), b.positives(s, d, ("test", "testing")), on=["dataset", "u", "v"])
 
 
 @query(
     "similar_pairs_knn",
     b.with_(b.NODES, b.EDGES, b.EMB, _PAIRS) + f""", w as (select dataset, u, v, list_transform(m, lambda z: z / sqrt(list_dot_product(m, m))) as e from (select dataset, u, v, list_transform(list_zip({_UNIT.format('a')}, {_UNIT.format('b')}), lambda z: (z[1] + z[2]) / 2) as m from p)),
- r as (select x.dataset, x.u, x.v, y.u as ref_u, y.v as ref_v, round(list_dot_product(x.e, y.e), 6) as similarity from w x join w y on x.dataset = y.dataset and (x.u <> y.u or x.v <> y.v) where x.dataset = 'hobbyboards'),
+ r as (select x.dataset, x.u, x.v, y.u as ref_u, y.v as ref_v, round(list_dot_product(x.e, y.e), 6) as similarity from w x join w y on x.dataset = y.dataset and (x.u <> y.u or x.v <> y.v)),
  t as (select *, cast(row_number() over (partition by dataset, u, v order by similarity desc, ref_u, ref_v) as int) as rank from r) select dataset, u, v, ref_u, ref_v, rank from t where rank <= 3""",
 )
 def similar_pairs_knn(s, d):
-    """Each pair of one small graph against all reference pairs of it, in blocks."""
-    p = ds.pair_vectors(b.edges(s, d).where("dataset = 'hobbyboards'"), b.embeddings(s, d))
-    named = p.withColumn("node_id", F.col("u") * 10_000_000 + F.col("v")).select("dataset", "node_id", F.col("vector").alias("emb"))
-    ask = named.select(F.col("node_id").alias("qid"), "dataset", "node_id")
+    """Each pair against all reference pairs of its graph, in blocks."""
+    p = materialise(ds.pair_vectors(b.edges(s, d), b.embeddings(s, d)).withColumn("node_id", F.col("u") * 10_000_000 + F.col("v")))
+    named = p.select("dataset", "node_id", F.col("vector").alias("emb"))
+    graphs = table(s, d, "graph_datasets").select("dataset", "position")  # one row per graph
+    ask = named.join(graphs, "dataset").select((F.col("position") * 10**16 + F.col("node_id")).alias("qid"), "dataset", "node_id")
     hits = rt.ranked(rt.similar_candidates(ask, named, 3), ["qid"], "score", "cand", 3)
     end = lambda c, i: (F.floor(F.col(c) / 10_000_000) if i == 0 else F.col(c) % 10_000_000).cast("long")
-    return hits.select("dataset", end("qid", 0).alias("u"), end("qid", 1).alias("v"), end("cand", 0).alias("ref_u"), end("cand", 1).alias("ref_v"), F.col("doc_id").alias("rank"))
+    return hits.select("dataset", end("node_id", 0).alias("u"), end("node_id", 1).alias("v"), end("cand", 0).alias("ref_u"), end("cand", 1).alias("ref_v"), F.col("doc_id").alias("rank"))
 
 
 @query("pagerank_top_pairs", b.with_(b.NODES, b.EDGES) + "select dataset, u, v, round((x + y) / 2, 9) as mean_rank from (select e.*, a.pagerank as x, c.pagerank as y, row_number() over (partition by e.dataset order by a.pagerank + c.pagerank desc, u, v) as rk from edges e join nodes a on a.dataset = e.dataset and a.node_id = u join nodes c on c.dataset = e.dataset and c.node_id = v where a.pagerank is not null and c.pagerank is not null) where rk <= 10")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphloom import jobs
@@ -10,7 +11,7 @@ from graphloom.operators import hooks as hk
 from graphloom.operators import mixing as mx
 from graphloom.operators.datasets import seeded
 from graphloom.plans import base as b
-from graphloom.plans.graph_plans import one_sample
+from graphloom.plans.graph_plans import HOMO, TERC, one_sample, pagerank_top_pairs
 from graphloom.plans.registry import query
 from graphloom.session import table
 
@@ -24,8 +25,10 @@ def engine(s, d) -> GraphEngine:
 def engine_batch_query(s, d):
     """Global ids, mixed strategies, many graphs, one plan."""
     kinds = F.element_at(F.array(*[F.lit(x) for x in ("1-hop: a", "2-hop: b", "pagerank:", "similar: c", "free words")]), (F.col("gid") % 5 + 1).cast("int"))
-    ids = s.range(0, b.nodes(s, d).count(), 7).select(F.col("id").alias("qid"), F.col("id").alias("gid"))
-    return engine(s, d).batch_query(ids.withColumn("query", kinds))
+    ids = s.range(b.nodes(s, d).groupBy("dataset").agg((F.max("node_id") + 1).alias("n")).agg(F.sum("n")).first()[0]).select(F.col("id").alias("qid"), F.col("id").alias("gid"))
+    e = engine(s, d)
+    here = e.offsets().join(b.nodes(s, d).select("dataset", "node_id"), "dataset").select((F.col("offset") + F.col("node_id")).alias("gid"))
+    return e.batch_query(ids.join(here, "gid").withColumn("query", kinds))
 
 
 @query("link_engine_query", None)
@@ -34,11 +37,19 @@ def link_engine_query(s, d):
     p = p.drop("pair_id").withColumnRenamed("sample_id", "pair_id").withColumn("dataset", b.key("dataset"))
     kinds = F.element_at(F.array(*[F.lit(x) for x in ("1-hop:", "similar:", "pagerank:")]), (F.col("pair_id") % 3 + 1).cast("int"))
     n = b.texts(s, d).withColumn("dataset", b.key("dataset"))
-    top = b.edges(s, d).withColumn("dataset", b.key("dataset")).where("u < 3").select("dataset", F.col("u").alias("node_u"), F.col("v").alias("node_v"), F.lit(True).alias("is_edge"), F.col("v").alias("rank"))
+    best = F.row_number().over(Window.partitionBy("dataset").orderBy(F.desc("mean_rank"), "u", "v"))
+    top = pagerank_top_pairs(s, d).select(b.key("dataset").alias("dataset"), F.col("u").alias("node_u"), F.col("v").alias("node_v"), F.lit(True).alias("is_edge"), best.alias("rank"))
     return LinkEngine(p, n, top).batch_query(p.select(F.col("pair_id").alias("qid"), "pair_id", kinds.alias("query")))
 
 
-@query("job_nc_stage1", None)
+_VALID = b.with_(b.NODES, b.ADJ, b.TEXTS, "valid as (select n.*, t.text from nodes n join texts t using (dataset, node_id))", HOMO.replace("nodes", "valid"), TERC)
+
+
+@query(
+    "job_nc_stage1",
+    _VALID + """select dataset, node_id, text, difficulty from (select v.dataset, v.node_id, v.text, t.difficulty, row_number() over (partition by v.dataset, t.difficulty order by md5(concat_ws(':', '7', v.dataset, cast(v.node_id as varchar))), v.dataset, v.node_id) as rn
+ from valid v join terc t using (dataset, node_id) where v.split = 'train') where rn <= 1""",
+)
 def job_nc_stage1(s, d):
     n = b.nodes(s, d).join(b.texts(s, d), ["dataset", "node_id"], "left")
     return jobs.nc_generate(n, b.adjacency(s, d), "stage1", 7, {"easy": 1, "medium": 1, "hard": 1})

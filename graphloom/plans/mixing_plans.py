@@ -14,6 +14,7 @@ from graphloom.operators.ranking import numbered
 from graphloom.plans import base as b
 from graphloom.plans.graph_plans import HOMO, TERC
 from graphloom.plans.registry import query
+from graphloom.plans.text_plans import squestion
 from graphloom.session import table
 
 BY = ["dataset"]
@@ -195,11 +196,8 @@ def placeholder_labels(s, d):
  select pack, len(ids) as used, len(ids) + (8 - len(ids) % 8) % 8 as padded, list_sum(attention)::bigint as checksum from f""")
 def pack_sequences(s, d):
     q = sequences(s, d).join(table(s, d, "customer").select(F.col("c_custkey").alias("seq"), F.col("c_nationkey").alias("pack")), "seq")
-    q = q.withColumn("k", F.row_number().over(Window.partitionBy("pack").orderBy("seq")).cast("long"))
-    f = q.groupBy("pack").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("x"))
-    ids, att = F.flatten("x.ids"), F.flatten(F.transform("x", lambda r: F.array_repeat(r["k"], F.size(r["ids"]))))
-    n = F.size(ids).cast("long")
-    return f.select("pack", n.alias("used"), (n + (8 - n % 8) % 8).alias("padded"), F.aggregate(att, F.lit(0).cast("long"), lambda a, x: a + x).alias("checksum"))
+    rows = mx.packed(q, ["pack"], [F.col("seq")], "ids", 8)
+    return rows.groupBy("pack").agg(F.max("used").alias("used"), F.max("padded").alias("padded"), F.sum(F.col("k") * F.size("ids")).alias("checksum"))
 
 
 @query("unpack_sequences", f"with {SEQ} select seq, pos, ids[pos] as id from (select seq, ids, unnest(range(1, len(ids) + 1)) as pos from sq)")
@@ -239,10 +237,16 @@ def set_difference(s, d):
     return p.select("sample_id", F.array_sort(F.array_except("u", "v")).alias("only_u"), F.array_sort(F.array_intersect("u", "v")).alias("shared"))
 
 
-@query("sanitised_candidates", "select sample_id, list_filter(l, lambda x: x >= 0 and x < 200 and x <> node_u) as cands from (select sample_id, node_u, list_transform(list_sort(list_transform(list_distinct(h), lambda x: struct_pack(p := list_position(h, x), x := x))), lambda z: z.x) as l from (select sample_id, arg_max(node_u, exported_at) as node_u, arg_max(node_u_1hop, exported_at) as h from pair_samples group by 1)) where l is not null")
+@query("sanitised_candidates", b.with_(b.NODES) + f""", one as (select sample_id, arg_max(struct_pack(d := dataset, u := node_u, h := node_u_1hop), exported_at) as r from pair_samples group by 1), z as (select {b.skey('dataset')} as dk, base_offset, max(node_id) + 1 as n from graph_datasets join nodes using (dataset) group by 1, 2),
+ l as (select sample_id, n, case when r.u >= base_offset then r.u - base_offset else r.u end as u, list_transform(r.h, lambda x: case when x >= base_offset then x - base_offset else x end) as h from one join z on dk = {b.skey('one.r.d')} where r.h is not null and r.u is not null)
+ select sample_id, list_filter(list_transform(list_sort(list_transform(list_distinct(h), lambda x: struct_pack(p := list_position(h, x), x := x))), lambda z: z.x), lambda x: x >= 0 and x < n and x <> u) as cands from l""")
 def sanitised_candidates(s, d):
-    p = table(s, d, "pair_samples").groupBy("sample_id").agg(F.max_by("node_u", "exported_at").alias("u"), F.max_by("node_u_1hop", "exported_at").alias("h")).where("h is not null and u is not null")
-    return p.select("sample_id", F.filter(F.array_distinct("h"), lambda x: (x >= 0) & (x < 200) & (x != F.col("u"))).alias("cands"))
+    """Ids made local, in the range of the sample's graph, without the anchor, each once in order."""
+    p = table(s, d, "pair_samples").groupBy("sample_id").agg(F.max_by(F.struct("dataset", "node_u", "node_u_1hop"), "exported_at").alias("r")).where("r.node_u_1hop is not null and r.node_u is not null")
+    size = b.nodes(s, d).groupBy("dataset").agg((F.max("node_id") + 1).alias("n")).join(table(s, d, "graph_datasets"), "dataset").select(b.key("dataset").alias("dk"), "n", "base_offset")  # one row per graph
+    local = lambda x: F.when(x >= F.col("base_offset"), x - F.col("base_offset")).otherwise(x)
+    p = p.withColumn("dk", b.key("r.dataset")).join(size, "dk").select("sample_id", "n", local(F.col("r.node_u")).alias("u"), F.transform("r.node_u_1hop", local).alias("h"))
+    return p.select("sample_id", F.filter(F.array_distinct("h"), lambda x: (x >= 0) & (x < F.col("n")) & (x != F.col("u"))).alias("cands"))
 
 
 @query("label_batches", "select label, count(*) as n, sum(case when sample_id % 2 = 0 then 1 else 0 end)::bigint as matched from (select sample_id, max(label) as label from pair_samples group by 1) where label is not null group by 1")
@@ -273,9 +277,9 @@ def unique_categories(s, d):
     return table(s, d, "graph_nodes").where("category is not null").groupBy(F.regexp_replace("category", r'^\["?|"?\]$', "").alias("label")).agg(F.min("node_id").alias("first_node"))
 
 
-@query("answer_key_lookup", "select item_id, arg_max(answer, pos) as answer from (select lower(regexp_replace(task, '[!-/:-@\\[-`{-~]', ' ', 'g')) as k, split as answer, item_id as pos from eval_items) a join (select item_id, lower(regexp_replace(task, '[!-/:-@\\[-`{-~]', ' ', 'g')) as k from eval_items) q using (k) group by 1")
+@query("answer_key_lookup", f"select item_id, arg_max(answer, pos) as answer from (select {squestion('task')} as k, split as answer, item_id as pos from eval_items) a join (select item_id, {squestion('task')} as k from eval_items) q using (k) group by 1")
 def answer_key_lookup(s, d):
-    i = table(s, d, "eval_items").withColumn("k", F.lower(tx.question_key(F.col("task"))))
+    i = table(s, d, "eval_items").withColumn("k", tx.question_key(F.col("task")))
     keys = i.groupBy("k").agg(F.max_by("split", "item_id").alias("answer"))
     return i.join(keys, "k").select("item_id", "answer")
 
@@ -286,11 +290,14 @@ def eval_holdout(s, d):
     return o.select("o_orderkey").orderBy("o_orderkey").limit(int(o.count() * 0.03))
 
 
-@query("skip_identical_pair", b.with_(b.EDGES) + "select e.dataset, e.u, e.v, f.u as other_u, f.v as other_v from edges e join edges f on e.dataset = f.dataset and e.u = f.u where not (f.u in (e.u, e.v) and f.v in (e.u, e.v)) and e.dataset = 'hobbyboards'")
+@query("skip_identical_pair", """with one as (select sample_id, arg_max(struct_pack(u := node_u, v := node_v, l := similar_pairs), exported_at) as r from pair_samples group by 1), e as (select sample_id, r.u as u, r.v as v, unnest(r.l) as p from one)
+ select sample_id, p.node_u as ref_u, p.node_v as ref_v, count(*) as n from e where u is not null and v is not null and not (p.node_u in (u, v) and p.node_v in (u, v)) group by 1, 2, 3""")
 def skip_identical_pair(s, d):
-    e = b.edges(s, d).where("dataset = 'hobbyboards'")
-    f = e.select("dataset", "u", F.col("v").alias("other_v"), F.col("u").alias("other_u"))
-    return e.join(f, ["dataset", "u"]).where("not (other_u in (u, v) and other_v in (u, v))").select("dataset", "u", "v", "other_u", "other_v")
+    """The recorded similar pairs of every sample, without those that have the sample's own two ends."""
+    p = table(s, d, "pair_samples").groupBy("sample_id").agg(F.max_by(F.struct(F.col("node_u").alias("u"), F.col("node_v").alias("v"), "similar_pairs"), "exported_at").alias("r"))
+    e = p.where("r.u is not null and r.v is not null").select("sample_id", "r.u", "r.v", F.explode("r.similar_pairs").alias("p"))
+    kept = e.where("not (p.node_u in (u, v) and p.node_v in (u, v))")
+    return kept.groupBy("sample_id", F.col("p.node_u").alias("ref_u"), F.col("p.node_v").alias("ref_v")).agg(F.count("*").alias("n"))
 
 
 @query("record_global_id", "select sample_id, base_offset + pair_id as global_id from (select sample_id, arg_max(dataset, exported_at) as ds, arg_max(pair_id, exported_at) as pair_id from pair_samples where pair_id is not null group by 1) p join graph_datasets g on replace(lower(trim(p.ds)), '-', '_') = replace(lower(g.dataset), '-', '_')")
@@ -300,9 +307,9 @@ def record_global_id(s, d):
     return p.withColumn("dk", b.key("r.dataset")).join(F.broadcast(o), "dk").select("sample_id", (F.col("base_offset") + F.col("r.pair_id")).alias("global_id"))
 
 
-@query("sort_by_idx_text", "select o_orderkey, row_number() over (order by cast(o_orderkey as varchar), o_orderkey) - 1 as place from orders where o_custkey < 100")
+@query("sort_by_idx_text", "select o_orderkey, row_number() over (order by cast(o_orderkey as varchar), o_orderkey) - 1 as place from orders")
 def sort_by_idx_text(s, d):
-    o = table(s, d, "orders").where("o_custkey < 100").select("o_orderkey")
+    o = table(s, d, "orders").select("o_orderkey")
     return numbered(o, [F.col("o_orderkey").cast("string"), F.col("o_orderkey")])
 
 

@@ -23,6 +23,12 @@ def docs(s, d):
 _BODY = "case when regexp_matches({c}, '(?s){a}(.*?){b}') then trim(regexp_extract({c}, '(?s){a}(.*?){b}', 1), e' \\t\\n\\r\\x0b\\f') end"
 
 
+def squestion(c: str) -> str:
+    """The SQL of a question key."""
+    marks = tx.QUESTION_MARKS.replace("'", "''")
+    return f"trim(regexp_replace(regexp_replace(regexp_replace(lower({c}), '{marks}', ' ', 'g'), 'import\\s[a-z.]+\\sas\\s[a-z.]+\\n', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
 def sbody(c: str, tag: str) -> str:
     return _BODY.format(c=c, a=f"<{tag}>", b=f"</{tag}>")
 
@@ -106,10 +112,11 @@ def cover_exact_match(s, d):
 
 @query(
     "normalize_text",
-    "select item_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '[!-/:-@\\[-`{-~]', ' ', 'g'), 'import\\s+[a-zA-Z_]+\\s+as\\s+[a-zA-Z_]+', '', 'g'), '\\s+', ' ', 'g')) as question_key from eval_items",
+    f"select item_id, {squestion('concat(text, chr(10), chr(65281), chr(20840), chr(35282), chr(65288), chr(8212), chr(12299), chr(10), text, chr(32), chr(73), task)')} as question_key from eval_items",
 )
 def normalize_text(s, d):
-    return table(s, d, "eval_items").select("item_id", tx.question_key(body()).alias("question_key"))
+    wide = F.lit("\n\uff01\u5168\u89d2\uff08\u2014\u300b\n")  # full-width marks around two letters of another script
+    return table(s, d, "eval_items").select("item_id", tx.question_key(F.concat("text", wide, "text", F.lit(" I"), "task")).alias("question_key"))
 
 
 @query("strip_sequence", "select doc_id, regexp_replace(concat('<pad><pad><s>', text, '</s><pad>'), '^(<pad>|<s>|</s>)+|(<pad>|<s>|</s>)+$', '', 'g') as text from documents where text is not null")

@@ -16,6 +16,8 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+_written: list[tuple[SparkSession, str]] = []
+
 
 def local_session(cores: int | str = "*", memory: str = "8g", partitions: int = 8, **conf: str) -> SparkSession:
     """A local session for tests and the benchmark; on a cluster the caller owns the session."""
@@ -36,9 +38,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
+    """The folder all executors share, from spark.checkpoint.dir. Where that is unset, a local session gets a temporary one and any other an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir names no folder; on a cluster it must be one that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='graphloom_')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -47,11 +52,13 @@ def scratch_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """Write df as parquet into the shared folder and read it back: cuts lineage and survives the loss of any executor.
 
-    The files go when the driver ends."""
+    The files go when the driver ends, or with clear()."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/graphloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_drop, spark, path)
+    if not _written:
+        atexit.register(clear)
+    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -62,10 +69,21 @@ def bounded(df: DataFrame, most: int, what: str) -> DataFrame:
     return broadcast(df)
 
 
+def clear() -> None:
+    """Drops the tables that were written so far; for long sessions, between queries whose results are no longer read."""
+    while _written:
+        _drop(*_written.pop())
+
+
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and a function that makes paths of it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        fs, at = file_system(spark, path)
+        fs.delete(at(path), True)
     except Exception:  # noqa: BLE001 - the session may already be gone
         pass

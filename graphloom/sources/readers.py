@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import warnings
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import strip
+from graphloom.session import file_system
 
 
 def read_any(spark: SparkSession, path: str, kind: str | None = None, schema: str | None = None, most: int | None = None, **options: str) -> DataFrame:
@@ -70,8 +72,13 @@ def splits(spark: SparkSession, path: str) -> DataFrame:
 
 
 def first_existing(paths: list[str]) -> str | None:
-    """The first path that exists (driver side, a handful of names)."""
-    return next((p for p in paths if os.path.exists(p)), None)
+    """The first path that exists on its file system (a handful of names)."""
+    return next((p for p in paths if exists(p)), None)
+
+
+def exists(path: str) -> bool:
+    fs, at = file_system(SparkSession.active(), path)
+    return fs.exists(at(path))
 
 
 def spellings(name: str) -> list[str]:
@@ -81,7 +88,50 @@ def spellings(name: str) -> list[str]:
 
 def discovered(root: str, marker: str = "node_texts.json") -> list[str]:
     """Names of the folders below root that hold the marker file, sorted."""
-    return sorted(e.name for e in os.scandir(root) if e.is_dir() and os.path.exists(os.path.join(e.path, marker)))
+    fs, at = file_system(SparkSession.active(), root)
+    names = [e.getPath().getName() for e in fs.listStatus(at(root)) if e.isDirectory()]
+    return sorted(n for n in names if fs.exists(at(f"{root.rstrip('/')}/{n}/{marker}")))
+
+
+def pagerank_pairs(spark: SparkSession, path: str, schema: str = "dataset string, node_u long, node_v long, is_edge boolean, rank int") -> DataFrame:
+    """The side file of top pairs; a missing one is an empty table."""
+    return json_lines(spark, path, schema)[0] if exists(path) else spark.createDataFrame([], schema)
+
+
+def cached_vectors(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """Vectors from the cache at path, or made and written there if it is absent; a cache that cannot be written is no error."""
+    if exists(path):
+        return spark.read.parquet(path)
+    made = make()
+    try:
+        made.write.parquet(path)
+    except Exception as e:  # noqa: BLE001 - the cache is a convenience
+        warnings.warn(f"no cache at {path}: {type(e).__name__}", stacklevel=2)
+        return made
+    return spark.read.parquet(path)
+
+
+def remote_documents(queries: DataFrame, query_col: str, client: Callable[[], Callable[[list[str]], list[list[str]]]], tries: int = 5) -> DataFrame:
+    """Adds `docs`, the texts that a search service gives for each query: client() is called once per task and gives a function of a list
+    of queries. A failed call is tried again; after that the task fails and Spark runs it elsewhere."""
+
+    @F.pandas_udf("array<string>")
+    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        f = client()
+        for b in batches:
+            yield pd.Series(_tried(f, b.fillna("").tolist(), tries), index=b.index)
+
+    return queries.withColumn("docs", ask(query_col))
+
+
+def _tried(f: Callable, values: list, tries: int):
+    for left in range(tries - 1, -1, -1):
+        try:
+            return f(values)
+        except OSError:
+            if not left:
+                raise
+    raise AssertionError
 
 
 def category_dictionary(spark: SparkSession, path: str) -> DataFrame:
@@ -117,13 +167,6 @@ def remote_vectors(texts: DataFrame, text_col: str, client: Callable[[], Callabl
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         f = client()
         for b in batches:
-            for left in range(tries - 1, -1, -1):
-                try:
-                    out = f(b.fillna("").tolist())
-                    break
-                except OSError:
-                    if not left:
-                        raise
-            yield pd.Series(out, index=b.index)
+            yield pd.Series(_tried(f, b.fillna("").tolist(), tries), index=b.index)
 
     return texts.withColumn("embedding", encode(text_col))

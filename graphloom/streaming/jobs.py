@@ -40,6 +40,14 @@ def sessions(events: DataFrame, gap: str, late: str) -> DataFrame:
     return e.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
 
 
+def joined(left: DataFrame, right: DataFrame, a: str, b: str, within: str, late: str) -> DataFrame:
+    """Stream-stream join: events of two streams (a_user, a_ts, a_id; the same with b) of one user, b at most `within` after a. Watermarks bound
+    what is kept of both."""
+    x, y = left.withWatermark(f"{a}_ts", late), right.withWatermark(f"{b}_ts", late)
+    cond = (F.col(f"{a}_user") == F.col(f"{b}_user")) & (F.col(f"{b}_ts") >= F.col(f"{a}_ts")) & (F.col(f"{b}_ts") <= F.col(f"{a}_ts") + F.expr(f"interval {within}"))
+    return x.join(y, cond).select(f"{a}_id", f"{b}_id")
+
+
 def replay_buffer(stream: DataFrame, key: str, value: str, limit: int) -> DataFrame:
     """Per key the last `limit` values as they arrive: bounded state, one row per key and batch with the count and sum held."""
 
