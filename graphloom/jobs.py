@@ -4,6 +4,7 @@
     python -m graphloom.jobs build-lp     --nodes P --edges P --vectors P --seed 7 --out P
     python -m graphloom.jobs lp-stage     --pairs P --difficulties medium,hard --out P
     python -m graphloom.jobs score        --responses P --labels P --rules nc1 --out P
+    python -m graphloom.jobs suite        --config P
     python -m graphloom.jobs accuracy     --results P
     python -m graphloom.jobs compare      --first P --second P
 
@@ -20,10 +21,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import rewards as rw
+from graphloom.functions import text as tx
 from graphloom.operators import datasets as ds
 from graphloom.operators import evaluate as ev
 from graphloom.operators import graph as g
+from graphloom.operators import registry as rg
 from graphloom.operators import retrieve as rt
+from graphloom.operators import rollout as ro
 from graphloom.operators.ranking import numbered
 from graphloom.session import materialise
 from graphloom.sources import readers as rd
@@ -113,6 +117,59 @@ def score(responses: DataFrame, labels: DataFrame, rules: str) -> DataFrame:
     return responses.join(gold, "idx", "left").select("idx", rw.total(F.col("response"), F.col("gold"), r, link).alias("reward"))
 
 
+def embed(spark: SparkSession, path: str, texts: DataFrame, encoder) -> DataFrame:
+    """Warms the embedding cache: vectors of (dataset, node_id, text), written once to path and read from there afterwards."""
+    return rd.cached_vectors(spark, path, lambda: rd.remote_vectors(texts, "text", encoder).select("dataset", "node_id", F.col("embedding").alias("emb")))
+
+
+def evaluate(samples: DataFrame, generate: ro.Generator, retrieve: ro.Retriever, rounds: int = 12, searches: int = 5) -> DataFrame:
+    """samples: qid, dataset, prompt, gold -> accuracy per dataset of the answers that the rollouts end with."""
+    done = ro.rollout(samples, generate, retrieve, rounds, searches)
+    said = done.select("qid", F.when(F.col("transcript").contains(tx.ANSWER[0]), tx.last_body(F.col("transcript"), tx.ANSWER)).alias("predicted"))
+    return ev.accuracy(samples.select("qid", "dataset", F.array("gold").alias("gold")).join(said, "qid"), BY)
+
+
+#: What every run of a suite must name.
+RUN_KEYS = ("name", "datasets", "samples", "out")
+
+
+def suite(spark: SparkSession, config: str, generate: ro.Generator, retrieve: ro.Retriever, dry_run: bool = False) -> list[tuple[str, str]]:
+    """The runs of a configuration, each over its datasets: (name, dataset) in order. A run reads `samples` (qid, dataset, prompt, gold),
+    evaluates one dataset at a time and appends the accuracy to `out`; dry_run only says what would run. A run that lacks a key is
+    an error, before anything runs; so is a configuration without runs."""
+    runs = [(r["name"], r["options"]) for r in rd.run_options(spark, config).collect()]  # a handful
+    if not runs:
+        raise ValueError("the configuration has no runs")
+    for name, o in runs:
+        missing = [k for k in RUN_KEYS if not o.get(k)]
+        if missing:
+            raise ValueError(f"run {name} lacks {', '.join(missing)}")
+    done = []
+    for name, o in runs:
+        for dataset in [x.strip() for x in o["datasets"].split(",") if x.strip()]:
+            done.append((name, dataset))
+            if not dry_run:
+                part = rd.read_any(spark, o["samples"]).where(F.col("dataset") == dataset)
+                found = evaluate(part, generate, retrieve, int(o.get("rounds", 12)), int(o.get("searches", 5)))
+                wr.append_log(found.withColumn("run", F.lit(name)), o["out"])
+    return done
+
+
+def iterate(prompts: DataFrame, key: str, generate, score, kind: str, rows: int, iterations: int, samples: int) -> DataFrame:
+    """Iterations of generate, score and post-process over a window of `rows` prompts each, in order of the key. generate(df with sample,
+    iteration) adds output; score adds reward; kind names the post-processor. Every iteration is a written table; a model that is trained between
+    them plugs in through generate. Columns of the post-processor, and iteration."""
+    out = None
+    placed = materialise(numbered(prompts, [F.col(key)], "_at"))
+    for i in range(iterations):
+        window = placed.where((F.col("_at") >= i * rows) & (F.col("_at") < (i + 1) * rows)).drop("_at")
+        wide = window.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+        scored = score(generate(wide, i)).select(F.col(key).alias("input"), "output", "reward", F.col("sample").alias("pos"))
+        part = materialise(rg.processor(kind)(scored).withColumn("iteration", F.lit(i)))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def main(argv: list[str] | None = None) -> None:
     a = argparse.ArgumentParser(prog="graphloom.jobs")
     s = a.add_subparsers(dest="job", required=True)
@@ -129,6 +186,7 @@ def main(argv: list[str] | None = None) -> None:
     sub("build-lp", ["nodes", "edges", "vectors", "out"], seed=0, train_positive=1500, train_negative=1500, test_positive=500, test_negative=500, k=10)
     sub("lp-stage", ["pairs", "out"], difficulties="medium,hard")
     sub("score", ["responses", "labels", "out"], rules="nc1")
+    sub("suite", ["config"], dry_run=1)
     sub("accuracy", ["results"])
     sub("compare", ["first", "second"])
     o = a.parse_args(argv)
@@ -144,6 +202,10 @@ def main(argv: list[str] | None = None) -> None:
         wr.write_jsonl(lp_stage(read("pairs"), difficulties(o.difficulties)), o.out)
     elif o.job == "score":
         wr.append_log(score(read("responses"), read("labels"), o.rules), o.out)
+    elif o.job == "suite":
+        if not o.dry_run:
+            raise SystemExit("a model is needed: call jobs.suite with its generator; the command line only shows what would run")
+        print("\n".join(f"{name}: {dataset}" for name, dataset in suite(spark, o.config, ro.scripted, None, dry_run=True)))
     elif o.job == "accuracy":
         ev.accuracy(read("results"), []).show()
     else:

@@ -43,7 +43,7 @@ def rewritten(df: DataFrame, path: str) -> str:
     for a, b in ((path, backup), (fresh, path)):
         if not fs.rename(at(a), at(b)):
             raise OSError(f"{a} could not be renamed to {b}")
-    return backup
+    return backup.removeprefix("file://")
 
 
 def named_outputs(df: DataFrame, root: str, stage: str | None = None, total: int | None = None) -> list[str]:

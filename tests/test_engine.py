@@ -187,3 +187,79 @@ def test_late_events_are_dropped_by_the_watermark(spark, tmp_path):
     q.stop()
     got = {str(r.start): r.n for r in spark.table("late").collect()}
     assert got == {"2030-01-01 00:00:00": 1, "2030-01-01 12:00:00": 1}  # the row at 00:10 came after the watermark had passed it
+
+
+def test_suite_checks_its_runs(spark, tmp_path):
+    samples = spark.createDataFrame([(1, "a", "p ", "1"), (2, "a", "p ", "x"), (3, "b", "p ", "3")], "qid long, dataset string, prompt string, gold string")
+    samples.write.parquet(f"{tmp_path}/s.parquet")
+    put = lambda name, x: (tmp_path / name).write_text(json.dumps(x)) and f"file://{tmp_path}/{name}"
+    shared = {"samples": f"{tmp_path}/s.parquet", "out": f"{tmp_path}/out.json", "rounds": "6"}
+    good = put("good.json", {"shared": shared, "runs": [{"name": "r1", "datasets": "a, b"}, {"name": "r2", "datasets": "b"}]})
+    none = lambda asking: asking.select("qid", F.lit("None\n").alias("docs"))
+    from graphloom.operators.rollout import scripted
+
+    assert jobs.suite(spark, good, scripted, none, dry_run=True) == [("r1", "a"), ("r1", "b"), ("r2", "b")]
+    assert not (tmp_path / "out.json").exists()
+    jobs.suite(spark, good, scripted, none)
+    got = {(r.run, r.dataset): (r.right, r.total) for r in spark.read.json(f"{tmp_path}/out.json").collect()}
+    assert got == {("r1", "a"): (1, 2), ("r1", "b"): (1, 1), ("r2", "b"): (1, 1)}
+    with pytest.raises(ValueError, match="r1 lacks out"):
+        jobs.suite(spark, put("bad.json", {"shared": {"samples": "x"}, "runs": [{"name": "r1", "datasets": "a"}]}), scripted, none)
+
+
+def test_embedding_job_reads_its_cache(spark, tmp_path):
+    t = spark.createDataFrame([("a", 1, "xy"), ("a", 2, None)], "dataset string, node_id long, text string")
+    length = lambda: lambda texts: [[float(len(x))] for x in texts]
+    got = {(r.node_id, r.emb[0]) for r in jobs.embed(spark, f"{tmp_path}/c", t, length).collect()}
+    assert got == {(1, 2.0), (2, 0.0)} == {(r.node_id, r.emb[0]) for r in jobs.embed(spark, f"{tmp_path}/c", t.where("false"), length).collect()}
+
+
+def test_batches_of_two_sides_and_minibatches(spark):
+    a, b = spark.createDataFrame([(1, [1, 2])], "k long, ids array<long>"), spark.createDataFrame([(2, [3])], "k long, ids array<long>")
+    assert {(r.k, r.side, tuple(r.ids)) for r in mx.concatenated(a, b, "ids", 0).collect()} == {(1, "chosen", (1, 2)), (2, "rejected", (3, 0))}
+    assert mx.concatenated(a.where("false"), b.where("false"), "ids", 0).count() == 0
+    few = mx.minibatch(spark.range(10), 4, 1, ["id"]).collect()
+    assert len({r.id for r in few}) == 4 and mx.minibatch(spark.range(3), 9, 1, ["id"]).count() == 3
+
+
+def test_packs_of_any_size(spark):
+    rows = [("p", i, [i] * (i % 3)) for i in range(7)] + [("q", 1, [5])]
+    df = spark.createDataFrame(rows, "pack string, seq long, ids array<long>")
+    got = {(r.pack, r.seq): (r.k, r.start, r.used, r.padded) for r in mx.packed(df, ["pack"], [F.col("seq")], "ids", 4).collect()}
+    at = 0
+    for i in range(7):
+        assert got["p", i] == (i + 1, at, 6, 8)
+        at += i % 3
+    assert got["q", 1] == (1, 0, 1, 4)
+
+
+def test_two_hops_over_a_hub_in_buckets(spark, monkeypatch):
+    monkeypatch.setattr(g, "HUB", 3)
+    star = [("g", 0, i) for i in range(1, 12)]
+    adj = g.both_ways(spark.createDataFrame(star, "k string, u long, v long"), ["k"])
+    got = {(r.src, r.dst) for r in g.two_hops(adj, None, ["k"]).collect()}
+    assert got == {(i, j) for i in range(1, 12) for j in range(1, 12) if i != j}
+
+
+def test_nearest_in_several_blocks_from_a_pool(spark):
+    rng = np.random.default_rng(4)
+    emb = spark.createDataFrame([("g", i, [float(x) for x in rng.normal(size=4)]) for i in range(30)], "dataset string, node_id long, emb array<double>")
+    ask = emb.select(F.col("node_id").alias("qid"), "dataset", "node_id")
+    from graphloom.operators import retrieve as rt
+
+    rows = lambda block: {(r.qid, r.cand, r.score) for r in rt.ranked(rt.similar_candidates(ask, emb, 3, block=block, pool=emb.where("node_id < 20")), ["qid"], "score", "cand", 3).collect()}
+    assert rows(7) == rows(1000) and len(rows(7)) == 90
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from graphloom.session import scratch_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(ValueError):
+        scratch_dir(Session())
