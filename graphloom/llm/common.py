@@ -68,7 +68,8 @@ def split_kind(c: Column | str) -> Column:
 
 
 def latest(df: DataFrame, key: str, version: str, cols: list[str]) -> DataFrame:
-    """One row per key: the cols of the row with the greatest version. A hash aggregate with a map-side part, no sort of a group.
+    """One row per key: the cols of the row with the greatest version. Cut in every task before the shuffle; the values are a struct, so
+    the aggregate sorts by key (it never holds a group).
 
     Rows with a null key go; a null version counts as the oldest; equal versions are settled by the values themselves."""
     order = F.struct(F.col(version).isNotNull(), F.col(version), *[F.col(c) for c in cols])

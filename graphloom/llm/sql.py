@@ -48,6 +48,14 @@ w as (select record_id, {_words('s')} as l from t where s is not null), k as (se
 e as (select record_id, unnest(l) as word from k), o as (select record_id, word, row_number() over (partition by record_id, word) as nth from e),
 j as (select a.record_id as record_id_a, b.record_id as record_id_b, count(*) as shared from o a join o b on a.word = b.word and a.nth = b.nth and a.record_id < b.record_id group by 1, 2)
 select record_id_a, record_id_b from j join k x on x.record_id = record_id_a join k y on y.record_id = record_id_b where shared >= 0.75 * greatest(len(x.l), len(y.l))""",
+    "p1_groups": f"""with recursive t as (select record_id, arg_max(summary_en, written_at) as s from jsonl_records where record_id is not null group by 1),
+w as (select record_id, case when s is null then [] else {_words('s')} end as l from t), k as (select *, list_sort(l) as bag from w where len(l) >= 20),
+e as (select record_id, unnest(l) as word from k), o as (select record_id, word, row_number() over (partition by record_id, word) as nth from e),
+j as (select a.record_id as x, b.record_id as y, count(*) as shared from o a join o b on a.word = b.word and a.nth = b.nth and a.record_id <> b.record_id group by 1, 2),
+p as (select j.x, j.y, m.bag as other, n.bag = m.bag as same from j join k n on n.record_id = x join k m on m.record_id = y where shared >= 0.75 * greatest(len(n.l), len(m.l))),
+c as (select record_id as x, record_id as y from k union select c.x, p.y from c join p on p.x = c.y),
+g as (select x, min(y) as class_id from c group by 1), h as (select x, count(distinct other) as n_links from p where not same group by 1)
+select t.record_id, coalesce(class_id, t.record_id) as class_id, coalesce(n_links, 0) as n_links from t left join g on g.x = t.record_id left join h on h.x = t.record_id""",
     "p6_found": f"""with i as (select item_id, {_words('text')} as l from eval_items), d as (select doc_id, {_words('text')} as l from documents where text is not null),
 g as (select distinct item_id, array_to_string(l[p:p + 11], ' ') as run from (select item_id, l, unnest(range(1, len(l) - 10)) as p from i)),
 h as (select distinct doc_id, array_to_string(l[p:p + 11], ' ') as run from (select doc_id, l, unnest(range(1, len(l) - 10)) as p from d))
@@ -68,6 +76,9 @@ s as (select a.sample_id, b.sample_id as neighbour_id, case when a.v = b.v then
 select sample_id, neighbour_id, cast(rank as int) as rank, round(c, 6) as cosine from (select *, row_number() over (partition by sample_id order by c desc, neighbour_id) as rank from s) where rank <= 5""",
     "p4_found": f"with {_SCORED} select target_sample_id, ref_pair_id from top where position <= 10",
     "p4_top": f"with {_SCORED} select target_sample_id, ref_pair_id, similarity, position from top where position <= 10",
+    # no case hangs on the tokenizer: four characters stand for a token
+    "p7_found": f"""with h as (select {_key('source')} as s, sum(coalesce(length(text), 0)) / 4.0 as tokens from documents group by 1)
+select t.source from source_targets t left join h on h.s = {_key('t.source')} where coalesce(tokens, 0) * max_repeats < target_permille * token_budget / 1000.0""",
     "p5_found": f"""with {_CELLS} select t.dataset, t.difficulty from sample_targets t left join have on d = {_key('t.dataset')} and f = {_trim('t.difficulty')}
 where coalesce(n, 0) < greatest(min_rows, ceil(target_permille * sample_size / 1000.0))""",
 }
