@@ -16,6 +16,7 @@ from graphloom.session import bounded
 from graphloom.sources import readers as rd
 
 BY = ["dataset"]
+_ENGINES: dict[tuple, GraphEngine] = {}
 
 
 @dataclass
@@ -32,6 +33,14 @@ class GraphEngine:
     share: float = 0.5
     preview: int = 480
 
+    @staticmethod
+    def shared(spark: SparkSession, root: str, names: list[str], **options) -> GraphEngine:
+        """from_folders, once per root, names and options: later calls of the session get the same engine."""
+        key = (id(spark), root, tuple(names), tuple(sorted((k, str(v)) for k, v in options.items())))
+        if key not in _ENGINES:
+            _ENGINES[key] = GraphEngine.from_folders(spark, root, names, **options)
+        return _ENGINES[key]
+
     @staticmethod
     def from_folders(spark: SparkSession, root: str, names: list[str], **options) -> GraphEngine:
         """Graph folders with node_texts.json, category.json, first_hop_indices.json and node_emb.npy, as one engine."""

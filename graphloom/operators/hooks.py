@@ -24,6 +24,17 @@ def scored(df: DataFrame, col: str, model: Callable[[], Callable[[list[str]], li
     return df.withColumn(name, score(col))
 
 
+def demo_reward(df: DataFrame, seed: int, keys: list[str], name: str = "reward") -> DataFrame:
+    """A placeholder reward from -1, 0, 1 and 2, drawn by a hash of seed and keys; for trying pipelines out."""
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
+    return df.withColumn(name, (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % 4 - 1).cast("int"))
+
+
+def appended(first: DataFrame | None, second: DataFrame | None) -> DataFrame | None:
+    """Two batches of experience as one; None if either is."""
+    return None if first is None or second is None else first.unionByName(second)
+
+
 def summed_rewards(df: DataFrame, col: str, clients: list[Callable[[list[str]], list[float]]], tries: int = 100, wait: float = 1.0, name: str = "reward") -> DataFrame:
     """Adds the sum of several services' rewards; a call that fails is tried again after a pause."""
 

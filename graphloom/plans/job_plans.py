@@ -11,7 +11,7 @@ from graphloom.operators import hooks as hk
 from graphloom.operators import mixing as mx
 from graphloom.operators.datasets import seeded
 from graphloom.plans import base as b
-from graphloom.plans.graph_plans import HOMO, TERC, one_sample, pagerank_top_pairs
+from graphloom.plans.graph_plans import HOMO, TERC, TWO, one_sample, pagerank_top_pairs
 from graphloom.plans.registry import query
 from graphloom.session import table
 
@@ -31,6 +31,26 @@ def engine_batch_query(s, d):
     return e.batch_query(ids.join(here, "gid").withColumn("query", kinds))
 
 
+_ENGINE = """z as (select dataset, max(node_id) + 1 as size from nodes group by 1), off as (select dataset, cast(coalesce(sum(size) over (order by dataset rows between unbounded preceding and 1 preceding), 0) as bigint) as o from z),
+q as (select n.dataset, n.node_id, o + n.node_id as qid, (o + n.node_id) % 4 as m from nodes n join off using (dataset)), dg as (select dataset, src, count(*) as degree from adj group by 1, 2),
+unit as (select dataset, node_id, list_transform(emb, lambda z: z::double / greatest(sqrt(list_dot_product(emb::double[], emb::double[])), 1e-12)) as e from emb),
+cands as (select qid, q.dataset, 'one_hop' as strategy, 5 as k, h.dst as cand, round(list_dot_product(x.e, y.emb::double[]), 6) as score from q join adj h on m = 0 and h.dataset = q.dataset and h.src = q.node_id join unit x on x.dataset = q.dataset and x.node_id = q.node_id join emb y on y.dataset = q.dataset and y.node_id = h.dst
+ union all select qid, q.dataset, 'two_hop', 5, h.dst, round(list_dot_product(x.e, y.emb::double[]), 6) from q join two h on m = 1 and h.dataset = q.dataset and h.src = q.node_id join unit x on x.dataset = q.dataset and x.node_id = q.node_id join emb y on y.dataset = q.dataset and y.node_id = h.dst
+ union all select qid, q.dataset, 'pagerank', 3, n.node_id, coalesce(n.pagerank, dg.degree::double, 0) from q join nodes n on m = 2 and n.dataset = q.dataset and n.node_id <> q.node_id left join dg on dg.dataset = n.dataset and dg.src = n.node_id
+ union all select qid, q.dataset, 'similar', 5, y.node_id, round(list_dot_product(x.emb::double[], y.emb::double[]), 6) from q join emb x on m = 3 and x.dataset = q.dataset and x.node_id = q.node_id join emb y on y.dataset = q.dataset and y.node_id <> q.node_id),
+r as (select *, cast(row_number() over (partition by qid order by score desc, cand) as int) as doc_id from cands)"""
+
+
+@query("engine_documents", b.with_(b.NODES, b.ADJ, TWO, b.EMB, _ENGINE) + "select qid, dataset, strategy, doc_id, cand as node_id, round(score, 6) as score from r where doc_id <= k")
+def engine_documents(s, d):
+    """Every node asks once, by its global id, with one of the four strategies and without a text: one row per document."""
+    e = engine(s, d)
+    here = e.offsets().join(b.nodes(s, d).select("dataset", "node_id"), "dataset").select((F.col("offset") + F.col("node_id")).alias("gid"))
+    kinds = F.element_at(F.array(*[F.lit(x) for x in ("1-hop:", "2-hop:", "pagerank:", "similar:")]), (F.col("gid") % 4 + 1).cast("int"))
+    found = e.batch_query(here.select(F.col("gid").alias("qid"), "gid", kinds.alias("query")))
+    return found.select("qid", "dataset", "strategy", F.explode("docs").alias("x")).select("qid", "dataset", "strategy", "x.doc_id", "x.node_id", F.round("x.score", 6).alias("score"))
+
+
 @query("link_engine_query", None)
 def link_engine_query(s, d):
     p = one_sample(s, d).join(table(s, d, "pair_samples").groupBy("sample_id").agg(F.max_by("similar_pairs", "exported_at").alias("similar_pairs")), "sample_id")
@@ -60,6 +80,28 @@ def job_build_lp(s, d):
     return jobs.build_lp(b.nodes(s, d), table(s, d, "graph_edges"), b.embeddings(s, d), 7, (10, 10), (5, 5), 3)
 
 
+_DRAW = "cast(concat('0x', substr(md5(concat('7:', dataset, ':', cast(i as varchar), ':{e}')), 1, 12)) as bigint) % n"
+_SEEDED = "md5(concat_ws(':', '{s}', dataset, cast(u as varchar), cast(v as varchar)))"
+
+
+@query(
+    "job_lp_pairs",
+    b.with_(
+        b.NODES,
+        b.EDGES,
+        f"pt as (select dataset, u, v from (select *, row_number() over (partition by dataset order by {_SEEDED.format(s=7)}, dataset, u, v) as rn from edges) where rn <= 10)",
+        f"pe as (select dataset, u, v from (select *, row_number() over (partition by dataset order by {_SEEDED.format(s=8)}, dataset, u, v) as rn from edges anti join pt using (dataset, u, v)) where rn <= 5)",
+        f"z as (select dataset, max(node_id) + 1 as n from nodes group by 1), c0 as (select dataset, n, unnest(range(0, 60)) as i from z), c as (select dataset, i, {_DRAW.format(e=0)} as a, {_DRAW.format(e=1)} as c from c0)",
+        "ng as (select dataset, u, v from (select *, row_number() over (partition by dataset order by i) as rn from (select dataset, least(a, c) as u, greatest(a, c) as v, min(i) as i from c where a <> c group by 1, 2, 3) anti join edges using (dataset, u, v)) where rn <= 15)",
+        f"nr as (select *, row_number() over (partition by dataset order by {_SEEDED.format(s=7)}, dataset, u, v) as rn from ng)",
+    )
+    + "select dataset, u, v, 1 as label, 'train' as split from pt union all select dataset, u, v, 1, 'test' from pe union all select dataset, u, v, 0, case when rn <= 10 then 'train' else 'test' end from nr",
+)
+def job_lp_pairs(s, d):
+    """The drawn pairs of the link-prediction job."""
+    return job_build_lp(s, d).select("dataset", "u", "v", "label", "split")
+
+
 @query(
     "interleave_weighted",
     """with k as (select i as place, cast(concat('0x', substr(md5(concat('11:', cast(i as varchar))), 1, 12)) as bigint) / 281474976710656.0::double as u from range(0, 3000) t(i)),

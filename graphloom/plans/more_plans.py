@@ -40,6 +40,17 @@ def remote_rewards(s, d):
     return hk.summed_rewards(table(s, d, "eval_items").select("item_id", "text"), "text", [size, size, lambda texts: [1.0] * len(texts)]).select("item_id", "reward")
 
 
+@query("demo_rewards", "select item_id, (cast(concat('0x', substr(md5(concat_ws(':', '9', cast(item_id as varchar))), 1, 8)) as bigint) % 4 - 1)::int as reward from eval_items")
+def demo_rewards(s, d):
+    return hk.demo_reward(table(s, d, "eval_items").select("item_id"), 9, ["item_id"])
+
+
+@query("experience_append", "select item_id, task from eval_items union all select item_id, upper(task) from eval_items")
+def experience_append(s, d):
+    i = table(s, d, "eval_items").select("item_id", "task")
+    return hk.appended(i, i.withColumn("task", F.upper("task")))
+
+
 @query("remote_embeddings", "select item_id, [length(text)::double, 1.0::double] as embedding from eval_items")
 def remote_embeddings(s, d):
     return rd.remote_vectors(table(s, d, "eval_items").select("item_id", "text"), "text", lambda: lambda texts: [[float(len(t)), 1.0] for t in texts]).select("item_id", "embedding")

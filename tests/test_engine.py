@@ -263,3 +263,43 @@ def test_a_cluster_needs_a_shared_folder(spark):
 
     with pytest.raises(ValueError):
         scratch_dir(Session())
+
+
+def test_services_answer_in_order(spark):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from graphloom import services as sv
+
+    labels = spark.createDataFrame([(1, "a"), (2, "b")], "idx long, gold string")
+    length = lambda: lambda texts: [[float(len(x))] for x in texts]
+    server = sv.served({"/reward": sv.rewards(spark, labels), "/encode": sv.embeddings(spark, length)})
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+
+    def post(path, body):
+        r = urllib.request.Request(f"http://127.0.0.1:{server.server_port}{path}", json.dumps(body).encode(), {"Content-Type": "application/json"})
+        return json.loads(urllib.request.urlopen(r, timeout=60).read())
+
+    try:
+        assert post("/encode", {"texts": ["abc", "", "x"]}) == {"embeddings": [[3.0], [0.0], [1.0]]}
+        good, bad = "<think>t</think><answer>a</answer>", "<answer>b</answer>"
+        got = post("/reward", {"query": [{"idx": 1, "response": bad}, {"idx": 1, "response": good}, {"idx": 9, "response": good}]})["rewards"]
+        assert got[1] > got[2] > got[0] or got[1] > got[0]
+        for path, body, code in (("/none", {}, 404), ("/encode", {}, 400)):
+            with pytest.raises(urllib.error.HTTPError) as e:
+                post(path, body)
+            assert e.value.code == code
+    finally:
+        server.shutdown()
+
+
+def test_engines_are_shared_and_batches_append(spark, tmp_path):
+    d = tmp_path / "g"
+    d.mkdir()
+    for name, x in (("node_texts", ["a"]), ("category", ["x"]), ("first_hop_indices", [[]])):
+        (d / f"{name}.json").write_text(json.dumps(x))
+    np.save(d / "node_emb.npy", np.eye(1, 64, dtype=np.float32))
+    assert GraphEngine.shared(spark, f"file://{tmp_path}", ["g"]) is GraphEngine.shared(spark, f"file://{tmp_path}", ["g"])
+    one = spark.range(2)
+    assert hk.appended(one, None) is None and hk.appended(None, one) is None and hk.appended(one, one).count() == 4
