@@ -83,8 +83,8 @@ def concatenated(chosen: DataFrame, rejected: DataFrame, ids: str, pad: int) ->
 
 
 def batches(df: DataFrame, by: list[str], order: list[Column], size: int) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
+    """batch: blocks of `size` rows of each group in order, from 0; a group of any size is numbered over all tasks."""
+    return group_positions(df, by, order, "_r", "_size").withColumn("batch", F.floor(F.col("_r") / size)).drop("_r", "_size")
 
 
 def latest_rows(df: DataFrame, by: list[str], order: list[Column], limit: int) -> DataFrame:
