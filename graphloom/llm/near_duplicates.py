@@ -268,16 +268,26 @@ def classes(members: DataFrame, links: DataFrame) -> DataFrame:
     lineage grows and no class is collected."""
     edges = materialise(links.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
     ends = edges.union(edges.select("b", "a")).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links"))
-    labels = materialise(ends.withColumn("label", F.col("rep")))
-    turn = 0
+    merged, turn = [], 0
     while edges.head(1):
         order = lambda c: F.xxhash64(F.lit(turn), c)  # noqa: B023, E731
         near = edges.union(edges.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.min_by("b", order("b")).alias("near"))
         into = materialise(near.where(order("near") < order("node")))
-        labels = materialise(labels.join(into, F.col("label") == F.col("node"), "left").select("rep", "n_links", F.coalesce("near", "label").alias("label")))
+        merged.append(into)
         moved = lambda df, c: df.join(into, F.col(c) == F.col("node"), "left").withColumn(c, F.coalesce("near", c)).drop("node", "near")  # noqa: B023, E731
         edges = materialise(moved(moved(edges, "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         turn += 1
+    # a node is merged once, so the rounds have different nodes: from the last round back, each follows where its neighbour went
+    final = None
+    for into in reversed(merged):
+        step = into.select("node", F.col("near").alias("label"))
+        if final is not None:
+            later = final.select(F.col("node").alias("label"), F.col("label").alias("later"))
+            step = materialise(step.join(later, "label", "left").select("node", F.coalesce("later", "label").alias("label")))
+        final = step if final is None else final.union(step)
+    labels = ends.withColumn("label", F.col("rep"))
+    if final is not None:
+        labels = ends.join(final, F.col("rep") == F.col("node"), "left").select("rep", "n_links", F.coalesce("label", "rep").alias("label"))
     known = members.join(labels, "rep", "left").select("id", F.coalesce("label", "rep").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     named = known.where("label is not null").groupBy("label").agg(F.min("id").alias("class_id"))
     return known.join(named, "label", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), "n_links")
