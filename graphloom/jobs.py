@@ -74,10 +74,9 @@ def _negatives(nodes: DataFrame, edges: DataFrame, wanted: int, seed: int) -> Da
     return found
 
 
-def build_lp(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, seed: int, train: tuple[int, int], test: tuple[int, int], k: int = 10) -> DataFrame:
-    """Link-prediction pairs: positives and negatives for train and test without overlap, similarity, difficulty terciles (train), pair
-    ids in bucketed order, the k most similar reference edges (all edges but test positives) and common neighbours."""
-    e = materialise(g.canonical_edges(edges, by=BY))
+def drawn_pairs(nodes: DataFrame, e: DataFrame, seed: int, train: tuple[int, int], test: tuple[int, int]) -> DataFrame:
+    """dataset, u, v, label, split of the positives and negatives, train and test without overlap; e: canonical edges. Negatives are drawn over the
+    range of ids, so where ids have gaps an end may be no node."""
     keys = ["dataset", "u", "v"]
     pos_train = ds.seeded_sample(e, BY, train[0], seed, keys)
     pos_test = ds.seeded_sample(ds.without(e, pos_train, on=keys), BY, test[0], seed + 1, keys)
@@ -85,9 +84,23 @@ def build_lp(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, seed: int,
     rank = F.row_number().over(Window.partitionBy("dataset").orderBy(ds.seeded(seed, *keys), *keys))
     neg = neg_all.withColumn("_r", rank)
     part = lambda df, label, split: df.select(*keys, F.lit(label).alias("label"), F.lit(split).alias("split"))
-    pairs = part(pos_train, 1, "train").union(part(pos_test, 1, "test")).union(part(neg.where(F.col("_r") <= train[1]), 0, "train")).union(part(neg.where(F.col("_r") > train[1]), 0, "test"))
-    p = materialise(ds.pair_vectors(pairs, vectors))
-    level = g.tercile_pairs(p.where("split = 'train'").withColumn("_tie", ds.seeded(seed, *keys)), ["dataset", "label"], F.col("label") == 1, tie="_tie").select(*keys, "difficulty")
+    return materialise(part(pos_train, 1, "train").union(part(pos_test, 1, "test")).union(part(neg.where(F.col("_r") <= train[1]), 0, "train")).union(part(neg.where(F.col("_r") > train[1]), 0, "test")))
+
+
+def build_lp(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, seed: int, train: tuple[int, int], test: tuple[int, int], k: int = 10) -> DataFrame:
+    """Link-prediction pairs: positives and negatives for train and test without overlap, similarity, difficulty terciles (train), pair
+    ids in bucketed order, the k most similar reference edges (all edges but test positives) and common neighbours. A negative with an end that
+    is no node has neither similarity, difficulty nor reference edges; an edge without a vector is an error."""
+    e = materialise(g.canonical_edges(edges, by=BY))
+    keys = ["dataset", "u", "v"]
+    pairs = drawn_pairs(nodes, e, seed, train, test)
+    pos_test = pairs.where("label = 1 and split = 'test'")
+    end = lambda c: vectors.select("dataset", F.col("node_id").alias(c))
+    whole = pairs.join(end("u"), ["dataset", "u"], "left_semi").join(end("v"), ["dataset", "v"], "left_semi")
+    whole = whole.select(*pairs.columns).union(ds.without(pairs.where("label = 1"), whole, on=keys))  # an edge without a vector fails in pair_vectors
+    measured = materialise(ds.pair_vectors(whole, vectors))
+    p = materialise(pairs.join(measured.select(*keys, "similarity", "vector"), keys, "left").select(*pairs.columns, "similarity", "vector"))
+    level = g.tercile_pairs(p.where("split = 'train' and similarity is not null").withColumn("_tie", ds.seeded(seed, *keys)), ["dataset", "label"], F.col("label") == 1, tie="_tie").select(*keys, "difficulty")
     p = p.join(level, keys, "left")
     order = F.when(F.col("difficulty") == "easy", 0).when(F.col("difficulty") == "medium", 1).when(F.col("difficulty") == "hard", 2).otherwise(3)
     p = materialise(numbered(p.withColumn("_o", order), [F.col("dataset"), F.col("split"), F.col("_o"), ds.seeded(seed, *keys)], "_p").drop("_o"))
@@ -96,7 +109,7 @@ def build_lp(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, seed: int,
     pool = ds.pair_vectors(ds.without(e, pos_test, on=keys), vectors)
     named = lambda df: df.select("dataset", F.xxhash64(*keys).alias("node_id"), F.col("vector").alias("emb"), "u", "v", "similarity")
     ref = named(pool)
-    ask = named(p).select(F.col("node_id").alias("qid"), "dataset", "node_id", "emb")
+    ask = named(p.where("vector is not null")).select(F.col("node_id").alias("qid"), "dataset", "node_id", "emb")
     hits = rt.similar_candidates(ask.select("qid", "dataset", "node_id"), ask.select("dataset", "node_id", "emb"), k, pool=ref.select("dataset", "node_id", "emb"))
     hits = hits.join(ref.select("dataset", F.col("node_id").alias("cand"), F.col("u").alias("ru"), F.col("v").alias("rv")), ["dataset", "cand"])
     top = rt.ranked(hits, ["qid"], "score", "cand", k).groupBy("qid").agg(

@@ -133,6 +133,22 @@ def test_link_dataset_fills_references_among_many_negatives(spark):
     assert all(r.similar_pairs is not None and len(r.similar_pairs) == 4 for r in out)
 
 
+def test_link_dataset_of_ids_with_gaps(spark):
+    nodes, edges, emb = graph(spark)
+    far = lambda df, *cols: df.union(df.withColumns({c: F.col(c) + 1_000_000 for c in cols}).select(*df.columns))
+    nodes, edges, emb = far(nodes, "node_id"), far(edges, "src", "dst"), far(emb, "node_id")
+    there = {r.node_id for r in nodes.collect()}
+    out = jobs.build_lp(nodes, edges, emb, 5, (20, 20), (6, 6), 4).collect()
+    assert sum(r.label == 0 for r in out) == 26 and any({r.u, r.v} - there for r in out)
+    for r in out:
+        if {r.u, r.v} <= there:
+            assert r.similarity is not None and len(r.similar_pairs) == 4
+        else:
+            assert r.label == 0 and r.similarity is None and r.difficulty is None and r.similar_pairs is None
+    with pytest.raises(PySparkException):
+        jobs.build_lp(nodes, edges, emb.where("node_id < 1000000"), 5, (20, 20), (6, 6), 4).collect()
+
+
 def test_command_line(spark, tmp_path):
     p = str(tmp_path / "p.parquet")
     spark.createDataFrame([(1, "HARD"), (2, None), (3, "easy")], "pair_id long, difficulty string").write.parquet(p)
