@@ -274,6 +274,21 @@ def test_two_hops_over_a_hub_in_buckets(spark, monkeypatch):
     assert got == {(i, j) for i in range(1, 12) for j in range(1, 12) if i != j}
 
 
+@pytest.mark.parametrize("wide", [0, 3, 6, 1000])
+def test_two_hop_totals_with_wide_nodes(spark, monkeypatch, wide):
+    monkeypatch.setattr(g, "WIDE", wide)
+    rng = np.random.default_rng(7)
+    star = {("g", 0, i) for i in range(1, 20)} | {("g", 30, i) for i in range(10, 26)} | {("h", 5, i) for i in range(6, 12)}
+    adj = star | {(k, v, u) for k, u, v in star if u != 30} | {("g", int(x), int(y)) for x, y in rng.integers(0, 30, (40, 2))}  # some of it one way only
+    df = spark.createDataFrame(sorted(adj), "k string, src long, dst long")
+    pairs = {(k, a, d) for k, a, m in adj for j, c, d in adj if k == j and m == c and a != d}
+    want = {(k, a): (sum((k, a) == p[:2] for p in pairs), sum(p[2] for p in pairs if (k, a) == p[:2])) for k, a, _ in pairs}
+    assert {(r.k, r.src): (r.reached, r.checksum) for r in g.two_hop_totals(df, ["k"]).collect()} == want
+    if wide == 3:  # nothing is expanded at a wide node: its neighbours would be squared
+        few = g.narrow_two_hops(df, None, ["k"], g.wide_marks(df, ["k"])).count()
+        assert few < sum(1 for k, a, m in adj for j, c, d in adj if k == j and m == c) / 4
+
+
 def test_nearest_in_several_blocks_from_a_pool(spark):
     rng = np.random.default_rng(4)
     emb = spark.createDataFrame([("g", i, [float(x) for x in rng.normal(size=4)]) for i in range(30)], "dataset string, node_id long, emb array<double>")
