@@ -289,6 +289,23 @@ def test_two_hop_totals_with_wide_nodes(spark, monkeypatch, wide):
         assert few < sum(1 for k, a, m in adj for j, c, d in adj if k == j and m == c) / 4
 
 
+@pytest.mark.parametrize(("steps", "wide", "block"), [(1, 2, 100), (2, 0, 100), (2, 4, 100), (2, 4, 7), (2, 1000, 9)])
+def test_best_of_hops_are_those_of_all_pairs(spark, monkeypatch, steps, wide, block):
+    from graphloom.operators import retrieve as rt
+
+    monkeypatch.setattr(g, "WIDE", wide)
+    rng = np.random.default_rng(11)
+    pairs = {(0, i) for i in range(1, 20)} | {(20, i) for i in range(12, 28)} | {(int(x), int(y)) for x, y in rng.integers(0, 28, (25, 2)) if x != y}
+    adj = g.both_ways(g.canonical_edges(spark.createDataFrame([("g", u, v) for u, v in pairs], "dataset string, src long, dst long"), by=["dataset"]), ["dataset"])
+    few = rng.normal(size=(9, 64))  # copies, so that scores are equal
+    emb = spark.createDataFrame([("g", i, [float(x) for x in few[i % 9]]) for i in range(28)], "dataset string, node_id long, emb array<double>")
+    ask = spark.createDataFrame([(i, "g", i % 28 if i < 40 else 0, "" if i % 3 else f"t{i}") for i in range(60)], "qid long, dataset string, node_id long, query_text string")
+    hops = adj if steps == 1 else g.two_hops(adj, None, ["dataset"])
+    rows = lambda df: sorted(tuple(r) for r in rt.ranked(df, ["qid"], "score", "cand", 3).select("qid", "dataset", "node_id", "cand", "score", "doc_id").collect())
+    want = rows(rt.fused_scores(rt.hop_candidates(ask, hops), ask, emb))
+    assert rows(rt.hop_best(ask, adj, emb, 3, steps, block=block)) == want and len(want) > 100
+
+
 def test_nearest_in_several_blocks_from_a_pool(spark):
     rng = np.random.default_rng(4)
     emb = spark.createDataFrame([("g", i, [float(x) for x in rng.normal(size=4)]) for i in range(30)], "dataset string, node_id long, emb array<double>")
