@@ -368,3 +368,17 @@ def test_engines_are_shared_and_batches_append(spark, tmp_path):
     assert GraphEngine.shared(spark, f"file://{tmp_path}", ["g"]) is GraphEngine.shared(spark, f"file://{tmp_path}", ["g"])
     one = spark.range(2)
     assert hk.appended(one, None) is None and hk.appended(None, one) is None and hk.appended(one, one).count() == 4
+
+
+def _no_pairs(monkeypatch):
+    def fail(*_):
+        raise AssertionError("all pairs of two steps are listed")
+
+    monkeypatch.setattr(g, "two_hops", fail)
+
+
+def test_batch_of_parsed_queries_lists_no_pairs_of_two_steps(spark, monkeypatch):
+    from graphloom.plans import registry
+
+    _no_pairs(monkeypatch)
+    assert registry.QUERIES["batch_query"](spark, "/root/testdata/sf0.001").count() > 0
