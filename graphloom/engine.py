@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as tx
 from graphloom.operators import graph as g
 from graphloom.operators import retrieve as rt
-from graphloom.session import bounded
+from graphloom.session import bounded, materialise
 from graphloom.sources import readers as rd
 
 BY = ["dataset"]
@@ -83,26 +83,30 @@ class GraphEngine:
         fail = F.raise_error(F.concat(F.lit("no graph holds node "), F.col("gid").cast("string")))
         return j.withColumn("node_id", F.when(F.col("dataset").isNull(), fail).otherwise(F.col("gid") - F.col("offset")).cast("long")).drop("offset", "size")
 
-    def batch_query(self, queries: DataFrame) -> DataFrame:
-        """queries: qid, query, and dataset with node_id or gid; maybe max_results -> one row per query in no order: qid, strategy,
-        score_name, target, docs (ranked list of doc_id, node_id, score, doc). A query without candidates has an empty list."""
+    def hits(self, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The parsed queries, and their documents without texts: qid, dataset, node_id, strategy, k, cand, score, doc_id."""
         q = queries if "dataset" in queries.columns else self.locate(queries)
-        asked = rt.parsed_queries(q, self.default_k, self.limits)
+        asked = materialise(rt.parsed_queries(q, self.default_k, self.limits))
         most = max([self.default_k, *self.limits.values()])
         if "max_results" in queries.columns:
             most = max(most, queries.agg(F.max(F.col("max_results").try_cast("int"))).first()[0] or 0)
         of = lambda s: asked.where(F.col("strategy") == s)
         cols = ["qid", "dataset", "node_id", "strategy", "k", "cand", "score"]
-        one, two = of("one_hop"), of("two_hop")
-        adjacency = self.adjacency.select("dataset", "src", "dst").distinct()
-        hop2 = g.two_hops(adjacency, two.select("dataset", F.col("node_id").alias("src")).distinct(), BY)
-        near = rt.fused_scores(rt.hop_candidates(one, adjacency), one, self.vectors, self.share).select(*cols)
-        far = rt.fused_scores(rt.hop_candidates(two, hop2), two, self.vectors, self.share).select(*cols)
+        adjacency = materialise(self.adjacency.select("dataset", "src", "dst").distinct())
+        vectors = materialise(self.vectors.select("dataset", "node_id", "emb"))
+        near = rt.hop_best(of("one_hop"), adjacency, vectors, most, 1, self.share)
+        far = rt.hop_best(of("two_hop"), adjacency, vectors, most, 2, self.share)
+        sim = rt.similar_candidates(of("similar"), vectors, most)
         degree = g.degrees(adjacency, BY).withColumn("degree", F.col("degree").cast("double"))
         rank = self.nodes.join(degree, ["dataset", "node_id"], "left").select("dataset", "node_id", F.coalesce("pagerank", "degree", F.lit(0.0)).alias("pagerank"))
         pr = rt.pagerank_candidates(of("pagerank"), rank, most).select(*cols)
-        sim = rt.similar_candidates(of("similar"), self.vectors, most).join(asked.select("qid", "strategy", "k"), "qid").select(*cols)
-        hits = rt.ranked(near.union(far).union(pr).union(sim), ["qid"], "score", "cand", F.col("k"), most=most)
+        found = near.union(far).union(sim).join(asked.select("qid", "strategy", "k"), "qid").select(*cols)
+        return asked, rt.ranked(found.union(pr), ["qid"], "score", "cand", F.col("k"), most=most)
+
+    def batch_query(self, queries: DataFrame) -> DataFrame:
+        """queries: qid, query, and dataset with node_id or gid; maybe max_results -> one row per query in no order: qid, strategy,
+        score_name, target, docs (ranked list of doc_id, node_id, score, doc). A query without candidates has an empty list."""
+        asked, hits = self.hits(queries)
         docs = rt.as_documents(hits, self.nodes.select("dataset", "node_id", F.when(F.col("text") != "", F.col("text")).alias("text")), self.preview)
         lists = docs.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.col("cand").alias("node_id"), "score", "doc"))).alias("docs"))
         target = self.nodes.select("dataset", "node_id", F.struct("node_id", tx.preview(F.col("text"), self.preview).alias("text_preview"), "label").alias("target"))

@@ -377,6 +377,12 @@ def _no_pairs(monkeypatch):
     monkeypatch.setattr(g, "two_hops", fail)
 
 
+def test_engine_lists_no_pairs_of_two_steps(spark, engine, monkeypatch):
+    _no_pairs(monkeypatch)
+    r = engine.batch_query(spark.createDataFrame([(2, 8, "2-hop:")], "qid long, gid long, query string")).first()
+    assert {d.node_id for d in r.docs} == {0, 4}
+
+
 def test_batch_of_parsed_queries_lists_no_pairs_of_two_steps(spark, monkeypatch):
     from graphloom.plans import registry
 
