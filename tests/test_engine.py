@@ -394,3 +394,28 @@ def test_batch_of_parsed_queries_lists_no_pairs_of_two_steps(spark, monkeypatch)
 
     _no_pairs(monkeypatch)
     assert registry.QUERIES["batch_query"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_similar_pairs_of_copies_and_far_ids(spark, tmp_path, monkeypatch, limit):
+    import duckdb
+
+    from graphloom.operators import retrieve as rt
+    from graphloom.plans import registry
+
+    monkeypatch.setattr(rt, "VECTORS", limit)  # 0: in blocks
+    rng = np.random.default_rng(2)
+    ids = [int(i) for i in range(25)] + [20_000_000 + i for i in range(25)]
+    links = sorted({(ids[min(x, y)], ids[max(x, y)]) for x, y in rng.integers(0, 50, (200, 2)) if x != y})
+    tables = {
+        "graph_nodes": spark.createDataFrame([("g", i, "x", "test", None, None) for i in ids], "dataset string, node_id long, category string, split string, pagerank double, same_as long"),
+        "graph_edges": spark.createDataFrame([("g", u, v) for u, v in links], "dataset string, src long, dst long"),
+        "graph_datasets": spark.createDataFrame([("g", 0)], "dataset string, position int"),
+        "embeddings": spark.createDataFrame([(i, [float(x) for x in rng.normal(size=8)]) for i in range(12)], "vec_id long, embedding array<float>"),
+    }
+    c = duckdb.connect()
+    for t, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{t}.parquet")
+        c.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    got = registry.QUERIES["similar_pairs_knn"](spark, str(tmp_path)).select("dataset", "u", "v", "ref_u", "ref_v", "rank").collect()
+    assert sorted(tuple(r) for r in got) == sorted(c.sql(registry.SQL["similar_pairs_knn"]).fetchall()) and len(got) == 3 * len(links)
