@@ -419,3 +419,25 @@ def test_similar_pairs_of_copies_and_far_ids(spark, tmp_path, monkeypatch, limit
         c.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
     got = registry.QUERIES["similar_pairs_knn"](spark, str(tmp_path)).select("dataset", "u", "v", "ref_u", "ref_v", "rank").collect()
     assert sorted(tuple(r) for r in got) == sorted(c.sql(registry.SQL["similar_pairs_knn"]).fetchall()) and len(got) == 3 * len(links)
+
+
+def test_similar_pairs_bring_no_rows_of_pairs_to_the_driver(spark):
+    import tracemalloc
+
+    from graphloom.operators import retrieve as rt
+
+    rng = np.random.default_rng(4)
+    emb = spark.createDataFrame([("g", i, [float(x) for x in rng.normal(size=4)]) for i in range(250)], "dataset string, node_id long, emb array<double>")
+    side = lambda c: emb.select("dataset", F.col("node_id").alias(c))
+    pairs = side("u").join(side("v"), "dataset").where("u < v")  # 31,125 kinds
+    arrow = "spark.sql.execution.arrow.pyspark.enabled"
+    before = spark.conf.get(arrow)
+    spark.conf.set(arrow, "false")  # as in a session that sets nothing
+    rt.pairs_best(pairs.where("v < 3"), emb, 3)  # libraries are loaded
+    tracemalloc.start()
+    try:
+        assert rt.pairs_best(pairs, emb, 3) is not None
+        assert tracemalloc.get_traced_memory()[1] < 4_000_000  # Python objects and arrays, at once
+    finally:
+        tracemalloc.stop()
+        spark.conf.set(arrow, before)
